@@ -2,14 +2,40 @@
 
 from __future__ import annotations
 
-from glintfield.llm.common import documents
+from pyspark.sql import functions as F
+
+from glintfield.llm.common import documents, id_residue
+from glintfield.llm.language_id import fit_languages, identify_languages
 from glintfield.llm.media_columns import store_as_media
+from glintfield.llm.quality_score import fit_quality, score_quality
+from glintfield.llm.substring_dedup import remove_repeated_passages
 from glintfield.llm.url_filters import Rule, filter_urls
 
 #: The contract's rules.
 URL_RULES = [Rule("com", "/en/", "block"), Rule("example.com", "/en/7", "allow"), Rule("net", "/de/", "allow"), Rule("example.net", "/de/8", "block"), Rule("org", "/es/", "block")]
 
 
+def op1_substring_dedup(spark, sf_dir):
+    cut = remove_repeated_passages(documents(spark, sf_dir))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op2_language_id(spark, sf_dir):
+    rows = documents(spark, sf_dir)
+    held_out = id_residue(F.col("doc_id"), 3) == 1
+    model = fit_languages(rows.where(~held_out))
+    told = identify_languages(rows.select("doc_id", "text"), model)
+    return told.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+def op5_quality_classifier(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = id_residue(F.col("doc_id"), 4) == 2
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    model = fit_quality(rows, labels.where(~held_out))
+    return score_quality(rows, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "raw_score")
+
+
 def op7_url_filters(spark, sf_dir):
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
 
@@ -19,6 +45,9 @@ def op8_media_columns(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_language_id": op2_language_id,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_url_filters": op7_url_filters,
     "op8_media_columns": op8_media_columns,
 }
