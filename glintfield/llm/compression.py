@@ -14,7 +14,7 @@ class DictionarySizes:
     Every block starts from the dictionary alone, so a long text counts whole and in proportion.
     """
 
-    def __init__(self, contents: list[bytes], level: int = 3, block: int = 4096):
+    def __init__(self, contents: list[bytes], level: int, block: int):
         self.block = block
         params = zstandard.ZstdCompressionParameters.from_level(level, write_content_size=0, write_checksum=0, write_dict_id=0)
         self.shrink = []

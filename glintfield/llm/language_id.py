@@ -33,8 +33,8 @@ class LanguageModel(NamedTuple):
     dictionaries: list[bytes]
     #: Tells models apart in a worker's cache.
     key: int
-    level: int = 3
-    block: int = 4096
+    level: int = 6
+    block: int = 2048
     #: Bits of size difference that halve a language's odds.
     bits_per_doubling: float = 16.0
 
@@ -43,7 +43,7 @@ def letters_of(text: str) -> str:
     return NOT_LETTERS.sub(" ", text.lower()).strip()
 
 
-def fit_languages(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 400, piece_chars: int = 1000, dictionary_bytes: int = 160_000, max_languages: int = 500) -> LanguageModel:
+def fit_languages(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 400, piece_chars: int = 400, dictionary_bytes: int = 32_000, max_languages: int = 500) -> LanguageModel:
     """A dictionary per language, from a bounded sample of the rows whose language is not null."""
     rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sample, counts = hashed_sample(rows, "lang", "id", sample_rows)

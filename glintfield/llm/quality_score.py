@@ -1,15 +1,16 @@
 """Quality score by compression: does text shrink more with the good or the bad dictionary?
 
 Two raw-content dictionaries hold sampled text labelled good and bad. A whole text is compressed
-with both; the size difference as a share of the two sizes together is the raw score, and
-a one-dimensional logistic curve, fitted on labelled rows that are in neither dictionary, turns it
+with both; the size difference as a share of the two sizes together is the raw score, drawn
+towards the labelled average as if `prior_bytes` of average text stood beside it (which only short
+texts feel), and a one-dimensional logistic curve, fitted on labelled rows that are in neither dictionary, turns it
 into a probability.
 
 Learning uses a bounded sample: about `sample_rows` labelled rows a class, half of them for the
 dictionaries (a piece of at most `piece_chars` each, `dictionary_bytes` in all) and half, whole,
 for calibration. Calibration weighs the classes by how often they are labelled.
 
-Defined cases: null and empty texts have raw score 0 and so the curve's value there; without both
+Defined cases: null and empty texts get the average raw score and the curve's value there; without both
 classes to learn from every score is the share of good labels (0.5 with no labels); repeated
 rows give repeated results; columns that clash with the output's are dropped.
 """
@@ -30,19 +31,22 @@ from glintfield.llm.compression import dictionary_content, hashed_piece, hashed_
 class QualityModel(NamedTuple):
     good: bytes
     bad: bytes
-    slope: float
-    offset: float
+    #: Tells models apart in a worker's cache.
     key: int
-    level: int = 3
-    block: int = 4096
-
-    def raw(self, text: str | None) -> float:
-        """Between -1 and 1; above 0 if the good dictionary shrinks the text more."""
+    average: float = 0.0
+    slope: float = 0.0
+    offset: float = 0.0
+    prior_bytes: int = 40
+    level: int = 6
+    #: Short blocks, so that what a text repeats counts as seen from the dictionaries.
+    block: int = 128
+
+    def sizes(self, text: str | None) -> tuple[float, float]:
+        """Compressed bytes of the whole text with the good and the bad dictionary."""
         data = (text or "").encode()
         if not data or len(self.good) < 8 or len(self.bad) < 8:
-            return 0.0
-        good, bad = sizer(self.key, [self.good, self.bad], self.level, self.block).sizes(data)
-        return float((bad - good) / (bad + good))
+            return 0.0, 0.0
+        return tuple(sizer(self.key, [self.good, self.bad], self.level, self.block).sizes(data).tolist())
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, steps: int = 100) -> tuple[float, float]:
@@ -61,17 +65,18 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return float(beta[0] / scale[0]), float(beta[1])
 
 
-def _raw_scores(df: DataFrame, model: QualityModel, text_col: str):
+def _sizes(df: DataFrame, model: QualityModel, text_col: str):
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("double")
-    def raw(texts: pa.Array) -> pa.Array:
-        return pa.array([shared.value.raw(x) for x in texts.to_pylist()], pa.float64())
+    @F.arrow_udf("struct<good: double, bad: double>")
+    def sizes(texts: pa.Array) -> pa.Array:
+        both = np.array([shared.value.sizes(x) for x in texts.to_pylist()], float).reshape(-1, 2)
+        return pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["good", "bad"])
 
-    return raw(F.col(text_col))
+    return sizes(F.col(text_col))
 
 
-def fit_quality(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 3000, piece_chars: int = 600, dictionary_bytes: int = 400_000) -> QualityModel:
+def fit_quality(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 3000, piece_chars: int = 300, dictionary_bytes: int = 100_000) -> QualityModel:
     """labels: id_col and label_col (1 good, 0 bad) of the rows that may be learned from."""
     marked = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     sample, counts = hashed_sample(marked, "label", "id", sample_rows)
@@ -82,21 +87,24 @@ def fit_quality(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_i
     bad, good = (dictionary_content([r.piece for r in drawn if r.label == k], dictionary_bytes) for k in (0, 1))
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.5
-    flat = QualityModel(good, bad, 0.0, float(np.log((prior + 1e-6) / (1 - prior + 1e-6))), xxhash.xxh64_intdigest(good + b"\0" + bad))
+    flat = QualityModel(good, bad, xxhash.xxh64_intdigest(good + b"\0" + bad), offset=float(np.log((prior + 1e-6) / (1 - prior + 1e-6))))
     if len(good) < 8 or len(bad) < 8:
         return flat
-    held = chosen.where(F.pmod(h, F.lit(2)) == 1).select("label", _raw_scores(chosen, flat, "text").alias("raw")).collect()
-    y, x = np.array([r.label for r in held], float), np.array([r.raw for r in held], float)
+    held = chosen.where(F.pmod(h, F.lit(2)) == 1).select("label", _sizes(chosen, flat, "text").alias("s")).select("label", "s.*").collect()
+    y, g, b = (np.array([r[k] for r in held], float) for k in range(3))
     if not 0 < y.sum() < len(y):
         return flat
     weight = np.where(y == 1, prior / y.sum(), (1 - prior) / (len(y) - y.sum()))
-    slope, offset = fit_curve(x, y, weight)
-    return flat._replace(slope=slope, offset=offset)
+    average = float(weight @ ((b - g) / np.maximum(b + g, 1)))
+    raw = (b - g + average * flat.prior_bytes) / (b + g + flat.prior_bytes)
+    slope, offset = fit_curve(raw, y, weight)
+    return flat._replace(average=average, slope=slope, offset=offset)
 
 
 def score_quality(df: DataFrame, model: QualityModel, *, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """df with raw_score, score (0 to 1) and predicted (1 if score >= threshold)."""
     rest = df.drop("raw_score", "score", "predicted")
-    told = rest.select(F.struct("*").alias("row"), _raw_scores(rest, model, text_col).alias("raw_score"))
+    told = rest.select(F.struct("*").alias("row"), _sizes(rest, model, text_col).alias("s"))
+    raw = (F.col("s.bad") - F.col("s.good") + model.average * model.prior_bytes) / (F.col("s.bad") + F.col("s.good") + model.prior_bytes)
     score = 1 / (1 + F.exp(-(F.col("raw_score") * model.slope + model.offset)))
-    return told.select("row.*", "raw_score", score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
+    return told.select("row.*", raw.alias("raw_score")).select("*", score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
