@@ -9,6 +9,7 @@ from glintfield.llm.language_id import fit_languages, identify_languages
 from glintfield.llm.media_columns import store_as_media
 from glintfield.llm.quality_score import fit_quality, score_quality
 from glintfield.llm.substring_dedup import remove_repeated_passages
+from glintfield.llm.topk_search import exact_top_k, integer_vector
 from glintfield.llm.url_filters import Rule, filter_urls
 
 #: The contract's rules.
@@ -28,6 +29,11 @@ def op2_language_id(spark, sf_dir):
     return told.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op4_topk_search(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", integer_vector(F.col("embedding")).alias("vector"))
+    return exact_top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors, k=5)
+
+
 def op5_quality_classifier(spark, sf_dir):
     rows = documents(spark, sf_dir).select("doc_id", "text")
     held_out = id_residue(F.col("doc_id"), 4) == 2
@@ -47,12 +53,26 @@ def op8_media_columns(spark, sf_dir):
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
+    "op4_topk_search": op4_topk_search,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_url_filters": op7_url_filters,
     "op8_media_columns": op8_media_columns,
 }
 
 ORACLE_SQL = {
+    "op4_topk_search": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id
+  WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored
+QUALIFY rank <= 5""",
     "op7_url_filters": """
 WITH parts AS (
   SELECT page_id,
