@@ -136,7 +136,7 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
-def remove_repeated_passages(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, window: int = 50, rejoin: bool = True, group_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeated_passages(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, window: int = 50, rejoin: bool = True, group_bytes: int = 4 << 20) -> DataFrame:
     """Per row of df: the id, the `keep` columns, n_words, n_removed, kept_text and the removed word intervals.
 
     kept_text joins the kept words by one space, or with rejoin=False is the text with the removed
@@ -145,7 +145,7 @@ def remove_repeated_passages(df: DataFrame, *, id_col: str = "doc_id", text_col:
     spark = df.sparkSession
     keep = [c for c in keep or [] if c not in (id_col, text_col, *RESULT.names)]
     total, rows = df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)), F.count(F.lit(1))).first()
-    groups = max(1, min(rows, max(total // group_bytes, 3 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    groups = max(1, min(rows, max(total // group_bytes, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     found = df.select(F.col(id_col).cast("double").alias("x")).approxQuantile("x", [k / groups for k in range(1, groups)], 1 / (4 * groups)) if groups > 1 else []
     bounds = np.unique(np.array(found, np.int64))
 
