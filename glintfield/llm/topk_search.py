@@ -4,8 +4,7 @@ Vectors are dealt into blocks of about `block_rows` candidates and queries into
 `query_rows`; each pair of blocks is one task's group, so neither side is ever whole anywhere. In
 a group every component is a sorted list. A query reads all lists in parallel, `depth` entries a
 step, from the end where its products are largest. What it has read of a candidate gives a lower
-bound (unread components at the list's far end) and an upper bound (at the list's current
-place). Whoever cannot reach the k-th best lower bound is out, and reading stops when few are left; those
+bound (unread components at the list's far end) and an upper bound (at the list's current place). Whoever cannot reach the k-th best lower bound is out, and reading stops when few are left; those
 survivors' scores are then resolved exactly, and the k best of each group meet in one ranking
 per query.
 
@@ -42,49 +41,62 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 class SortedLists:
-    """One block of candidates, a sorted list for each component."""
+    """One block of candidates, each component a list that is sorted from either end.
+
+    A query with a positive component reads that list from its largest values down, one with
+    a negative component from the smallest up. All queries of a block read at the same pace, so that
+    what was read, and the bounds, are matrix products over queries and candidates.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        rising = np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32)
-        #: Each list from either end: candidates, their components, and each candidate's place.
-        self.rows = np.stack([rising, rising[:, ::-1]])
-        self.values = np.take_along_axis(vectors.T.astype(float)[None], self.rows, 2)
-        self.place = np.empty(self.rows.shape, np.int32)
-        np.put_along_axis(self.place, self.rows, np.arange(len(ids), dtype=np.int32)[None, None], 2)
-
-    def top(self, query_id: int, q: np.ndarray, k: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and exact scores of the k best candidates other than the query's own id."""
-        others = self.ids != query_id
-        k = min(k, int(others.sum()))
-        if not k:
-            return self.ids[:0], self.ids[:0]
-        dims = np.flatnonzero(q)
-        alive = self._survivors(q[dims].astype(float), dims, k, depth, others) if len(dims) else np.flatnonzero(others)
-        scores = self.vectors[alive] @ q
-        best = np.lexsort((self.ids[alive], -scores))[:k]
-        return self.ids[alive][best], scores[best]
-
-    def _survivors(self, q: np.ndarray, dims: np.ndarray, k: int, depth: int, others: np.ndarray) -> np.ndarray:
-        """Who can still be among the k best when sequential reading stops."""
-        n, way = len(self.ids), (q > 0).astype(int)
-        rows, gains, place = self.rows[way, dims], self.values[way, dims] * q[:, None], self.place[way, dims]
-        known, alive = np.zeros(n), np.arange(n)
+        self.lists = np.sort(vectors.T, axis=1)
+        order = np.argsort(vectors.T, axis=1, kind="stable")
+        up = np.empty(order.shape, np.int32)
+        np.put_along_axis(up, order, np.arange(len(ids), dtype=np.int32)[None], 1)
+        #: Place of each candidate in each list: read from the top, then read from the bottom.
+        self.place = np.concatenate([len(ids) - 1 - up, up])
+        self.values = np.concatenate([vectors.T, vectors.T])
+
+    def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query, ids and exact scores of its k best candidates other than its own id."""
+        found = []
+        for row, alive in enumerate(self._survivors(query_ids, queries, k, depth)):
+            scores = self.vectors[alive] @ queries[row]
+            best = np.lexsort((self.ids[alive], -scores))[:k]
+            found.append((self.ids[alive][best], scores[best]))
+        return found
+
+    def _survivors(self, query_ids: np.ndarray, queries: np.ndarray, k: int, depth: int) -> list[np.ndarray]:
+        """For each query, who can still be among the k best when its sequential reading stops."""
+        n, most = len(self.ids), int(np.abs(self.vectors).max(initial=0)) * int(np.abs(queries).max(initial=0)) * queries.shape[1]
+        real = np.float32 if most < 1 << 23 else np.float64  # sums of integers below 2**24 are exact in float32
+        signed = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], 1).astype(real)
+        values, worst = self.values.astype(real), np.concatenate([self.lists[:, 0], self.lists[:, -1]]).astype(real)
+        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(queries)
+        reading, known = np.arange(len(queries)), np.zeros((len(queries), n), real)
         for at in range(0, n, depth):
-            known += np.bincount(rows[:, at : at + depth].ravel(), gains[:, at : at + depth].ravel(), n)
+            known += signed[reading] @ np.where((self.place >= at) & (self.place < at + depth), values, 0).astype(real)
+            others = self.ids[None] != query_ids[reading, None]
             if at + depth >= n:
+                lower = upper = known
+            else:
+                unread = (self.place >= at + depth).astype(real)
+                here = np.concatenate([self.lists[:, n - 1 - at - depth], self.lists[:, at + depth]]).astype(real)
+                lower, upper = (known + (signed[reading] * bound) @ unread for bound in (worst, here))
+            ranked = np.where(others, lower, -np.inf)
+            reach = np.partition(ranked, max(n - k, 0), 1)[:, max(n - k, 0)]
+            stay = others & (upper >= reach[:, None])
+            done = (stay.sum(1) <= max(4 * k, n // 32)) | (at + depth >= n)
+            for row in np.flatnonzero(done):
+                out[reading[row]] = np.flatnonzero(stay[row])
+            reading, known = reading[~done], known[~done]
+            if not len(reading):
                 break
-            lower, upper = np.stack([gains[:, -1], gains[:, at + depth]]) @ (place >= at + depth) + known[alive]
-            lower[~others[alive]] = -np.inf
-            stay = others[alive] & (upper >= np.partition(lower, len(alive) - k)[len(alive) - k])
-            if stay.sum() < len(alive) / 2:
-                alive, place = alive[stay], place[:, stay]
-            if len(alive) <= max(4 * k, n // 50):
-                break
-        return alive[others[alive]]
+        return out
 
 
-def exact_top_k(queries: DataFrame, candidates: DataFrame, *, id_col: str = "vec_id", vector_col: str = "vector", k: int = 5, block_rows: int = 2048, query_rows: int = 1024, depth: int = 256) -> DataFrame:
+def exact_top_k(queries: DataFrame, candidates: DataFrame, *, id_col: str = "vec_id", vector_col: str = "vector", k: int = 5, block_rows: int = 2048, query_rows: int = 512, depth: int = 512) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k largest inner products of each query.
 
     Both tables hold id_col (integers) and vector_col (array<bigint>, see integer_vector).
@@ -103,8 +115,8 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, *, id_col: str = "vec
             return SCHEMA.empty_table()
         width = max(max((len(x) for x in t["v"].to_pylist()), default=0) for t in (left, right))
         lists = SortedLists(right["id"].to_numpy(), _matrix(right["v"], width))
-        out = [(q, *lists.top(q, vector, k, depth)) for q, vector in zip(left["id"].to_pylist(), _matrix(left["v"], width))]
-        parts = [np.repeat([q for q, ids, _ in out], [len(ids) for _, ids, _ in out]), *(np.concatenate([x[j] for x in out]) for j in (1, 2))]
+        out = lists.top(left["id"].to_numpy(), _matrix(left["v"], width), k, depth)
+        parts = [np.repeat(left["id"].to_numpy(), [len(ids) for ids, _ in out]), *(np.concatenate(x) for x in zip(*out))]
         return pa.table([pa.array(x.astype(np.int64)) for x in parts], schema=SCHEMA)
 
     found = asked.groupBy("qb", "cb").cogroup(held.groupBy("qb", "cb")).applyInArrow(search, RESULT)
