@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from glintfield.llm.common import documents, id_residue
 from glintfield.llm.language_id import fit_languages, identify_languages
 from glintfield.llm.media_columns import store_as_media
+from glintfield.llm.near_dedup import near_duplicate_classes
 from glintfield.llm.quality_score import fit_quality, score_quality
 from glintfield.llm.substring_dedup import remove_repeated_passages
 from glintfield.llm.topk_search import exact_top_k, integer_vector
@@ -50,6 +51,10 @@ def op8_media_columns(spark, sf_dir):
     return store_as_media(documents(spark, sf_dir))
 
 
+def op9_near_dedup(spark, sf_dir):
+    return near_duplicate_classes(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
@@ -57,6 +62,7 @@ QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
     "op7_url_filters": op7_url_filters,
     "op8_media_columns": op8_media_columns,
+    "op9_near_dedup": op9_near_dedup,
 }
 
 ORACLE_SQL = {
