@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glintfield.llm.common import documents, id_residue
+from glintfield.llm.common import WORD_GAP, documents, durable, id_residue
 from glintfield.llm.language_id import fit_languages, identify_languages
 from glintfield.llm.media_columns import store_as_media
 from glintfield.llm.near_dedup import near_duplicate_classes
+from glintfield.llm.packing import pack
 from glintfield.llm.quality_score import fit_quality, score_quality
+from glintfield.llm.source_mixing import domain_posteriors, fit_domains, mix_to_targets
 from glintfield.llm.substring_dedup import remove_repeated_passages
 from glintfield.llm.topk_search import exact_top_k, integer_vector
 from glintfield.llm.url_filters import Rule, filter_urls
@@ -30,6 +32,32 @@ def op2_language_id(spark, sf_dir):
     return told.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+#: Shares of the tokens that each labelled domain shall have.
+MIX_TARGETS = {"good": 0.94, "low": 0.03, "toxic": 0.03}
+
+
+def domain_labels(spark, sf_dir):
+    """labels as domains: toxic, else good or low."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "low")
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", domain.alias("domain"))
+
+
+def op3_source_mixing(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", "text")
+    model = fit_domains(rows, domain_labels(spark, sf_dir))
+    return mix_to_targets(durable(domain_posteriors(rows, model).drop("text")), model.domains, MIX_TARGETS)
+
+
+def to_pack(rows):
+    """What packing needs of documents: words, source, and a cluster for each distinct content."""
+    words = F.regexp_replace(F.trim(F.coalesce("text", F.lit(""))), WORD_GAP, " ")
+    return rows.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).alias("n_tokens"), F.xxhash64(words).alias("cluster"))
+
+
+def op6_best_fit_packing(spark, sf_dir):
+    return pack(to_pack(documents(spark, sf_dir)))
+
+
 def op4_topk_search(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", integer_vector(F.col("embedding")).alias("vector"))
     return exact_top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors, k=5)
@@ -58,8 +86,10 @@ def op9_near_dedup(spark, sf_dir):
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
+    "op3_source_mixing": op3_source_mixing,
     "op4_topk_search": op4_topk_search,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_url_filters": op7_url_filters,
     "op8_media_columns": op8_media_columns,
     "op9_near_dedup": op9_near_dedup,
