@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from glintfield.llm.common import WORD_GAP, documents, durable, id_residue
 from glintfield.llm.language_id import fit_languages, identify_languages
 from glintfield.llm.media_columns import store_as_media
+from glintfield.llm.license_scan import find_licenses, templates
 from glintfield.llm.near_dedup import near_duplicate_classes
 from glintfield.llm.packing import pack
 from glintfield.llm.quality_score import fit_quality, score_quality
@@ -83,6 +84,10 @@ def op9_near_dedup(spark, sf_dir):
     return near_duplicate_classes(documents(spark, sf_dir))
 
 
+def op10_license_scan(spark, sf_dir):
+    return find_licenses(documents(spark, sf_dir), templates(spark))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
@@ -93,6 +98,7 @@ QUERIES = {
     "op7_url_filters": op7_url_filters,
     "op8_media_columns": op8_media_columns,
     "op9_near_dedup": op9_near_dedup,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL = {
