@@ -39,7 +39,7 @@ def id_residue(doc_id: Column, modulus: int) -> Column:
 class WordHashes(dict):
     """64-bit hashes of words, remembered; emptied when it holds `most` of them."""
 
-    def __init__(self, most: int = 500_000, seed: int = 0):
+    def __init__(self, most: int = 100_000, seed: int = 0):
         super().__init__()
         self.most, self.seed = most, seed
 

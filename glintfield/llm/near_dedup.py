@@ -97,23 +97,24 @@ def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
 SKETCH = pa.struct([("content", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
-def _sketches(texts: list[str | None], bands: int, rows: int, width: int) -> pa.Array:
-    out, here, tokens = [], [], []
+def _sketches(texts: pa.Array, bands: int, rows: int, width: int) -> pa.Array:
+    """The sketches of a batch, made for some hundred texts or 50,000 words at a time."""
+    out, here, words = [], [], 0
 
     def flush():
-        if here:
-            signature, sizes = signatures(here, bands * rows, width)
-            keys = band_keys(signature, bands)
-            out.extend((xxhash.xxh3_128_digest(b" ".join(t)), int(n), k.tolist()) if n else (None, 0, []) for t, n, k in zip(here, sizes, keys))
-            here.clear()
-            tokens.clear()
+        signature, sizes = signatures(here, bands * rows, width)
+        keys = band_keys(signature, bands)
+        out.extend((xxhash.xxh3_128_digest(b" ".join(t)), int(n), k.tolist()) if n else (None, 0, []) for t, n, k in zip(here, sizes, keys))
+        here.clear()
 
     for text in texts:
-        here.append((text or "").encode().split())
-        tokens.append(len(here[-1]))
-        if sum(tokens) > 100_000 or len(tokens) >= 400:
+        here.append((text.as_py() or "").encode().split())
+        words += len(here[-1])
+        if words > 50_000 or len(here) >= 300:
             flush()
-    flush()
+            words = 0
+    if here:
+        flush()
     columns = list(zip(*out)) or [(), (), ()]
     return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SKETCH)], [f.name for f in SKETCH])
 
@@ -165,7 +166,7 @@ def near_duplicate_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: s
 
     @F.arrow_udf("struct<content: binary, n: bigint, bands: array<bigint>>")
     def sketch(texts: pa.Array) -> pa.Array:
-        return _sketches(texts.to_pylist(), bands, rows, width)
+        return _sketches(texts, bands, rows, width)
 
     seen = durable(df.select(F.col(id_col).alias("id"), sketch(F.col(text_col)).alias("s")).select("id", "s.*"))
     nodes = seen.where("n > 0 AND id IS NOT NULL").groupBy("content").agg(F.min("id").cast("long").alias("node"), F.max("n").alias("n"), F.max("bands").alias("bands"))
