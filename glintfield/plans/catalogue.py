@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from glintfield.plans import geometry
+
+QUERIES: dict = {**geometry.QUERIES}
+ORACLE_SQL: dict[str, str] = {**geometry.ORACLE_SQL}
 FLAGSHIP = "color_fast_time"
