@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -27,3 +29,11 @@ def build_session(app: str = "glintfield", master: str | None = None, **extra: s
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's tables, as a DataFrame over its Parquet files."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows from files in the session's spark.checkpoint.dir, so that several uses do not recompute them."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="glint-checkpoint-"))
+    return df.checkpoint()
