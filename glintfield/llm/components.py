@@ -11,12 +11,18 @@ from glintfield.llm.common import durable
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node of each component, for all nodes of edges(a, b).
 
-    Each round takes the smallest label among the neighbours and then the label's own label, so a
-    component of diameter d is done after about log2(d) rounds. Labels are checkpointed between
+    First every node is tied to its smallest neighbour alone, and its other smaller neighbours to that
+    one, which leaves about an edge a node where many share few hubs. Each round then takes the
+    smallest label among the neighbours and then the label's own label, so a component of diameter d
+    is done after about log2(d) rounds. Labels are checkpointed between
     rounds. Hot nodes only meet in joins that adaptive execution splits and in minima that are
     combined before their shuffle.
     """
-    both = durable(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    falling = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = falling.groupBy("a").agg(F.min("b").alias("m"))
+    tied = falling.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m"))
+    few = durable(tied.distinct())
+    both = durable(few.union(few.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = durable(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     for _ in range(most_rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
