@@ -19,9 +19,9 @@ def log_normalise(df: DataFrame, keys: tuple[str, ...], value: str, out: str) ->
 
 
 def to_uint8(df: DataFrame, keys: tuple[str, ...], value: str, out: str) -> DataFrame:
-    """Min-max to 0..255, cut to whole numbers; 0 where the group is flat."""
+    """Min-max to 0..255, cut to whole numbers (after rounding to 1e-6, so that the top is 255); 0 where the group is flat."""
     ranged = _per(df, keys, _lo=F.min(value), _hi=F.max(value))
-    return ranged.withColumn(out, F.when(F.col("_hi") > F.col("_lo"), F.floor(255.0 * (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))).otherwise(0).cast("int")).drop("_lo", "_hi")
+    return ranged.withColumn(out, F.when(F.col("_hi") > F.col("_lo"), F.floor(F.round(255.0 * (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")), 6))).otherwise(0).cast("int")).drop("_lo", "_hi")
 
 
 def clip_sigma(df: DataFrame, keys: tuple[str, ...], value: str, sigmas: float) -> DataFrame:

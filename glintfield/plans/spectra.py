@@ -121,7 +121,7 @@ _COMPOSITE = (
 )
 _LENS = (
     "q AS (SELECT chip, channel, r, c, least(v, avg(v) OVER w + 2*stddev_pop(v) OVER w) AS v FROM m WINDOW w AS (PARTITION BY chip, channel)),\n"
-    "t AS (SELECT *, CAST(coalesce(floor(255.0*(v-min(v) OVER w)/nullif(max(v) OVER w-min(v) OVER w, 0)), 0) AS INT) AS t FROM q WINDOW w AS (PARTITION BY chip))\n"
+    "t AS (SELECT *, CAST(coalesce(floor(round(255.0*(v-min(v) OVER w)/nullif(max(v) OVER w-min(v) OVER w, 0), 6)), 0) AS INT) AS t FROM q WINDOW w AS (PARTITION BY chip))\n"
     + _RGB.format(", ".join(f"max(t) FILTER (channel='{x}') AS {x}" for x in ("red", "green", "blue")))
 )
 _BAND = "{name} AS (SELECT chip, r, c, CASE WHEN {axis} >= {b0} AND {axis} < {b1} THEN re ELSE 0 END AS re, CASE WHEN {axis} >= {b0} AND {axis} < {b1} THEN im ELSE 0 END AS im FROM {source})"
@@ -139,7 +139,7 @@ ORACLE_SQL = {
     "range_spectrum_log": f"WITH {PX_SQL},\n{fft_sql('s', 'px', 'c', SAMPLES)}\nSELECT chip, r, c, round(log10(re*re+im*im+1e-10), 5)+0.0 AS v FROM s",
     "azimuth_spectrum": f"WITH {PX_SQL},\n{fft_sql('s', 'px', 'r', LINES)}\nSELECT chip, r, c, round(re, 6)+0.0 AS re, round(im, 6)+0.0 AS im FROM s",
     "spectrum_2d_log": f"{_S2}\nSELECT chip, r, c, round(log10(sqrt(re*re+im*im)+1e-10), 5)+0.0 AS v FROM s2",
-    "range_power_u8": f"WITH {PX_SQL},\n{fft_sql('s', 'px', 'c', SAMPLES)},\nl AS (SELECT chip, r, c, round(log10(re*re+im*im+1e-10), 6)+0.0 AS v FROM s)\nSELECT chip, r, c, CAST(coalesce(floor(255.0*(v-min(v) OVER w)/nullif(max(v) OVER w-min(v) OVER w, 0)), 0) AS INT) AS u FROM l WINDOW w AS (PARTITION BY chip)",
+    "range_power_u8": f"WITH {PX_SQL},\n{fft_sql('s', 'px', 'c', SAMPLES)},\nl AS (SELECT chip, r, c, round(log10(re*re+im*im+1e-10), 6)+0.0 AS v FROM s)\nSELECT chip, r, c, CAST(coalesce(floor(round(255.0*(v-min(v) OVER w)/nullif(max(v) OVER w-min(v) OVER w, 0), 6)), 0) AS INT) AS u FROM l WINDOW w AS (PARTITION BY chip)",
     "fft_shift": f"WITH {PX_SQL}\nSELECT chip, CAST((r+32) % 64 AS INT) AS r, CAST((c+16) % 32 AS INT) AS c, re, im FROM px",
     "ifft_roundtrip": f"WITH {PX_SQL}\nSELECT chip, r, c, round(re, 6)+0.0 AS re, round(im, 6)+0.0 AS im FROM px",
     "color_fast_time": _color_sql("c", SAMPLES, _COMPOSITE),
