@@ -14,7 +14,9 @@ template would begin; the template's shingles found from there (with a slack of
 length on both sides) are counted exactly, and a share of at least `containment` is a match. Overlapping
 matches of one template in one document count once, the best first.
 
-Broadcast are only tables of the templates, of which `max_templates` is checked.
+Broadcast are tables of the templates, of which `max_templates` is checked, and the ids of the
+documents with candidates while they are at most `broadcast_rows`; beyond that they meet their texts in
+a shuffle join.
 
 Defined cases: null and empty texts, texts or templates under WIDTH words have no shingle and no
 match; rows that repeat an id are one document each with equal matches, given once; an empty table gives an empty
@@ -26,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from glintfield.llm.common import durable
+
 WIDTH, SHINGLES, STRIDE, BANDS = 5, 4, 2, 24
 
 #: Short public license notices: (id, text). Fixed values.
@@ -71,7 +75,7 @@ def band_values() -> list[Column]:
     return [F.least(*(F.col(f"s{k}").bitwiseXOR(mask) for k in range(SHINGLES))) for mask in masks]
 
 
-def find_licenses(df: DataFrame, known: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", containment: float = 0.8) -> DataFrame:
+def find_licenses(df: DataFrame, known: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", containment: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Per match: id, template_id, start_word, end_word (of the region), matched, shingles, containment."""
     shapes = F.broadcast(known.select(F.col("template_id").alias("key"), word_hashes(F.col("text")).alias("words")).where(F.size("words") >= WIDTH))
     pieces = shapes.select("key", F.size("words").alias("length"), F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("words") - WIDTH), lambda i: shingle(F.col("words"), i))).alias("pool"))
@@ -82,8 +86,10 @@ def find_licenses(df: DataFrame, known: DataFrame, *, id_col: str = "doc_id", te
     places = met.select("key", "template_id", (F.col("at") - F.col("offset")).alias("begin")).distinct()
 
     # Exact containment, in the documents that have candidates.
-    asked = places.groupBy("key").agg(F.collect_set(F.struct("template_id", "begin")).alias("asked"))
-    near = texts.join(asked, "key").select("key", "words", F.explode("asked").alias("a")).select("key", "words", "a.*").join(F.broadcast(pieces.withColumnRenamed("key", "template_id")), "template_id")
+    asked = durable(places.groupBy("key").agg(F.collect_set(F.struct("template_id", "begin")).alias("asked")))
+    few = F.broadcast(asked) if asked.count() <= broadcast_rows else asked
+    whole = df.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(few, "key")
+    near = whole.select("key", word_hashes(F.col("text")).alias("words"), "asked").select("key", "words", F.explode("asked").alias("a")).select("key", "words", "a.*").join(F.broadcast(pieces.withColumnRenamed("key", "template_id")), "template_id")
     slack = F.ceil(F.col("length") * 0.2).cast("int")
     first = F.greatest(F.col("begin") - slack, F.lit(0))
     past = F.least(F.col("begin") + F.col("length") + slack, F.size("words"))
