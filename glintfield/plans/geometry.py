@@ -35,6 +35,13 @@ CHAINS: dict[str, tuple[str, list[Step], str]] = {
     "ruler_step": ("customer", [*VIEW, DEGREES, INCIDENCE, {"spacing": "(CASE WHEN key % 7 = 0 THEN 1.0 ELSE key % 7 * 0.5 END)", "is_slc": "key % 2 = 0"}, {"step": "(CASE WHEN is_slc THEN spacing/sin(radians(incidence)) ELSE spacing END)*(CASE WHEN key % 3 = 0 THEN 10.0 ELSE 1.0 END)"}], rounded({"step": 6}, "key", "is_slc")),
     "lens_extent": ("customer", [{"size": "100.0+(key % 21)*0.05*300.0"}, *g.lens_extent("lat", "size"), {"xmin": "lon-half_lon", "xmax": "lon+half_lon", "ymin": "lat-half_lat", "ymax": "lat+half_lat"}], rounded({"xmin": 9, "xmax": 9, "ymin": 9, "ymax": 9}, "key")),
     "utm_zone": ("customer", g.utm_zone("lat", "lon"), "key, zone, epsg"),
+    "utm_square": ("customer", [*g.utm_zone("lat", "lon"), *g.transverse_mercator("lat", "lon", "zone"), {"e0": "easting-150.0", "e1": "easting+150.0", "n0": "northing-150.0", "n1": "northing+150.0"}], rounded({"e0": 3, "e1": 3, "n0": 3, "n1": 3}, "key", "zone")),
+    "viewer_step": ("customer", [{"was": "0.175+(key % 14)*0.05", "direction": "(CASE WHEN key % 2 = 0 THEN 1.0 ELSE -1.0 END)"}, g.viewer_step("was", "direction")], rounded({"centre": 6}, "key")),
+    "wheel_steps": ("customer", [{"delta": "(key % 1000)-500.0"}, g.wheel_steps("delta")], "key, steps"),
+    "export_size": ("customer", [{"wide": "key % 4000 + 1.0", "high": "key*7 % 3000 + 1.0", "f": "(key % 100 + 1.0)/100.0"}, g.export_size("wide", "high", "f")], "key, out_w, out_h"),
+    "frame_delay": ("customer", g.frame_delay("(key % 30)"), "key, delay_cs"),
+    "local_incidence": ("customer", [*VIEW, DEGREES, INCIDENCE, {"scene_inc": "(CASE WHEN key % 3 = 0 THEN 0.0 ELSE 20.0+key % 30 END)"}, g.local_incidence("scene_inc", "incidence", "key % 2 = 0")], rounded({"incidence_used": 6}, "key")),
+    "overlay_place": ("customer", [{"x": "key*13 % 1900+0.0", "y": "key*17 % 1060+0.0"}, g.overlay_place("x", "y", "350.0", "1920.0", "1080.0")], rounded({"left_px": 3, "top_px": 3}, "key")),
     "ruler_orientation": ("customer", [*VIEW, DEGREES, {"rot": "deg_layover-deg_north-90.0"}], rounded({"rot": 6}, "key")),
 }
 

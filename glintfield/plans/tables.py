@@ -167,12 +167,46 @@ def job_status(spark, sf_dir):
     return steps[0].unionByName(steps[1]).unionByName(steps[2]).groupBy("step", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def export_format(spark, sf_dir):
+    """The writer of a path by its ending, which must be lower case."""
+    kinds = F.array(*map(F.lit, [".png", ".tif", ".tiff", ".gif", ".mp4", ".TIF", ".doc"]))
+    path = F.concat("p_brand", F.get(kinds, (F.col("p_partkey") % 7).cast("int")))
+    kind = F.when(path.endswith(".png"), "png").when(path.rlike(r"\.tiff?$"), "copy").when(path.endswith(".gif"), "gif").when(path.endswith(".mp4"), "video")
+    return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(kind, F.lit("none")).alias("writer"))
+
+
+def hit_test(spark, sf_dir):
+    """The first placed item (in order of placing) within 50 pixels of each click."""
+    items = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("item"), (F.col("s_suppkey") * 37 % 1000).alias("x"), (F.col("s_suppkey") * 91 % 800).alias("y"))
+    clicks = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("click"), (F.col("c_custkey") * 53 % 1000).alias("cx"), (F.col("c_custkey") * 29 % 800).alias("cy"))
+    # Cells of the hit radius: an item is looked for in the nine cells around a click only.
+    cell = lambda v: F.floor(F.col(v) / 50).cast("int")
+    around = F.explode(F.expr("transform(sequence(0, 8), k -> struct(k % 3 - 1 AS dx, CAST(k / 3 AS INT) - 1 AS dy))"))
+    near = clicks.select("*", around.alias("d")).select("click", "cx", "cy", (cell("cx") + F.col("d.dx")).alias("gx"), (cell("cy") + F.col("d.dy")).alias("gy"))
+    met = near.join(items.select("*", cell("x").alias("gx"), cell("y").alias("gy")), ["gx", "gy"]).where("(x-cx)*(x-cx)+(y-cy)*(y-cy) <= 2500")
+    return met.groupBy("click").agg(F.min("item").alias("item"))
+
+
+def band_alpha(spark, sf_dir):
+    """The first band of each layer that is an alpha band, and the bands that remain."""
+    bands = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("layer"), F.col("l_linenumber").alias("band")).agg((F.max("l_tax") > 0.075).alias("alpha"))
+    return bands.groupBy("layer").agg(F.coalesce(F.min(F.when(F.col("alpha"), F.col("band"))), F.lit(0)).alias("alpha_band"), F.count_if(~F.col("alpha")).alias("n_bands"))
+
+
+def layer_tree(spark, sf_dir):
+    """Regions, nations and suppliers as one tree, flattened in pre-order; every layer once."""
+    nation, region, supplier = (table(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
+    paths = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    keyed = paths.groupBy("s_suppkey").agg(F.min(F.concat_ws("/", F.lpad(F.col("r_regionkey").cast("string"), 4, "0"), F.lpad(F.col("n_nationkey").cast("string"), 4, "0"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0"))).alias("path"))
+    return keyed.select(F.col("s_suppkey").alias("layer"), "path")
+
+
 def policy_edges(spark, sf_dir):
     states = table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("value") > 50).alias("wanted"))
     return catalog.falling_edges(states, "user_id", "event_id", "wanted").select("event_id", "user_id")
 
 
-QUERIES = {f.__name__: f for f in (acquisition_span, band_ranges, rows_per_band, iso_parse, fixed_range, teal_ramp, cumulative_cut, to_db, vendor_layer_filter, layer_routing, link_extract, url_resolve, id_from_href, file_name, https_only, asset_pick_slc, asset_pick_qlk, qlk_footprint_split, catalog_filter, bbox_ring, product_name_hash, metadata_view, resolve_source, jobs_from_masks, job_status, policy_edges)}
+QUERIES = {f.__name__: f for f in (acquisition_span, band_ranges, rows_per_band, iso_parse, fixed_range, teal_ramp, cumulative_cut, to_db, vendor_layer_filter, layer_routing, link_extract, url_resolve, id_from_href, file_name, https_only, asset_pick_slc, asset_pick_qlk, qlk_footprint_split, catalog_filter, bbox_ring, product_name_hash, metadata_view, resolve_source, jobs_from_masks, job_status, policy_edges, export_format, hit_test, band_alpha, layer_tree)}
 CURVES = {"tone_log": ["log_tone"], "tone_db": ["db_tone"], "tone_sqrt": ["sqrt_tone"], "tone_asinh": ["asinh_tone"], "tone_loglog": ["loglog_tone"], "grey_ramp": ["grey"]}
 QUERIES.update({name: _tone(columns) for name, columns in CURVES.items()})
 
@@ -218,6 +252,11 @@ SELECT id, label, contains(lower(label), '1') OR id IN (SELECT parent FROM nodes
     "job_status": """WITH j AS (SELECT c_custkey%150 AS layer_id FROM customer), l AS (SELECT s_suppkey AS layer_id, s_suppkey%6<>0 AS valid, s_suppkey%4<>0 AS meta FROM supplier)
 SELECT step, CASE WHEN valid IS NULL OR NOT valid THEN 'skip' WHEN NOT meta THEN nometa ELSE 'task' END AS status, count(*) AS n
 FROM j LEFT JOIN l USING (layer_id) CROSS JOIN (VALUES ('focus', 'abort'), ('video', 'skip'), ('crop', 'task')) s(step, nometa) GROUP BY 1, 2""",
+    "export_format": "SELECT p_partkey, ['png', 'copy', 'copy', 'gif', 'video', 'none', 'none'][p_partkey%7+1] AS writer FROM part",
+    "hit_test": """WITH i AS (SELECT s_suppkey AS item, s_suppkey*37%1000 AS x, s_suppkey*91%800 AS y FROM supplier), c AS (SELECT c_custkey AS click, c_custkey*53%1000 AS cx, c_custkey*29%800 AS cy FROM customer)
+SELECT click, min(item) AS item FROM c JOIN i ON (x-cx)*(x-cx)+(y-cy)*(y-cy) <= 2500 GROUP BY 1""",
+    "band_alpha": "SELECT layer, coalesce(min(band) FILTER (alpha), 0) AS alpha_band, count(*) FILTER (NOT alpha) AS n_bands FROM (SELECT l_suppkey AS layer, l_linenumber AS band, max(l_tax) > 0.075 AS alpha FROM lineitem GROUP BY 1, 2) GROUP BY 1",
+    "layer_tree": "SELECT s_suppkey AS layer, lpad(CAST(n_regionkey AS VARCHAR), 4, '0') || '/' || lpad(CAST(n_nationkey AS VARCHAR), 4, '0') || '/' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS path FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "policy_edges": "SELECT event_id, user_id FROM events QUALIFY lag(value > 50) OVER (PARTITION BY user_id ORDER BY event_id) AND NOT value > 50",
     **{name: steps_sql("SELECT i FROM range(256) t(i)", tone.curve_steps(256), "i, " + ", ".join(c if c == "grey" else f"round({c}, 8)+0.0 AS {c}" for c in columns)) for name, columns in CURVES.items()},
 }
