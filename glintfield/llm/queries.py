@@ -102,6 +102,34 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_substring_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+pos AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+win AS (
+  SELECT doc_id, i, string_agg(word, ' ') OVER f AS t, count(*) OVER f AS n FROM pos
+  WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+firsts AS (SELECT t, min(doc_id) AS first FROM win WHERE n = 50 GROUP BY t),
+again AS (SELECT win.doc_id, win.i FROM win JOIN firsts USING (t) WHERE n = 50 AND first < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM again),
+kept AS (
+  SELECT pos.doc_id, count(gone.i) AS n_removed, string_agg(word, ' ' ORDER BY pos.i) FILTER (gone.i IS NULL) AS kept
+  FROM pos LEFT JOIN gone ON gone.doc_id = pos.doc_id AND gone.i = pos.i GROUP BY pos.doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)""",
+    "op9_near_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+pos AS (SELECT doc_id, len(ws) AS m, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+win AS (
+  SELECT doc_id, m, i, string_agg(word, ' ') OVER f AS t, count(*) OVER f AS n FROM pos
+  WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+sh AS (SELECT DISTINCT doc_id, t FROM win WHERE n = 5 OR (m < 5 AND i = 1)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE k >= 0.8 * (x.n + y.n - k) - 1e-9),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS doc_id, b AS other FROM both_ways UNION SELECT r.doc_id, e.b FROM reach r JOIN both_ways e ON e.a = r.other)
+SELECT w.doc_id, least(w.doc_id, coalesce(min(other), w.doc_id)) AS class_id, coalesce(max(n), 0) AS n_shingles
+FROM w LEFT JOIN reach USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP BY w.doc_id""",
     "op4_topk_search": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
