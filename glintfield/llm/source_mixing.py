@@ -22,6 +22,7 @@ clash with the output's are dropped.
 
 from __future__ import annotations
 
+import re
 from operator import eq
 from typing import NamedTuple
 
@@ -34,7 +35,8 @@ from pyspark.sql import functions as F
 from glintfield.llm.common import durable
 from glintfield.llm.compression import hashed_piece, hashed_sample
 
-SHAPES = 5  # lower case, capitalised, upper case, with digits, without letters or digits
+SHAPES = 5  # lower case, capitalised or mixed, upper case, with digits, without cased letters or digits
+DIGIT = re.compile(rb"[0-9]")
 
 
 class DomainModel(NamedTuple):
@@ -49,13 +51,14 @@ def _bare(word: bytes) -> bytes:
 
 
 def _shape(word: bytes) -> int:
-    text = word.decode(errors="replace")
-    if any(c.isdigit() for c in text):
+    if DIGIT.search(word):
         return 3
-    letters = [c for c in text if c.isalpha()]
-    if not letters:
-        return 4
-    return 2 if len(letters) > 1 and all(c.isupper() for c in letters) else int(letters[0].isupper())
+    text = word.decode(errors="replace")
+    if text.islower():
+        return 0
+    if text.isupper():
+        return 2 if sum(map(str.isalpha, text)) > 1 else 1
+    return 1 if text.lower() != text else 4
 
 
 class WordFeatures(dict):
