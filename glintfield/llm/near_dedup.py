@@ -161,7 +161,7 @@ def _verify(left: list[int], right: list[int] | None, sets: dict[int, np.ndarray
 LINKS = pa.schema([("comp", pa.int64()), ("node", pa.int64()), ("root", pa.int64())])
 
 
-def near_duplicate_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 30, rows: int = 5, block_shingles: int = 200_000, block_rows: int = 400, pivots: int = 48, broadcast_rows: int = 1_000_000) -> DataFrame:
+def near_duplicate_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 30, rows: int = 5, block_shingles: int = 200_000, block_rows: int = 400, pivots: int = 48, broadcast_rows: int = 200_000) -> DataFrame:
     """Per row of df: the id, class_id (the smallest id of its class) and n_shingles."""
 
     @F.arrow_udf("struct<content: binary, n: bigint, bands: array<bigint>>")

@@ -237,3 +237,11 @@ def test_license_scan(spark):
 ])
 def test_empty_tables(spark, run):
     assert run(frame(spark, []), spark).count() == 0
+
+
+def test_near_dedup_and_licenses_without_broadcasts(spark, texts):
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(frame(spark, texts), broadcast_rows=0).collect()}
+    assert got == brute_classes(texts)
+    rows = [(1, prose(20) + " Released under the MIT License. " + prose(9)), (2, None)]
+    found = license_scan.find_licenses(frame(spark, rows), license_scan.templates(spark), broadcast_rows=0).collect()
+    assert [(r.doc_id, r.template_id, r.start_word) for r in found] == [(1, "MIT", 20)]
