@@ -31,6 +31,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def text_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, in a session that hands Python at most `rows` texts at a time.
+
+    Spark's own default of 10,000 makes batches of some 30 MB of text, several times that in a worker.
+    A smaller setting of the session stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def id_residue(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo `modulus`; null ids give null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

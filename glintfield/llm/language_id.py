@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glintfield.llm.common import text_batches
 from glintfield.llm.compression import dictionary_content, hashed_piece, hashed_sample, sizer
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -77,11 +78,11 @@ def identify_languages(df: DataFrame, model: LanguageModel, *, text_col: str = "
 
     @F.arrow_udf("struct<lang_pred: string, score: double, margin: double>")
     def predict(texts: pa.Array) -> pa.Array:
-        told = [judge(shared.value, x) for x in texts.to_pylist()]
+        told = [judge(shared.value, x.as_py()) for x in texts]
         columns = list(zip(*told)) if told else [(), (), ()]
         return pa.StructArray.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.float64())], ["lang_pred", "score", "margin"])
 
-    rest = df.drop("lang_pred", "score", "margin", "rejected")
+    rest = text_batches(df).drop("lang_pred", "score", "margin", "rejected")
     told = rest.select(F.struct("*").alias("row"), predict(F.col(text_col)).alias("told"))
     unsure = (F.col("told.lang_pred") == UNKNOWN) | (F.col("told.margin") < min_margin)
     return told.select("row.*", "told.*", unsure.alias("rejected"))

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glintfield.llm.common import text_batches
+
 
 class Found(NamedTuple):
     kind: str
@@ -238,5 +240,5 @@ def store_as_media(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def store(texts: pa.Array) -> pa.Array:
         return pa.array([_stored_digest(x.as_py(), block) for x in texts], STORED)
 
-    kept = df.select(F.col(id_col), store(F.col(text_col)).alias("stored"))
+    kept = text_batches(df).select(F.col(id_col), store(F.col(text_col)).alias("stored"))
     return kept.select(id_col, *(F.col("stored")[f.name].alias(f.name) for f in STORED))

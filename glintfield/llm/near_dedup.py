@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintfield.llm.common import WordHashes, durable, mix64
+from glintfield.llm.common import WordHashes, durable, mix64, text_batches
 from glintfield.llm.components import connected_components
 
 GOLDEN = 0x9E3779B97F4A7C15
@@ -168,7 +168,7 @@ def near_duplicate_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: s
     def sketch(texts: pa.Array) -> pa.Array:
         return _sketches(texts, bands, rows, width)
 
-    seen = durable(df.select(F.col(id_col).alias("id"), sketch(F.col(text_col)).alias("s")).select("id", "s.*"))
+    seen = durable(text_batches(df).select(F.col(id_col).alias("id"), sketch(F.col(text_col)).alias("s")).select("id", "s.*"))
     nodes = seen.where("n > 0 AND id IS NOT NULL").groupBy("content").agg(F.min("id").cast("long").alias("node"), F.max("n").alias("n"), F.max("bands").alias("bands"))
     nodes = durable(nodes)
     keyed = nodes.select("node", F.explode("bands").alias("band"))

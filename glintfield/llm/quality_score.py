@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glintfield.llm.common import text_batches
 from glintfield.llm.compression import dictionary_content, hashed_piece, hashed_sample, sizer
 
 
@@ -70,7 +71,7 @@ def _sizes(df: DataFrame, model: QualityModel, text_col: str):
 
     @F.arrow_udf("struct<good: double, bad: double>")
     def sizes(texts: pa.Array) -> pa.Array:
-        both = np.array([shared.value.sizes(x) for x in texts.to_pylist()], float).reshape(-1, 2)
+        both = np.array([shared.value.sizes(x.as_py()) for x in texts], float).reshape(-1, 2)
         return pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["good", "bad"])
 
     return sizes(F.col(text_col))
@@ -103,7 +104,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_i
 
 def score_quality(df: DataFrame, model: QualityModel, *, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """df with raw_score, score (0 to 1) and predicted (1 if score >= threshold)."""
-    rest = df.drop("raw_score", "score", "predicted")
+    rest = text_batches(df).drop("raw_score", "score", "predicted")
     told = rest.select(F.struct("*").alias("row"), _sizes(rest, model, text_col).alias("s"))
     raw = (F.col("s.bad") - F.col("s.good") + model.average * model.prior_bytes) / (F.col("s.bad") + F.col("s.good") + model.prior_bytes)
     score = 1 / (1 + F.exp(-(F.col("raw_score") * model.slope + model.offset)))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintfield.llm.common import durable
+from glintfield.llm.common import durable, text_batches
 from glintfield.llm.compression import hashed_piece, hashed_sample
 
 SHAPES = 5  # lower case, capitalised or mixed, upper case, with digits, without cased letters or digits
@@ -64,7 +64,7 @@ def _shape(word: bytes) -> int:
 class WordFeatures(dict):
     """word -> its vocabulary place and shape in one number, remembered for `most` words."""
 
-    def __init__(self, words: list[bytes], most: int = 500_000):
+    def __init__(self, words: list[bytes], most: int = 100_000):
         super().__init__()
         self.places, self.most = {w: k for k, w in enumerate(words)}, most
 
@@ -144,11 +144,11 @@ def domain_posteriors(df: DataFrame, model: DomainModel, *, text_col: str = "tex
         if m.key not in _FEATURES:
             _FEATURES.clear()
             _FEATURES[m.key] = WordFeatures(m.words)
-        found = [_FEATURES[m.key].of(x) for x in texts.to_pylist()]
+        found = [_FEATURES[m.key].of(x.as_py()) for x in texts]
         p = _softmax(np.stack([f for _, f in found]) @ m.weights) if found else np.empty((0, 1))
         return pa.StructArray.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], ["n", "p"])
 
-    rest = df.drop("n_tokens", "posteriors")
+    rest = text_batches(df).drop("n_tokens", "posteriors")
     return rest.select(F.struct("*").alias("row"), member(F.col(text_col)).alias("m")).select("row.*", F.col("m.n").alias("n_tokens"), F.col("m.p").alias("posteriors"))
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glintfield.llm.common import WordHashes, mix64
+from glintfield.llm.common import WordHashes, mix64, text_batches
 
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -157,10 +157,10 @@ def remove_repeated_passages(df: DataFrame, *, id_col: str = "doc_id", text_col:
     @F.arrow_udf("binary")
     def zipped(texts: pa.Array) -> pa.Array:
         shrink = zstandard.ZstdCompressor(level=1)
-        return pa.array([None if x is None else shrink.compress(x.encode()) for x in texts.to_pylist()], pa.binary())
+        return pa.array([shrink.compress(x.as_py().encode()) if x.is_valid else None for x in texts], pa.binary())
 
     alone = -1 - F.pmod(F.xxhash64(text_col), F.lit(groups)).cast("int")
-    dealt = df.select(F.col(id_col).cast("long").alias("id"), F.struct(id_col, *keep).alias("row"), zipped(text_col).alias("z"), F.when(F.col(id_col).isNull(), alone).otherwise(range_of(id_col)).alias("g"))
+    dealt = text_batches(df).select(F.col(id_col).cast("long").alias("id"), F.struct(id_col, *keep).alias("row"), zipped(text_col).alias("z"), F.when(F.col(id_col).isNull(), alone).otherwise(range_of(id_col)).alias("g"))
     bucket_of = np.uint64(groups)
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
