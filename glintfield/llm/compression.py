@@ -32,10 +32,9 @@ _SIZERS: dict[int, DictionarySizes] = {}
 
 
 def sizer(key: int, contents: list[bytes], level: int, block: int) -> DictionarySizes:
-    """One per worker and model."""
+    """That of the model in use; a worker keeps one."""
     if key not in _SIZERS:
-        if len(_SIZERS) > 4:
-            _SIZERS.clear()
+        _SIZERS.clear()
         _SIZERS[key] = DictionarySizes(contents, level, block)
     return _SIZERS[key]
 
