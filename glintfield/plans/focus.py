@@ -59,7 +59,7 @@ def linear_detrend(spark, sf_dir):
 
 
 def phase_interp(spark, sf_dir):
-    walk = _walk(spark, sf_dir).where("i < 20").select("user_id", "i", F.col("phase").alias("phi"))
+    walk = _walk(spark, sf_dir).select("user_id", "i", F.col("phase").alias("phi"))
     return rounded(af.stretch(walk, 32, ("user_id",)), phi=6)
 
 

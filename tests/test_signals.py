@@ -14,6 +14,7 @@ from glintfield.operators import indexing as ix
 from glintfield.operators import irf
 from glintfield.operators.normalize import log_normalise, to_uint8
 from glintfield.operators.spectral import centred_fft, frame_bands, valid_samples
+from glintfield.plans import focus
 
 
 def to_px(spark, x, chip=0):
@@ -72,6 +73,19 @@ def test_unwrap_is_numpy(spark):
     assert np.allclose(got, np.unwrap(x))
 
 
+def test_phase_interp_is_numpy_over_all_events(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    counts = {1: 1, 2: 2, 3: 20, 4: 21, 5: 99, 6: 400}
+    events = [(int(e), user, float(v)) for user, m in counts.items() for e, v in zip(rng.permutation(m) + 1000 * user, rng.uniform(0, 100, m))]
+    spark.createDataFrame(events, "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = focus.phase_interp(spark, str(tmp_path)).toPandas().sort_values("r")
+    assert len(got) == 32 * len(counts)
+    for user, m in counts.items():
+        phase = [v % 6.25 - 3 for _, u, v in sorted(events) if u == user]
+        want = np.interp(np.linspace(0, 1, 32), np.linspace(0, 1, m), phase) if m > 1 else np.full(32, phase[0])
+        assert np.allclose(got[got.user_id == user].phi, want, atol=1e-6), user
+
+
 def test_flat_normalisation(spark):
     df = spark.createDataFrame([(0, 2.0), (0, 2.0), (1, 1.0), (1, 3.0)], "chip long, v double")
     assert sorted(r.t for r in log_normalise(df, ("chip",), "v", "t").collect()) == [0, 0, 0, 1]
