@@ -1,10 +1,10 @@
 """Near-duplicate classes: ProbMinHash signatures, banding, exact verification.
 
-A document is the weighted set of its five-word shingles (weight 1 + ln of the count; a text of
-fewer words is one shingle). Each shingle's points arrive as a Poisson process of its weight,
+A document is the set of its five-word shingles (each of weight 1, however often it occurs; a text
+of fewer words is one shingle). Each shingle's points arrive as a Poisson process of that weight,
 every point at a random register; a register keeps its first arrival's shingle. A shingle stops
 as soon as its next arrival is later than all registers. Two signatures agree at a register with
-the probability Jaccard of the weighted sets, which for equal counts is the Jaccard of the sets.
+the probability Jaccard of the sets, which for equal weights is the Jaccard that is verified.
 
 Contents that share one of `bands` bands of `rows` registers are candidates (30 bands of 5: a
 pair at 0.8 is missed with a probability below 1e-5). A pair is linked when the exact Jaccard of
@@ -65,9 +65,7 @@ def signatures(token_lists: list[list[bytes]], registers: int, width: int = 5) -
     doc, pool = doc[order], pool[order]
     first = np.ones(len(pool), bool)
     first[1:] = (doc[1:] != doc[:-1]) | (pool[1:] != pool[:-1])
-    starts = np.flatnonzero(first)
-    weight = 1 + np.log(np.diff(np.append(starts, len(pool))))
-    doc, pool = doc[starts], pool[starts]
+    doc, pool = doc[first], pool[first]
     sizes = np.bincount(doc, minlength=n)
     best, owner = np.full(n * registers, np.inf), np.zeros(n * registers, np.uint64)
     arrival = np.zeros(len(pool))
@@ -75,13 +73,13 @@ def signatures(token_lists: list[list[bytes]], registers: int, width: int = 5) -
     while len(pool):
         point += 1
         draw = mix64(pool + np.uint64(point * GOLDEN & (1 << 64) - 1))
-        arrival = arrival - np.log1p(-((draw >> np.uint64(11)) * 2.0**-53)) / weight
+        arrival = arrival - np.log1p(-((draw >> np.uint64(11)) * 2.0**-53))
         at = doc * registers + (mix64(draw) % np.uint64(registers)).astype(np.int64)
         np.minimum.at(best, at, arrival)
         won = best[at] == arrival
         owner[at[won]] = pool[won]
         active = arrival < best.reshape(n, registers).max(1)[doc]
-        doc, pool, weight, arrival = doc[active], pool[active], weight[active], arrival[active]
+        doc, pool, arrival = doc[active], pool[active], arrival[active]
     return owner.reshape(n, registers), sizes
 
 

@@ -122,6 +122,28 @@ def test_probminhash_estimates_jaccard():
     assert abs((s[0] == s[1]).mean() - len(x & y) / len(x | y)) < 0.04
 
 
+@pytest.mark.parametrize("body, footer, edits", [(60, 60, 0), (60, 60, 2), (200, 100, 2)])
+def test_probminhash_ignores_repetition(body, footer, edits):
+    a, f = [b"a%d" % k for k in range(body)], [b"f%d" % k for k in range(footer)]
+    b = [b"edit%d" % k if k in (20, 40)[:edits] else w for k, w in enumerate(a)]
+    one, many = a + f, b + f * 30
+    s, _ = near_dedup.signatures([one, many], 4000)
+    x, y = ({tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (one, many))
+    assert len(x & y) / len(x | y) > 0.8
+    assert abs((s[0] == s[1]).mean() - len(x & y) / len(x | y)) < 0.04
+
+
+def test_near_dedup_finds_unequal_repetition(spark):
+    rows = []
+    for k in range(150):
+        body, footer = prose(60).split(), prose(60)
+        changed = [w if j not in (20, 40) else "zz" for j, w in enumerate(body)]
+        rows += [(2 * k, " ".join(body) + " " + footer), (2 * k + 1, " ".join(changed + [footer] * 100))]
+    want = brute_classes(rows)
+    assert sum(i != c for i, c in want.items()) > 100
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(frame(spark, rows)).collect()} == want
+
+
 def test_top_k(spark):
     vectors = [(k, RNG.normal(size=8).round(3).tolist()) for k in range(300)] + [(900, [0.5] * 8)] * 3 + [(950, None), (951, [float("nan")] * 8), (952, [1.0, None])]
     df = spark.createDataFrame(vectors, "vec_id long, e array<double>").select("vec_id", integer_vector(F.col("e")).alias("vector"))
