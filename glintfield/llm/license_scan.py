@@ -42,9 +42,11 @@ NOTICES = [
     ("MIT-permission", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
+#: Short notices of the six Creative Commons licences in all versions.
+CC_NOTICES = [(f"CC-{kind}-{version}-short", f"Licensed under CC {kind} {version}.") for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND") for version in ("1.0", "2.0", "2.5", "3.0", "4.0")]
 
 
-def templates(spark: SparkSession, notices: list[tuple[str, str]] = NOTICES, max_templates: int = 20_000) -> DataFrame:
+def templates(spark: SparkSession, notices: list[tuple[str, str]] = [*NOTICES, *CC_NOTICES], max_templates: int = 20_000) -> DataFrame:
     if len(notices) > max_templates:
         raise ValueError(f"{len(notices)} templates; max_templates is {max_templates}")
     return spark.createDataFrame(notices, "template_id string, text string")

@@ -249,6 +249,12 @@ def test_license_scan(spark):
     assert got == {(k, name, 30) for k, name in enumerate(notices)} | {(54, "MIT", 0)} | {x for x in got if x[0] == 50}
 
 
+def test_license_scan_tells_creative_commons_apart(spark):
+    rows = [(k, prose(30) + "\n" + text) for k, (_, text) in enumerate(license_scan.CC_NOTICES)]
+    got = {(r.doc_id, r.template_id, r.start_word) for r in license_scan.find_licenses(frame(spark, rows), license_scan.templates(spark)).collect()}
+    assert got == {(k, name, 30) for k, (name, _) in enumerate(license_scan.CC_NOTICES)}
+
+
 @pytest.mark.parametrize("run", [
     lambda d, s: remove_repeated_passages(d),
     lambda d, s: near_dedup.near_duplicate_classes(d),
