@@ -1,15 +1,20 @@
-"""What several operators share: columns, words, seeds and checkpoints."""
+"""What several operators share: columns, words, seeds, settled tables and memory."""
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glintfield.session import discard, settled
+
+__all__ = ["discard", "settled"]
+
 #: Words are runs of anything but these bytes; bytes.split() uses the same set.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -18,29 +23,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The same rows from files in the shared checkpoint folder, with the lineage cut.
+def given_back() -> None:
+    """Hands a worker's free memory back to the system; called between large groups, for workers live as long as executors."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset (tests, a
-    single machine) a temporary folder is taken.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="glint-checkpoint-"))
-    return df.checkpoint()
 
+def _find_trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library than glibc
+        return None
 
-def text_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """df, in a session that hands Python at most `rows` texts at a time.
 
-    Spark's own default of 10,000 makes batches of some 30 MB of text, several times that in a worker.
-    A smaller setting of the session stays.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
-        df.sparkSession.conf.set(key, str(rows))
-    return df
+_TRIM = _find_trim()
 
 
 def id_residue(doc_id: Column, modulus: int) -> Column:

@@ -45,12 +45,14 @@ def hashed_piece(text: Column, salt: Column, length: int) -> Column:
     return F.substring(text, F.pmod(F.xxhash64(salt), spare + 1).cast("int") + 1, F.lit(length))
 
 
-def hashed_sample(rows: DataFrame, by: str, id_col: str, most: int) -> tuple[DataFrame, dict]:
+def hashed_sample(rows: DataFrame, by: str, id_col: str, most: int, most_classes: int = 500) -> tuple[DataFrame, dict]:
     """About `most` rows of each class (all of a smaller class), chosen by a hash of the id; and the classes' counts.
 
-    The classes are few (they are what a model predicts), so their counts fit the driver.
+    The classes are what a model predicts; more than `most_classes` are an error, found before their counts reach the driver.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(by).count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(by).count().limit(most_classes + 1).collect()}
+    if len(counts) > most_classes:
+        raise ValueError(f"more than {most_classes} values of {by}")
     share = F.lit(0.0)
     for value, n in counts.items():
         share = F.when(F.col(by) == F.lit(value), F.lit(min(1.0, most / n))).otherwise(share)

@@ -22,7 +22,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintfield.llm.common import text_batches
 from glintfield.llm.compression import dictionary_content, hashed_piece, hashed_sample, sizer
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -41,15 +40,17 @@ class LanguageModel(NamedTuple):
 
 
 def letters_of(text: str) -> str:
-    return NOT_LETTERS.sub(" ", text.lower()).strip()
+    """Lower case, everything but letters (Unicode category L) as single spaces."""
+    plain = NOT_LETTERS.sub(" ", text.lower()).strip()
+    if not plain.replace(" ", "").isalpha():  # numerals that are no digits are word characters too
+        plain = " ".join("".join(c if c.isalpha() else " " for c in plain).split())
+    return plain
 
 
 def fit_languages(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 400, piece_chars: int = 400, dictionary_bytes: int = 32_000, max_languages: int = 500) -> LanguageModel:
     """A dictionary per language, from a bounded sample of the rows whose language is not null."""
     rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sample, counts = hashed_sample(rows, "lang", "id", sample_rows)
-    if len(counts) > max_languages:
-        raise ValueError(f"{len(counts)} languages; max_languages is {max_languages}")
+    sample, counts = hashed_sample(rows, "lang", "id", sample_rows, max_languages)
     pieces: dict[str, list[str]] = {lang: [] for lang in sorted(counts)}
     drawn = sample.select("lang", hashed_piece(F.col("text"), F.col("id"), piece_chars).alias("piece"), F.xxhash64("id").alias("h"))
     for r in sorted(drawn.collect(), key=lambda r: (r.h, r.piece)):
@@ -82,7 +83,7 @@ def identify_languages(df: DataFrame, model: LanguageModel, *, text_col: str = "
         columns = list(zip(*told)) if told else [(), (), ()]
         return pa.StructArray.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.float64())], ["lang_pred", "score", "margin"])
 
-    rest = text_batches(df).drop("lang_pred", "score", "margin", "rejected")
+    rest = df.drop("lang_pred", "score", "margin", "rejected")
     told = rest.select(F.struct("*").alias("row"), predict(F.col(text_col)).alias("told"))
     unsure = (F.col("told.lang_pred") == UNKNOWN) | (F.col("told.margin") < min_margin)
     return told.select("row.*", "told.*", unsure.alias("rejected"))

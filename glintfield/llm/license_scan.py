@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glintfield.llm.common import durable
+from glintfield.llm.common import settled
 
 WIDTH, SHINGLES, STRIDE, BANDS = 5, 4, 2, 24
 
@@ -88,7 +88,7 @@ def find_licenses(df: DataFrame, known: DataFrame, *, id_col: str = "doc_id", te
     places = met.select("key", "template_id", (F.col("at") - F.col("offset")).alias("begin")).distinct()
 
     # Exact containment, in the documents that have candidates.
-    asked = durable(places.groupBy("key").agg(F.collect_set(F.struct("template_id", "begin")).alias("asked")))
+    asked = settled(places.groupBy("key").agg(F.collect_set(F.struct("template_id", "begin")).alias("asked")))
     few = F.broadcast(asked) if asked.count() <= broadcast_rows else asked
     whole = df.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(few, "key")
     near = whole.select("key", word_hashes(F.col("text")).alias("words"), "asked").select("key", "words", F.explode("asked").alias("a")).select("key", "words", "a.*").join(F.broadcast(pieces.withColumnRenamed("key", "template_id")), "template_id")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintfield.llm.common import WordHashes, durable, mix64, text_batches
+from glintfield.llm.common import WordHashes, discard, given_back, mix64, settled
 from glintfield.llm.components import connected_components
 
 GOLDEN = 0x9E3779B97F4A7C15
@@ -113,6 +113,7 @@ def _sketches(texts: pa.Array, bands: int, rows: int, width: int) -> pa.Array:
             words = 0
     if here:
         flush()
+    given_back()
     columns = list(zip(*out)) or [(), (), ()]
     return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SKETCH)], [f.name for f in SKETCH])
 
@@ -156,29 +157,29 @@ def _verify(left: list[int], right: list[int] | None, sets: dict[int, np.ndarray
             classes.link(label.get(a, a), label.get(b, b))
 
 
-LINKS = pa.schema([("comp", pa.int64()), ("node", pa.int64()), ("root", pa.int64())])
+LINKS = pa.schema([("owner", pa.int64()), ("node", pa.int64()), ("root", pa.int64())])
 
 
-def near_duplicate_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 30, rows: int = 5, block_shingles: int = 200_000, block_rows: int = 400, pivots: int = 48, broadcast_rows: int = 200_000) -> DataFrame:
+def near_duplicate_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 30, rows: int = 5, block_shingles: int = 200_000, block_rows: int = 400, pivots: int = 48, broadcast_rows: int = 50_000) -> DataFrame:
     """Per row of df: the id, class_id (the smallest id of its class) and n_shingles."""
 
     @F.arrow_udf("struct<content: binary, n: bigint, bands: array<bigint>>")
     def sketch(texts: pa.Array) -> pa.Array:
         return _sketches(texts, bands, rows, width)
 
-    seen = durable(text_batches(df).select(F.col(id_col).alias("id"), sketch(F.col(text_col)).alias("s")).select("id", "s.*"))
+    seen = settled(df.select(F.col(id_col).alias("id"), sketch(F.col(text_col)).alias("s")).select("id", "s.*"))
     nodes = seen.where("n > 0 AND id IS NOT NULL").groupBy("content").agg(F.min("id").cast("long").alias("node"), F.max("n").alias("n"), F.max("bands").alias("bands"))
-    nodes = durable(nodes)
+    nodes = settled(nodes)
     keyed = nodes.select("node", F.explode("bands").alias("band"))
     hubs = keyed.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", "hub")
-    stars = durable(keyed.join(hubs, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    stars = settled(keyed.join(hubs, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
     comps = connected_components(stars).select("node", F.col("label").alias("comp"))
 
     # Blocks: small components share a batch, a large one has blocks of its own.
     sized = comps.join(nodes.select("node", "n", "bands"), "node")
     per = sized.groupBy("comp").agg(F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("m"))
     blocks_of = F.greatest(F.ceil(F.col("all_n") / block_shingles), F.ceil(F.col("m") / block_rows)).cast("int")
-    placed = durable(sized.join(per.select("comp", "m", blocks_of.alias("blocks")), "comp"))
+    placed = settled(sized.join(per.select("comp", "m", blocks_of.alias("blocks")), "comp"))
     total = placed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     batches = max(1, total[0] // block_shingles, total[1] // block_rows)
     known = F.broadcast(placed) if total[1] <= broadcast_rows else placed
@@ -186,14 +187,15 @@ def near_duplicate_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: s
 
     def local(key: tuple, table: pa.Table) -> pa.Table:
         own = {n: (c, t, b) for n, c, t, b in zip(*(table[x].to_pylist() for x in ("node", "comp", "text", "bands")))}
-        out = []
+        owner, out = key[0].as_py(), []
         members: dict[int, list[int]] = {}
         for n in sorted(own):
             members.setdefault(own[n][0], []).append(n)
         for comp, group in members.items():
             classes = Classes(group)
             _verify(group, None, {n: shingles(own[n][1], width) for n in group}, {n: np.array(own[n][2]) for n in group}, classes, threshold, {})
-            out += [(comp, n, classes.root(n)) for n in group]
+            out += [(owner, n, classes.root(n)) for n in group]
+        given_back()
         return pa.table([pa.array(x, pa.int64()) for x in zip(*out)], schema=LINKS)
 
     whole = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(batches)))
@@ -202,27 +204,27 @@ def near_duplicate_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: s
     every_block = F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)
     where = F.explode(F.when(F.col("blocks") == 1, F.array(whole)).when(is_pivot, every_block).otherwise(F.array(spot)))
     dealt = texts.select("node", "comp", "text", "bands", "blocks", where.alias("block"), F.when(F.col("blocks") > 1, F.col("comp")).otherwise(F.lit(-1)).alias("owner"))
-    links = durable(dealt.groupBy("owner", "block").applyInArrow(local, "comp bigint, node bigint, root bigint"))
+    links = settled(dealt.groupBy("owner", "block").applyInArrow(local, "owner bigint, node bigint, root bigint"))
 
+    # Components of one block are done.
+    labels = links.where("owner < 0").select("node", F.col("root").alias("label"))
     large = placed.where("blocks > 1").select("node", "comp", "blocks", "m")
-    if large.isEmpty():
-        labels = links.select("node", F.col("root").alias("label"))
-    else:
-        labels = _finish_large(links, large, texts, block_rows, width, threshold)
-    found = nodes.select("node", "content").join(labels, "node", "left").select("content", F.coalesce("label", "node").alias("label"))
+    if not large.isEmpty():
+        labels = labels.unionByName(_finish_large(links.where("owner >= 0"), large, texts, block_rows, width, threshold))
+    found = settled(nodes.select("node", "content").join(labels, "node", "left").select("content", F.coalesce("label", "node").alias("label")))
+    discard(nodes, stars, comps, placed, links)
     smallest = F.coalesce(F.col("label"), F.col("id").cast("long"))
     return seen.join(found, "content", "left").select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), smallest).alias("class_id"), F.col("n").alias("n_shingles"))
 
 
 def _finish_large(links: DataFrame, large: DataFrame, texts: DataFrame, block_rows: int, width: int, threshold: float) -> DataFrame:
-    """Labels of all nodes, once the blocks of each large component have met."""
-    inner = links.where("node = root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    first = connected_components(links.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(inner).distinct())
-    tagged = durable(large.join(first, "node"))
+    """Labels of the nodes of large components, once the blocks of each have met."""
+    first = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).distinct())
+    tagged = large.join(first, "node")
     # The largest class of each component; the rest of the component meets all its blocks.
-    sizes = tagged.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("k"))
+    sizes = settled(tagged.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("k")))
     main = sizes.groupBy("comp").agg(F.max_by("label", F.struct("k", "label")).alias("main"), (F.sum("k") - F.max("k")).alias("rest"))
-    tagged = durable(tagged.join(main, "comp"))
+    tagged = settled(tagged.join(main, "comp"))
     chunks = F.greatest(F.ceil(F.col("rest") / block_rows), F.lit(1)).cast("long")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     spread = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), n)
@@ -243,17 +245,31 @@ def _finish_large(links: DataFrame, large: DataFrame, texts: DataFrame, block_ro
         classes = Classes(list(set(label.values())))
         _verify(sorted(set(left["node"].to_pylist())), sorted(set(right["node"].to_pylist())), sets, keys, classes, threshold, label)
         out = [(0, n, classes.root(n)) for n in classes.up if classes.root(n) != n]
+        given_back()
         return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], schema=LINKS)
 
-    late = odd.groupBy("comp", "block", "chunk").cogroup(base.groupBy("comp", "block", "chunk")).applyInArrow(meet, "comp bigint, node bigint, root bigint")
-    late = durable(late.select(F.col("node").alias("a"), F.col("root").alias("b")).distinct())
-    merged = connected_components(late.union(first.select(F.col("node").alias("a"), F.col("label").alias("b")).distinct()))
+    late = odd.groupBy("comp", "block", "chunk").cogroup(base.groupBy("comp", "block", "chunk")).applyInArrow(meet, "owner bigint, node bigint, root bigint")
+    late = settled(late.select(F.col("node").alias("a"), F.col("root").alias("b")).distinct())
+    merged = connected_components(late.union(first.select(F.col("node").alias("a"), F.col("label").alias("b"))).distinct())
+    discard(first, sizes, tagged, late)
     return merged.select("node", "label")
 
 
-def keep_one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """df with one row of each near-duplicate class, that of the smallest id. Rows with a null id stay."""
+def keep_one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = 500_000, **options) -> DataFrame:
+    """df with one row of each near-duplicate class, that of the smallest id. Rows with a null id stay.
+
+    The ids that go (and ids that repeat) meet the rows by broadcast while they are at most `broadcast_ids`
+    (8 bytes each), so that texts are not shuffled; beyond that by a shuffle join.
+    """
     classes = near_duplicate_classes(df, id_col=id_col, text_col=text_col, **options)
-    stay = classes.where(F.col(id_col).cast("long") == F.col("class_id")).select(id_col).distinct()
-    kept = df.join(stay, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(df.where(F.col(id_col).isNull()))
+    stays = F.max((F.col(id_col).cast("long") == F.col("class_id")).cast("int"))
+    ids = settled(classes.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(stays.alias("stays"), F.count(F.lit(1)).alias("times")))
+    kept, again = _without(df, ids.where("stays = 0").select(id_col), id_col, broadcast_ids), ids.where("stays = 1 AND times > 1").select(id_col)
+    if again.isEmpty():
+        return kept
+    one = kept.join(again, id_col, "left_semi").dropDuplicates([id_col])
+    return _without(kept, again, id_col, broadcast_ids).unionByName(one)
+
+
+def _without(df: DataFrame, ids: DataFrame, id_col: str, broadcast_ids: int) -> DataFrame:
+    return df.join(F.broadcast(ids) if ids.count() <= broadcast_ids else ids, id_col, "left_anti")

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glintfield.llm.common import settled
+
 PACKED = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("bin", pa.int64()), ("slot", pa.int32())])
 
 
@@ -71,11 +73,15 @@ def _counts(values: list) -> dict:
 
 def pack(df: DataFrame, *, id_col: str = "doc_id", length_col: str = "n_tokens", source_col: str = "source", cluster_col: str = "cluster", capacity: int = 2048, per_source: int = 2, shard_pieces: int = 4096) -> DataFrame:
     """Per piece: id, piece_start, piece_tokens, bin_id, slot (from 0). source_col: text; cluster_col: integers."""
-    rows = df.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(length_col), F.lit(0)).cast("long").alias("n"), F.col(source_col).cast("string").alias("source"), F.col(cluster_col).cast("long").alias("cluster"))
-    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(capacity).cast("long")))
-    pieces = rows.select("*", starts.alias("start")).select("*", F.least(F.col("n") - F.col("start"), F.lit(capacity)).alias("length"))
-    shards = max(1, -(-pieces.where("length > 0").count() // shard_pieces))
-    shard = F.pmod(F.xxhash64("doc", "start", "source", "cluster", F.rand(11)), F.lit(shards)).cast("int")
+    counted = df.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(length_col), F.lit(0)).cast("long").alias("n"), F.col(source_col).cast("string").alias("source"), F.col(cluster_col).cast("long").alias("cluster"), F.rand(11).alias("at"))
+    # Settled before it is counted and dealt: lengths are worked out once, and a task that runs again finds every piece in its shard.
+    rows = settled(counted)
+    total = rows.agg(F.coalesce(F.sum(F.ceil(F.greatest("n", F.lit(0)) / capacity)), F.lit(0))).first()[0]
+    shards = max(1, -(-total // shard_pieces))
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(capacity).cast("long")))
+    pieces = rows.where("n > 0").select("*", starts.alias("start"))
+    shard = F.pmod(F.xxhash64("at", "start"), F.lit(shards)).cast("int")
+    full = pieces.select("doc", "start", F.least(F.col("n") - F.col("start"), F.lit(capacity)).alias("length"), "source", "cluster", shard.alias("shard"))
 
     def fill(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc", "ascending"), ("start", "ascending")])
@@ -83,7 +89,7 @@ def pack(df: DataFrame, *, id_col: str = "doc_id", length_col: str = "n_tokens",
         bins, slots = np.array(placed, np.int64).reshape(-1, 2).T
         return pa.table([table["doc"], table["start"], table["length"], pa.array((key[0].as_py() << 32) + bins), pa.array(slots.astype(np.int32))], schema=PACKED)
 
-    full = pieces.where("length > 0").select("doc", "start", "length", "source", "cluster", shard.alias("shard"))
     packed = full.groupBy("shard").applyInArrow(fill, "doc bigint, start bigint, length bigint, bin bigint, slot int")
-    empty = pieces.where("length <= 0").select("doc", "start", "length", F.lit(None).cast("long").alias("bin"), F.lit(None).cast("int").alias("slot"))
+    none = [F.lit(0).cast("long").alias(x) for x in ("start", "length")]
+    empty = rows.where("n <= 0").select("doc", *none, F.lit(None).cast("long").alias("bin"), F.lit(None).cast("int").alias("slot"))
     return packed.unionByName(empty).select(F.col("doc").alias(id_col), F.col("start").alias("piece_start"), F.col("length").alias("piece_tokens"), F.col("bin").alias("bin_id"), "slot")

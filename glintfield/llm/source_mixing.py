@@ -5,8 +5,10 @@ domain, a piece of at most `piece_chars` of each), gives every whole document it
 posteriors p. Rates r >= 0 then minimise half the squared distance between the expected domain token
 shares, sum over documents of r * tokens * p / all tokens, and the target shares, by
 projected gradient steps (with momentum) from r = 1. A step needs only the shares' residual, one
-number a domain; Spark sums it over all documents in each round, and each document's rate
-follows from the residuals so far, so that no per-document state is kept between rounds.
+number a domain; Spark sums it over all documents in each round. A document's rate follows from its
+last settled state and the residuals since; every `settle_rounds` rounds the states are settled again.
+Rounds end when the shares are within `tolerance` of the targets, or when no rate moves any more
+(targets out of reach: the rates are then the least squares). Neither within `most_rounds` is an error.
 
 Features of a text: how often it uses the `vocabulary` words that tell the sample's domains apart
 best, and shares of word shapes (upper case, digits, symbols, repeated words).
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintfield.llm.common import durable, text_batches
+from glintfield.llm.common import discard, settled
 from glintfield.llm.compression import hashed_piece, hashed_sample
 
 SHAPES = 5  # lower case, capitalised or mixed, upper case, with digits, without cased letters or digits
@@ -107,10 +109,10 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(1, keepdims=True)
 
 
-def fit_domains(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", sample_rows: int = 1500, piece_chars: int = 2000, vocabulary: int = 300, steps: int = 300) -> DomainModel:
-    """A softmax classifier of labels' domains, weighted so that the sample has the labels' class shares."""
+def fit_domains(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", sample_rows: int = 1500, piece_chars: int = 2000, vocabulary: int = 300, steps: int = 300, max_domains: int = 100) -> DomainModel:
+    """A softmax classifier of labels' domains (at most `max_domains`), weighted so that the sample has the labels' class shares."""
     marked = labels.where(F.col(domain_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(domain_col).alias("domain"))
-    sample, counts = hashed_sample(marked, "domain", "id", sample_rows)
+    sample, counts = hashed_sample(marked, "domain", "id", sample_rows, max_domains)
     texts = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), hashed_piece(F.col(text_col), F.col(id_col), piece_chars).alias("piece"))
     drawn = sorted((r.domain, r.piece) for r in texts.join(F.broadcast(sample), "id").select("domain", "piece").collect())
     domains = sorted({d for d, _ in drawn}) or ["all"]
@@ -148,59 +150,82 @@ def domain_posteriors(df: DataFrame, model: DomainModel, *, text_col: str = "tex
         p = _softmax(np.stack([f for _, f in found]) @ m.weights) if found else np.empty((0, 1))
         return pa.StructArray.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], ["n", "p"])
 
-    rest = text_batches(df).drop("n_tokens", "posteriors")
+    rest = df.drop("n_tokens", "posteriors")
     return rest.select(F.struct("*").alias("row"), member(F.col(text_col)).alias("m")).select("row.*", F.col("m.n").alias("n_tokens"), F.col("m.p").alias("posteriors"))
 
 
-def follow(p: np.ndarray, rounds: list[tuple[float, np.ndarray]], pace: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after the rounds so far, and those of the round before. rounds: (momentum, residual at the point ahead)."""
-    rate = before = np.ones(len(p))
+def follow(p: np.ndarray, rounds: list[tuple[float, np.ndarray]], pace: float, rate: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rates after the rounds, and those of the round before. rounds: (momentum, residual at the point ahead)."""
     for momentum, residual in rounds:
         ahead = rate + momentum * (rate - before)
         before, rate = rate, np.maximum(0.0, ahead - pace * (p @ residual))
     return rate, before
 
 
-def mix_to_targets(members: DataFrame, domains: list[str], targets: dict[str, float], *, id_col: str = "doc_id", tolerance: float = 1e-4, most_rounds: int = 120) -> DataFrame:
+def _matrix(posteriors: pa.Array, k: int) -> np.ndarray:
+    return np.asarray(posteriors.flatten(), float).reshape(-1, k)
+
+
+def mix_to_targets(members: DataFrame, domains: list[str], targets: dict[str, float], *, id_col: str = "doc_id", tolerance: float = 1e-4, still: float = 1e-7, settle_rounds: int = 16, most_rounds: int = 400) -> DataFrame:
     """members (id_col, n_tokens, posteriors, ...) with rate and copies."""
     rest = members.drop("rate", "copies")
     k = len(domains)
     goal = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
     goal = goal / goal.sum() if goal.sum() > 0 else np.full(k, 1 / k)
-    states = durable(rest.select("n_tokens", "posteriors"))
+    states = settled(rest.select("n_tokens", "posteriors", F.lit(1.0).alias("rate"), F.lit(1.0).alias("before")))
     pairs = [F.sum(F.col("n_tokens") * F.col("posteriors")[i] * F.col("posteriors")[j]) for i in range(k) for j in range(k)]
     total, *gram = states.agg(F.sum("n_tokens"), *pairs).first()
     rounds: list[tuple[float, np.ndarray]] = []
-    pace = 1.0
-    if total and k > 1:
+    pace, done = 1.0, not total or k == 1
+    if not done:
         pace = 1 / np.linalg.norm(np.array(gram, float).reshape(k, k) / total, 2)
-        for step in range(most_rounds):
-            momentum = step / (step + 3)
-            share = _expected(states, [*rounds], momentum, pace, k) / total
-            rounds.append((momentum, share - goal))
-            if np.abs(share - goal).max() < tolerance:
-                break
+    recent = 0
+    while not done:
+        if len(rounds) == most_rounds:
+            raise RuntimeError(f"token shares still move after {most_rounds} rounds")
+        momentum = len(rounds) / (len(rounds) + 3)
+        *sums, moved = _expected(states, rounds[recent:], momentum, pace, k)
+        residual = np.array(sums) / total - goal
+        rounds.append((momentum, residual))
+        done = np.abs(residual).max() < tolerance or moved / total < still
+        if len(rounds) - recent == settle_rounds and not done:
+            last, states = states, _settle(states, rounds[recent:], pace, k)
+            discard(last)
+            recent = len(rounds)
+    discard(states)
 
     @F.arrow_udf("double")
     def final_rate(posteriors: pa.Array) -> pa.Array:
-        p = np.array(posteriors.to_pylist(), float).reshape(-1, k)
-        return pa.array(follow(p, rounds, pace)[0])
+        ones = np.ones(len(posteriors))
+        return pa.array(follow(_matrix(posteriors, k), rounds, pace, ones, ones)[0])
 
     rated = rest.withColumn("rate", final_rate("posteriors"))
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     return rated.withColumn("copies", (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
 
 
-def _expected(states: DataFrame, rounds: list, momentum: float, pace: float, k: int) -> np.ndarray:
-    """Expected tokens of each domain at the point ahead: partial sums a batch, summed by Spark."""
+def _settle(states: DataFrame, rounds: list, pace: float, k: int) -> DataFrame:
+    """The states after the rounds."""
+
+    @F.arrow_udf("struct<rate: double, before: double>")
+    def moved(posteriors: pa.Array, rate: pa.Array, before: pa.Array) -> pa.Array:
+        now, then = follow(_matrix(posteriors, k), rounds, pace, *(np.asarray(x, float) for x in (rate, before)))
+        return pa.StructArray.from_arrays([pa.array(now), pa.array(then)], ["rate", "before"])
+
+    return settled(states.select("n_tokens", "posteriors", moved("posteriors", "rate", "before").alias("m")).select("n_tokens", "posteriors", "m.*"))
+
+
+def _expected(states: DataFrame, rounds: list, momentum: float, pace: float, k: int) -> list[float]:
+    """Expected tokens of each domain at the point ahead, and how far its rates are from the round's, in tokens: partial sums a batch, summed by Spark."""
 
     def partial(batches):
         for batch in batches:
-            n = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
-            p = np.array(batch.column(1).to_pylist(), float).reshape(-1, k)
-            rate, before = follow(p, rounds, pace)
+            n, rate, before = (np.asarray(batch.column(i), float) for i in (0, 2, 3))
+            p = _matrix(batch.column(1), k)
+            rate, before = follow(p, rounds, pace, rate, before)
             sums = (n * (rate + momentum * (rate - before))) @ p
-            yield pa.record_batch([pa.array([x]) for x in sums], names=[f"s{i}" for i in range(k)])
+            moved = n @ np.abs(rate - before) if rounds else np.inf
+            yield pa.record_batch([pa.array([x]) for x in [*sums, moved]], names=[f"s{i}" for i in range(k + 1)])
 
-    sums = states.mapInArrow(partial, ", ".join(f"s{i} double" for i in range(k)))
-    return np.array([x or 0.0 for x in sums.agg(*(F.sum(f"s{i}") for i in range(k))).first()])
+    sums = states.mapInArrow(partial, ", ".join(f"s{i} double" for i in range(k + 1)))
+    return [x or 0.0 for x in sums.agg(*(F.sum(f"s{i}") for i in range(k + 1))).first()]

@@ -5,12 +5,12 @@ that a repeated window covers is removed; overlapping windows merge into maximal
 
 Plan, for any size of corpus:
 
-1. Documents are dealt into groups of consecutive id ranges (about `group_bytes` of text each), so
-   "a smaller id" between groups is "an earlier group".
+1. Documents are dealt into groups of about `group_bytes` of text by a hash of id and text, so neither
+   the driver nor any task needs to know the ids' distribution.
 2. Each group hashes all windows of its documents and sends every distinct hash once to the hash's
-   bucket, packed. A passage that a third of all documents hold costs one entry a group, not one
-   a document.
-3. Each bucket sorts its entries and answers every group but the earliest that has the hash.
+   bucket, packed, with the smallest id that has it there. A passage that a third of all documents hold
+   costs one entry a group, not one a document.
+3. Each bucket takes the smallest id of each hash and answers every group whose own smallest id is larger.
 4. Each group meets its answers, adds the repeats inside the group, merges intervals and cuts.
 
 Hashes have 64 + 16 bits from two Rabin-Karp polynomials over 64-bit word hashes: with N windows
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glintfield.llm.common import WordHashes, mix64, text_batches
+from glintfield.llm.common import WordHashes, given_back, mix64
 
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -97,16 +97,26 @@ class Windows:
         return np.cumsum(edges[:-1]) > 0
 
 
-def pack(high: np.ndarray, low: np.ndarray) -> bytes:
-    """Sorted hashes as differences, byte plane by byte plane (the high planes are mostly zero and shrink in the shuffle)."""
-    steps = np.diff(high, prepend=np.uint64(0))
-    return steps.view(np.uint8).reshape(-1, 8).T.tobytes() + low.tobytes()
+def _planes(x: np.ndarray) -> bytes:
+    """64-bit numbers byte plane by byte plane: the high planes are mostly zero and shrink in the shuffle."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(packed) // 10
-    planes = np.frombuffer(packed, np.uint8, 8 * n).reshape(8, n)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64), np.frombuffer(packed, np.uint16, n, 8 * n)
+def _numbers(data: bytes, n: int, at: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, 8 * n, at).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
+
+
+def pack(high: np.ndarray, low: np.ndarray, ids: np.ndarray | None = None) -> bytes:
+    """Sorted hashes as differences, their low parts, and the ids that go with them."""
+    packed = _planes(np.diff(high, prepend=np.uint64(0))) + low.tobytes()
+    return packed if ids is None else packed + _planes(ids.astype(np.int64).view(np.uint64))
+
+
+def unpack(packed: bytes, with_ids: bool = False) -> tuple[np.ndarray, ...]:
+    n = len(packed) // (18 if with_ids else 10)
+    high, low = np.cumsum(_numbers(packed, n, 0), dtype=np.uint64), np.frombuffer(packed, np.uint16, n, 8 * n)
+    return (high, low, _numbers(packed, n, 10 * n).view(np.int64)) if with_ids else (high, low)
 
 
 def _sorted_group(table: pa.Table, id_col: str) -> pa.Table:
@@ -136,84 +146,87 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
-def remove_repeated_passages(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, window: int = 50, rejoin: bool = True, group_bytes: int = 4 << 20) -> DataFrame:
+def _untouched(df: DataFrame, id_col: str, text_col: str, keep: list[str], rejoin: bool) -> DataFrame:
+    """The result's rows for rows that nothing is removed from."""
+    words = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    kept = F.when(F.col(text_col).isNotNull(), F.array_join("words", " ")) if rejoin else F.col(text_col)
+    counted = df.withColumn("words", words).select(id_col, *keep, F.size("words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), kept.alias("kept_text"))
+    return counted.withColumn("removed", F.array().cast(RESULT["removed"].dataType))
+
+
+def remove_repeated_passages(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, window: int = 50, rejoin: bool = True, group_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
     """Per row of df: the id, the `keep` columns, n_words, n_removed, kept_text and the removed word intervals.
 
     kept_text joins the kept words by one space, or with rejoin=False is the text with the removed
-    passages cut out. id_col holds integers.
+    passages cut out. id_col holds integers. A bucket holds the hashes of about `bucket_bytes` of text.
     """
-    spark = df.sparkSession
     keep = [c for c in keep or [] if c not in (id_col, text_col, *RESULT.names)]
+    df = df.select(id_col, text_col, *keep)
     total, rows = df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)), F.count(F.lit(1))).first()
-    groups = max(1, min(rows, max(total // group_bytes, int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    found = df.select(F.col(id_col).cast("double").alias("x")).approxQuantile("x", [k / groups for k in range(1, groups)], 1 / (4 * groups)) if groups > 1 else []
-    bounds = np.unique(np.array(found, np.int64))
-
-    @F.arrow_udf("int")
-    def range_of(ids: pa.Array) -> pa.Array:
-        x = ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
-        return pa.array(np.searchsorted(bounds, x, side="right").astype(np.int32))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups, buckets = (max(1, min(rows, max(total // size, least))) for size in (group_bytes, bucket_bytes))
 
     @F.arrow_udf("binary")
     def zipped(texts: pa.Array) -> pa.Array:
         shrink = zstandard.ZstdCompressor(level=1)
         return pa.array([shrink.compress(x.as_py().encode()) if x.is_valid else None for x in texts], pa.binary())
 
-    alone = -1 - F.pmod(F.xxhash64(text_col), F.lit(groups)).cast("int")
-    dealt = text_batches(df).select(F.col(id_col).cast("long").alias("id"), F.struct(id_col, *keep).alias("row"), zipped(text_col).alias("z"), F.when(F.col(id_col).isNull(), alone).otherwise(range_of(id_col)).alias("g"))
-    bucket_of = np.uint64(groups)
+    spot = F.pmod(F.xxhash64(id_col, text_col), F.lit(groups)).cast("int")
+    dealt = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.struct(id_col, *keep).alias("row"), zipped(text_col).alias("z"), spot.alias("g"))
+    bucket_of = np.uint64(buckets)
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
-        group = key[0].as_py()
-        if group < 0:
-            return SENT.empty_table()
         table = _sorted_group(table, "id")
         w = Windows(table["id"].to_numpy(), _texts(table, "z"), window)
-        high, low = w.high[w.first], w.low[w.first]
-        buckets = (high >> np.uint64(32)) * bucket_of >> np.uint64(32)
-        cuts = np.flatnonzero(np.diff(buckets, prepend=np.uint64(1 << 40))) if len(high) else np.empty(0, int)
+        high, low, ids = w.high[w.first], w.low[w.first], w.doc[w.order][w.first]
+        bucket = (high >> np.uint64(32)) * bucket_of >> np.uint64(32)
+        cuts = np.flatnonzero(np.diff(bucket, prepend=np.uint64(1 << 40))) if len(high) else np.empty(0, int)
         ends = [*cuts[1:].tolist(), len(high)]
-        return pa.table([pa.array(buckets[cuts].astype(np.int32)), pa.array(np.full(len(cuts), group, np.int32)), pa.array([pack(high[a:b], low[a:b]) for a, b in zip(cuts.tolist(), ends)], pa.binary())], schema=SENT)
+        packed = [pack(high[a:b], low[a:b], ids[a:b]) for a, b in zip(cuts.tolist(), ends)]
+        sent = pa.table([pa.array(bucket[cuts].astype(np.int32)), pa.array(np.full(len(cuts), key[0].as_py(), np.int32)), pa.array(packed, pa.binary())], schema=SENT)
+        given_back()
+        return sent
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("g", "ascending")])
-        parts = [unpack(x) for x in table["packed"].to_pylist()]
-        owner = np.repeat(table["g"].to_numpy(), [len(h) for h, _ in parts])
-        high, low = (np.concatenate(x) for x in zip(*parts))
+        parts = [unpack(x, with_ids=True) for x in table["packed"].to_pylist()]
+        owner = np.repeat(table["g"].to_numpy(), [len(h) for h, _, _ in parts])
+        high, low, ids = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(high, kind="stable")
-        high, low, owner = high[order], low[order], owner[order]
-        again = np.zeros(len(high), bool)
-        again[1:] = (high[1:] == high[:-1]) & (low[1:] == low[:-1])
+        high, low, ids, owner = high[order], low[order], ids[order], owner[order]
+        begins = np.ones(len(high), bool)
+        begins[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+        at = np.flatnonzero(begins)
+        again = ids > np.repeat(np.minimum.reduceat(ids, at), np.diff(at, append=len(ids)))
         high, low, owner = high[again], low[again], owner[again]
         order = np.argsort(owner, kind="stable")
         high, low, owner = high[order], low[order], owner[order]
         cuts = np.flatnonzero(np.diff(owner, prepend=-1)) if len(owner) else np.empty(0, int)
         ends = [*cuts[1:].tolist(), len(owner)]
-        return pa.table([pa.array(owner[cuts].astype(np.int32)), pa.array([pack(high[a:b], low[a:b]) for a, b in zip(cuts.tolist(), ends)], pa.binary())], schema=ANSWERED)
+        answered = pa.table([pa.array(owner[cuts].astype(np.int32)), pa.array([pack(high[a:b], low[a:b]) for a, b in zip(cuts.tolist(), ends)], pa.binary())], schema=ANSWERED)
+        given_back()
+        return answered
 
     def cut(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         table = _sorted_group(table, "id")
         texts = _texts(table, "z")
-        missing = [x is None for x in table["z"].to_pylist()]
-        if key[0].as_py() < 0:
-            words, counts = [t.split() for t in texts], [len(t.split()) for t in texts]
-            starts, gone = np.concatenate([[0], np.cumsum(counts)]).astype(int), np.zeros(sum(counts), bool)
-        else:
-            w = Windows(table["id"].to_numpy(), texts, window)
-            parts = [unpack(x) for x in answers["packed"].to_pylist()]
-            high, low = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.uint64), np.empty(0, np.uint16))
-            order = np.argsort(high, kind="stable")
-            words, starts, gone = w.words, w.starts, w.repeated(high[order], low[order], window)
-        masks = [gone[starts[k] : starts[k + 1]] for k in range(len(texts))]
-        kept = [None if m else _kept(t, ws, mask, rejoin) for m, t, ws, mask in zip(missing, texts, words, masks)]
+        w = Windows(table["id"].to_numpy(), texts, window)
+        parts = [unpack(x) for x in answers["packed"].to_pylist()]
+        high, low = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.uint64), np.empty(0, np.uint16))
+        order = np.argsort(high, kind="stable")
+        gone = w.repeated(high[order], low[order], window)
+        masks = [gone[w.starts[k] : w.starts[k + 1]] for k in range(len(texts))]
+        kept = [_kept(t, ws, mask, rejoin) if z.is_valid else None for z, t, ws, mask in zip(table["z"], texts, w.words, masks)]
         spans = pa.array([[{"start": a, "end": b} for a, b in _runs(m)] for m in masks], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-        return pa.table({"row": table["row"], "n_words": pa.array([len(m) for m in masks], pa.int64()), "n_removed": pa.array([int(m.sum()) for m in masks], pa.int64()), "kept_text": pa.array(kept, pa.string()), "removed": spans})
+        out = pa.table({"row": table["row"], "n_words": pa.array([len(m) for m in masks], pa.int64()), "n_removed": pa.array([int(m.sum()) for m in masks], pa.int64()), "kept_text": pa.array(kept, pa.string()), "removed": spans})
+        del w, texts, kept
+        given_back()
+        return out
 
     sent = dealt.groupBy("g").applyInArrow(send, "bucket int, g int, packed binary")
     answered = sent.groupBy("bucket").applyInArrow(answer, "g int, packed binary")
     schema = T.StructType([T.StructField("row", dealt.schema["row"].dataType), *RESULT])
-    out = dealt.groupBy("g").cogroup(answered.groupBy("g")).applyInArrow(cut, schema)
-    return out.select("row.*", *RESULT.names)
+    out = dealt.groupBy("g").cogroup(answered.groupBy("g")).applyInArrow(cut, schema).select("row.*", *RESULT.names)
+    return out.unionByName(_untouched(df.where(F.col(id_col).isNull()), id_col, text_col, keep, rejoin))
 
 
 SENT = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("packed", pa.binary())])

@@ -102,13 +102,16 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, *, id_col: str = "vec
     Both tables hold id_col (integers) and vector_col (array<bigint>, see integer_vector).
     """
     usable = [df.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")) for df in (queries, candidates)]
-    usable[0] = usable[0].groupBy("id").agg(F.min("v").alias("v"))
-    n_queries, n_candidates = (df.count() for df in usable)
+    asked = usable[0].groupBy("id").agg(F.min("v").alias("v"))
+    # Equal rows beyond k cannot be among a query's k best; so no repeated row, however often, fills a block.
+    held = usable[1].groupBy("id", "v").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("times"))
+    held = held.select("id", "v", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth"))
+    n_queries, n_candidates = asked.count(), held.count()
     q_blocks, c_blocks = -(-n_queries // query_rows) or 1, -(-n_candidates // block_rows) or 1
-    spread = lambda blocks: F.pmod(F.xxhash64("id", F.rand(7)), F.lit(blocks)).cast("int")  # noqa: E731  repeated ids spread too
+    spread = lambda blocks, *by: F.pmod(F.xxhash64(*by), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asked = usable[0].select("id", "v", spread(q_blocks).alias("qb")).select("*", every(c_blocks).alias("cb"))
-    held = usable[1].select("id", "v", spread(c_blocks).alias("cb")).select("*", every(q_blocks).alias("qb"))
+    asked = asked.select("id", "v", spread(q_blocks, "id").alias("qb")).select("*", every(c_blocks).alias("cb"))
+    held = held.select("id", "v", spread(c_blocks, "id", "v", "nth").alias("cb")).select("*", every(q_blocks).alias("qb"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:

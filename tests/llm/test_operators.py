@@ -182,7 +182,7 @@ def test_media(spark):
     assert media_columns.sniff(png[:-1]) == [] and media_columns.sniff(b"") == []
     df = spark.createDataFrame([(1, png, "image/jpeg"), (2, None, None), (3, b"xx" + wav, "text")], "id int, b binary, t string")
     got = {r.id: r for r in media_columns.sniff_media(df, id_col="id", bytes_col="b", declared_col="t").collect()}
-    assert got[1].corrected == "png" and got[2].detected is None and got[3].embedded[0].content == wav
+    assert got[1].corrected == "image/png" and got[2].detected is None and got[3].embedded[0].content == wav
     rows = {r.doc_id: r for r in media_columns.store_as_media(frame(spark, [(1, "ä" * 40), (2, None), (3, "x" * 64)])).collect()}
     padded = ("ä" * 40).encode().ljust(128, b"\0")
     assert (rows[1].n_bytes, rows[1].payload_bytes, rows[1].payload_sha256, rows[1].tail_crc32) == (80, 128, hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))

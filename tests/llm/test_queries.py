@@ -30,7 +30,7 @@ def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, before = docs.columns, docs.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.durable(stage(spark, docs, SF))
+        docs = corpus_pipeline.settled(stage(spark, docs, SF))
         assert docs.columns == columns, name
         if name != "source_mixing":
             assert 0 < docs.count() <= before, name
