@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@contextmanager
+def text_batches(spark: SparkSession, rows: int = 500):
+    """Within, a table that is written hands Python at most `rows` texts at a time; then the session's own setting is back.
+
+    Spark's default of 10,000 makes batches of some 30 MB of text, several times that in executor and worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+    spark.conf.set(key, str(rows if int(own) <= 0 else min(rows, int(own))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
 def given_back() -> None:
     """Hands a worker's free memory back to the system; called between large groups, for workers live as long as executors."""
     pa.default_memory_pool().release_unused()
@@ -48,7 +64,7 @@ def id_residue(doc_id: Column, modulus: int) -> Column:
 class WordHashes(dict):
     """64-bit hashes of words, remembered; emptied when it holds `most` of them."""
 
-    def __init__(self, most: int = 100_000, seed: int = 0):
+    def __init__(self, most: int = 50_000, seed: int = 0):
         super().__init__()
         self.most, self.seed = most, seed
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintfield.llm.common import WordHashes, discard, given_back, mix64, settled
+from glintfield.llm.common import WordHashes, discard, given_back, mix64, settled, text_batches
 from glintfield.llm.components import connected_components
 
 GOLDEN = 0x9E3779B97F4A7C15
@@ -113,11 +113,17 @@ def _sketches(texts: pa.Array, bands: int, rows: int, width: int) -> pa.Array:
             words = 0
     if here:
         flush()
-    given_back()
+    _done()
     columns = list(zip(*out)) or [(), (), ()]
     return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SKETCH)], [f.name for f in SKETCH])
 
 
+def _done() -> None:
+    """Between groups and batches a worker keeps no words and no free memory."""
+    _HASHES.clear()
+    given_back()
+
+
 class Classes:
     """Union-find over the rows of one group; the smallest node is the root."""
 
@@ -167,7 +173,8 @@ def near_duplicate_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: s
     def sketch(texts: pa.Array) -> pa.Array:
         return _sketches(texts, bands, rows, width)
 
-    seen = settled(df.select(F.col(id_col).alias("id"), sketch(F.col(text_col)).alias("s")).select("id", "s.*"))
+    with text_batches(df.sparkSession):
+        seen = settled(df.select(F.col(id_col).alias("id"), sketch(F.col(text_col)).alias("s")).select("id", "s.*"))
     nodes = seen.where("n > 0 AND id IS NOT NULL").groupBy("content").agg(F.min("id").cast("long").alias("node"), F.max("n").alias("n"), F.max("bands").alias("bands"))
     nodes = settled(nodes)
     keyed = nodes.select("node", F.explode("bands").alias("band"))
@@ -195,7 +202,7 @@ def near_duplicate_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: s
             classes = Classes(group)
             _verify(group, None, {n: shingles(own[n][1], width) for n in group}, {n: np.array(own[n][2]) for n in group}, classes, threshold, {})
             out += [(owner, n, classes.root(n)) for n in group]
-        given_back()
+        _done()
         return pa.table([pa.array(x, pa.int64()) for x in zip(*out)], schema=LINKS)
 
     whole = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(batches)))
@@ -245,7 +252,7 @@ def _finish_large(links: DataFrame, large: DataFrame, texts: DataFrame, block_ro
         classes = Classes(list(set(label.values())))
         _verify(sorted(set(left["node"].to_pylist())), sorted(set(right["node"].to_pylist())), sets, keys, classes, threshold, label)
         out = [(0, n, classes.root(n)) for n in classes.up if classes.root(n) != n]
-        given_back()
+        _done()
         return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], schema=LINKS)
 
     late = odd.groupBy("comp", "block", "chunk").cogroup(base.groupBy("comp", "block", "chunk")).applyInArrow(meet, "owner bigint, node bigint, root bigint")

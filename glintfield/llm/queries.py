@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glintfield.llm.common import WORD_GAP, documents, id_residue, settled
+from glintfield.llm.common import WORD_GAP, documents, id_residue, settled, text_batches
 from glintfield.llm.language_id import fit_languages, identify_languages
 from glintfield.llm.media_columns import store_as_media
 from glintfield.llm.license_scan import find_licenses, templates
@@ -46,7 +46,9 @@ def domain_labels(spark, sf_dir):
 def op3_source_mixing(spark, sf_dir):
     rows = documents(spark, sf_dir).select("doc_id", "text")
     model = fit_domains(rows, domain_labels(spark, sf_dir))
-    return mix_to_targets(settled(domain_posteriors(rows, model).drop("text")), model.domains, MIX_TARGETS)
+    with text_batches(spark):
+        members = settled(domain_posteriors(rows, model).drop("text"))
+    return mix_to_targets(members, model.domains, MIX_TARGETS)
 
 
 def to_pack(rows):

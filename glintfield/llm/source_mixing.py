@@ -66,7 +66,7 @@ def _shape(word: bytes) -> int:
 class WordFeatures(dict):
     """word -> its vocabulary place and shape in one number, remembered for `most` words."""
 
-    def __init__(self, words: list[bytes], most: int = 100_000):
+    def __init__(self, words: list[bytes], most: int = 50_000):
         super().__init__()
         self.places, self.most = {w: k for k, w in enumerate(words)}, most
 

@@ -28,7 +28,6 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,10 +67,12 @@ class Windows:
     """The windows of the documents of one group, in the order of their ids."""
 
     def __init__(self, ids: np.ndarray, texts: list[bytes], window: int):
-        self.words = [text.split() for text in texts]
-        self.counts = np.array([len(w) for w in self.words], np.int64)
+        # Words are held for one document at a time: as objects they take ten times their bytes.
+        hashed = [_HASHES.of(text.split()) for text in texts]
+        self.counts = np.array([len(x) for x in hashed], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.counts)])
-        tokens = _HASHES.of([w for words in self.words for w in words])
+        tokens = np.concatenate([*hashed, np.empty(0, np.uint64)])
+        del hashed
         high, low = window_hashes(tokens, window)
         of_word = np.repeat(np.arange(len(texts)), self.counts)
         self.at = np.flatnonzero(of_word[: len(high)] == of_word[window - 1 :]) if len(high) else np.empty(0, np.int64)
@@ -123,14 +124,19 @@ def _sorted_group(table: pa.Table, id_col: str) -> pa.Table:
     return table.sort_by([(id_col, "ascending")]) if table.num_rows > 1 else table
 
 
-def _texts(table: pa.Table, packed: str) -> list[bytes]:
-    unzip = zstandard.ZstdDecompressor()
-    return [b"" if x is None else unzip.decompress(x) for x in table[packed].to_pylist()]
+def _texts(table: pa.Table) -> list[bytes]:
+    return [(x or "").encode() for x in table["text"].to_pylist()]
 
 
-def _kept(text: bytes, words: list[bytes], gone: np.ndarray, rejoin: bool) -> str:
+def _done() -> None:
+    """Between groups a worker keeps no words and no free memory."""
+    _HASHES.clear()
+    given_back()
+
+
+def _kept(text: bytes, gone: np.ndarray, rejoin: bool) -> str:
     if rejoin:
-        return b" ".join([w for w, g in zip(words, gone) if not g] if gone.any() else words).decode()
+        return b" ".join([w for w, g in zip(text.split(), gone.tolist()) if not g]).decode()
     if not gone.any():
         return text.decode()
     parts, here = [], 0
@@ -154,7 +160,7 @@ def _untouched(df: DataFrame, id_col: str, text_col: str, keep: list[str], rejoi
     return counted.withColumn("removed", F.array().cast(RESULT["removed"].dataType))
 
 
-def remove_repeated_passages(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, window: int = 50, rejoin: bool = True, group_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeated_passages(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, window: int = 50, rejoin: bool = True, group_bytes: int = 1 << 20, bucket_bytes: int = 4 << 20) -> DataFrame:
     """Per row of df: the id, the `keep` columns, n_words, n_removed, kept_text and the removed word intervals.
 
     kept_text joins the kept words by one space, or with rejoin=False is the text with the removed
@@ -166,25 +172,20 @@ def remove_repeated_passages(df: DataFrame, *, id_col: str = "doc_id", text_col:
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups, buckets = (max(1, min(rows, max(total // size, least))) for size in (group_bytes, bucket_bytes))
 
-    @F.arrow_udf("binary")
-    def zipped(texts: pa.Array) -> pa.Array:
-        shrink = zstandard.ZstdCompressor(level=1)
-        return pa.array([shrink.compress(x.as_py().encode()) if x.is_valid else None for x in texts], pa.binary())
-
     spot = F.pmod(F.xxhash64(id_col, text_col), F.lit(groups)).cast("int")
-    dealt = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.struct(id_col, *keep).alias("row"), zipped(text_col).alias("z"), spot.alias("g"))
+    dealt = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.struct(id_col, *keep).alias("row"), F.col(text_col).alias("text"), spot.alias("g"))
     bucket_of = np.uint64(buckets)
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
         table = _sorted_group(table, "id")
-        w = Windows(table["id"].to_numpy(), _texts(table, "z"), window)
+        w = Windows(table["id"].to_numpy(), _texts(table), window)
         high, low, ids = w.high[w.first], w.low[w.first], w.doc[w.order][w.first]
         bucket = (high >> np.uint64(32)) * bucket_of >> np.uint64(32)
         cuts = np.flatnonzero(np.diff(bucket, prepend=np.uint64(1 << 40))) if len(high) else np.empty(0, int)
         ends = [*cuts[1:].tolist(), len(high)]
         packed = [pack(high[a:b], low[a:b], ids[a:b]) for a, b in zip(cuts.tolist(), ends)]
         sent = pa.table([pa.array(bucket[cuts].astype(np.int32)), pa.array(np.full(len(cuts), key[0].as_py(), np.int32)), pa.array(packed, pa.binary())], schema=SENT)
-        given_back()
+        _done()
         return sent
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
@@ -203,23 +204,23 @@ def remove_repeated_passages(df: DataFrame, *, id_col: str = "doc_id", text_col:
         cuts = np.flatnonzero(np.diff(owner, prepend=-1)) if len(owner) else np.empty(0, int)
         ends = [*cuts[1:].tolist(), len(owner)]
         answered = pa.table([pa.array(owner[cuts].astype(np.int32)), pa.array([pack(high[a:b], low[a:b]) for a, b in zip(cuts.tolist(), ends)], pa.binary())], schema=ANSWERED)
-        given_back()
+        _done()
         return answered
 
     def cut(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         table = _sorted_group(table, "id")
-        texts = _texts(table, "z")
+        texts = _texts(table)
         w = Windows(table["id"].to_numpy(), texts, window)
         parts = [unpack(x) for x in answers["packed"].to_pylist()]
         high, low = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.uint64), np.empty(0, np.uint16))
         order = np.argsort(high, kind="stable")
         gone = w.repeated(high[order], low[order], window)
         masks = [gone[w.starts[k] : w.starts[k + 1]] for k in range(len(texts))]
-        kept = [_kept(t, ws, mask, rejoin) if z.is_valid else None for z, t, ws, mask in zip(table["z"], texts, w.words, masks)]
+        kept = [_kept(t, mask, rejoin) if z.is_valid else None for z, t, mask in zip(table["text"], texts, masks)]
         spans = pa.array([[{"start": a, "end": b} for a, b in _runs(m)] for m in masks], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
         out = pa.table({"row": table["row"], "n_words": pa.array([len(m) for m in masks], pa.int64()), "n_removed": pa.array([int(m.sum()) for m in masks], pa.int64()), "kept_text": pa.array(kept, pa.string()), "removed": spans})
         del w, texts, kept
-        given_back()
+        _done()
         return out
 
     sent = dealt.groupBy("g").applyInArrow(send, "bucket int, g int, packed binary")
