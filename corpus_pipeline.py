@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintfield.llm import queries as q
-from glintfield.llm.common import settled
+from glintfield.llm.common import settled, text_batches
 from glintfield.llm.language_id import fit_languages, identify_languages
 from glintfield.llm.near_dedup import keep_one_of_each
 from glintfield.llm.packing import pack
@@ -37,7 +37,8 @@ def _boxed(docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     told = identify_languages(_boxed(docs), fit_languages(docs))
-    return told.where("NOT rejected").select("docs_row.*")
+    with text_batches(spark):
+        return settled(told.where("NOT rejected").select("docs_row.*"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +58,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit_domains(docs, q.domain_labels(spark, sf_dir))
-    members = settled(domain_posteriors(_boxed(docs), model).drop("text"))
+    with text_batches(spark):
+        members = settled(domain_posteriors(_boxed(docs), model).drop("text"))
     mixed = mix_to_targets(members, model.domains, q.MIX_TARGETS)
     times = F.explode(F.sequence(F.lit(1), F.col("copies")))
     return mixed.where("copies > 0").select("docs_row", times.alias("nth")).select("docs_row.*")
