@@ -14,12 +14,15 @@ template would begin; the template's shingles found from there (with a slack of
 length on both sides) are counted exactly, and a share of at least `containment` is a match. Overlapping
 matches of one template in one document count once, the best first.
 
+A template under WIDTH words is one shorter shingle and matches only word by word: its places are the
+words that are some short template's first, and the words behind must be the template's.
+
 Broadcast are tables of the templates, of which `max_templates` is checked, and the ids of the
 documents with candidates while they are at most `broadcast_rows`; beyond that they meet their texts in
-a shuffle join.
+a shuffle join. A document's candidate places travel with it in one row, in proportion to its own words.
 
-Defined cases: null and empty texts, texts or templates under WIDTH words have no shingle and no
-match; rows that repeat an id are one document each with equal matches, given once; an empty table gives an empty
+Defined cases: null and empty texts have no match; texts under WIDTH words can only hold templates under
+WIDTH words, and templates without words match nothing; rows that repeat an id are one document each with equal matches, given once; an empty table gives an empty
 result; other columns are dropped.
 """
 
@@ -29,24 +32,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glintfield.llm.common import settled
+from glintfield.llm.license_texts import TEMPLATES
 
 WIDTH, SHINGLES, STRIDE, BANDS = 5, 4, 2, 24
 
-#: Short public license notices: (id, text). Fixed values.
-NOTICES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT-permission", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-]
-#: Short notices of the six Creative Commons licences in all versions.
-CC_NOTICES = [(f"CC-{kind}-{version}-short", f"Licensed under CC {kind} {version}.") for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND") for version in ("1.0", "2.0", "2.5", "3.0", "4.0")]
-
-
-def templates(spark: SparkSession, notices: list[tuple[str, str]] = [*NOTICES, *CC_NOTICES], max_templates: int = 20_000) -> DataFrame:
+def templates(spark: SparkSession, notices: list[tuple[str, str]] = TEMPLATES, max_templates: int = 20_000) -> DataFrame:
     if len(notices) > max_templates:
         raise ValueError(f"{len(notices)} templates; max_templates is {max_templates}")
     return spark.createDataFrame(notices, "template_id string, text string")
@@ -79,7 +69,8 @@ def band_values() -> list[Column]:
 
 def find_licenses(df: DataFrame, known: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", containment: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Per match: id, template_id, start_word, end_word (of the region), matched, shingles, containment."""
-    shapes = F.broadcast(known.select(F.col("template_id").alias("key"), word_hashes(F.col("text")).alias("words")).where(F.size("words") >= WIDTH))
+    hashed = known.select(F.col("template_id").alias("key"), word_hashes(F.col("text")).alias("words"))
+    shapes = F.broadcast(hashed.where(F.size("words") >= WIDTH))
     pieces = shapes.select("key", F.size("words").alias("length"), F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("words") - WIDTH), lambda i: shingle(F.col("words"), i))).alias("pool"))
     values = F.explode(F.array(*band_values())).alias("value")
     table = windows(shapes, 1).select(F.col("key").alias("template_id"), F.col("at").alias("offset"), values).distinct()
@@ -107,4 +98,18 @@ def find_licenses(df: DataFrame, known: DataFrame, *, id_col: str = "doc_id", te
     apart = F.coalesce(F.col("begin") - F.lag("begin").over(order) >= F.col("length"), F.lit(True))
     runs = scored.withColumn("run", F.sum(apart.cast("int")).over(order))
     best = runs.groupBy("key", "template_id", "run").agg(F.max_by(F.struct("begin", "end", "both", "shingles", "share"), F.struct("share", -F.col("end"), "begin")).alias("m"))
-    return best.select(F.col("key").alias(id_col), "template_id", F.col("m.begin").alias("start_word"), F.col("m.end").alias("end_word"), F.col("m.both").alias("matched"), F.col("m.shingles").alias("shingles"), F.col("m.share").alias("containment"))
+    long = best.select(F.col("key").alias(id_col), "template_id", F.col("m.begin").alias("start_word"), F.col("m.end").alias("end_word"), F.col("m.both").alias("matched"), F.col("m.shingles").alias("shingles"), F.col("m.share").alias("containment"))
+    return long.unionByName(_short_matches(texts, hashed.where(F.size("words").between(1, WIDTH - 1)), id_col))
+
+
+def _short_matches(texts: DataFrame, short: DataFrame, id_col: str) -> DataFrame:
+    """Matches of templates under WIDTH words: texts(key, words) and short(key, words) hold word hashes."""
+    heads = [r.head for r in short.select(F.get("words", 0).alias("head")).distinct().collect()]  # at most max_templates
+    known = F.array(*(F.lit(h) for h in heads)) if heads else F.array().cast("array<bigint>")
+    starts = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(known, F.get("words", i)))
+    met = texts.where(F.arrays_overlap("words", known)).select("key", "words", F.explode(starts).alias("at"))
+    around = met.select("key", "at", F.slice("words", F.col("at") + 1, WIDTH - 1).alias("here"), F.get("words", F.col("at")).alias("head"))
+    rules = F.broadcast(short.select(F.col("key").alias("template_id"), F.col("words").alias("pattern"), F.get("words", 0).alias("head")))
+    same = around.join(rules, "head").where(F.slice("here", F.lit(1), F.size("pattern")) == F.col("pattern"))
+    one = F.lit(1)
+    return same.select(F.col("key").alias(id_col), "template_id", F.col("at").alias("start_word"), (F.col("at") + F.size("pattern")).alias("end_word"), one.alias("matched"), one.alias("shingles"), F.lit(1.0).alias("containment")).distinct()

@@ -184,7 +184,7 @@ def _flac(data: bytes, at: int) -> int | None:
 
 
 def _mp4(data: bytes, at: int) -> int | None:
-    """Boxes in a row, ftyp first, with a moov or moof among them. The signature is the box's name, four bytes in."""
+    """Boxes in a row, ftyp first, with an mdat and a moov or moof among them. The signature is the box's name, four bytes in."""
     here, names = at, set()
     while here + 8 <= len(data):
         size, name = struct.unpack_from(">I4s", data, here)
@@ -194,7 +194,7 @@ def _mp4(data: bytes, at: int) -> int | None:
             break
         names.add(name)
         here += size
-    return here - at if names & {b"moov", b"moof"} else None
+    return here - at if b"mdat" in names and names & {b"moov", b"moof"} else None
 
 
 def _tiff(data: bytes, at: int) -> int | None:

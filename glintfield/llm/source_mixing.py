@@ -7,8 +7,8 @@ shares, sum over documents of r * tokens * p / all tokens, and the target shares
 projected gradient steps (with momentum) from r = 1. A step needs only the shares' residual, one
 number a domain; Spark sums it over all documents in each round. A document's rate follows from its
 last settled state and the residuals since; every `settle_rounds` rounds the states are settled again.
-Rounds end when the shares are within `tolerance` of the targets, or when no rate moves any more
-(targets out of reach: the rates are then the least squares). Neither within `most_rounds` is an error.
+Rounds end when the shares are within `tolerance` of the targets, or when their distance has not shrunk
+by `still` in `settle_rounds` rounds (targets out of reach). Neither within `most_rounds` is an error.
 
 Features of a text: how often it uses the `vocabulary` words that tell the sample's domains apart
 best, and shares of word shapes (upper case, digits, symbols, repeated words).
@@ -166,7 +166,7 @@ def _matrix(posteriors: pa.Array, k: int) -> np.ndarray:
     return np.asarray(posteriors.flatten(), float).reshape(-1, k)
 
 
-def mix_to_targets(members: DataFrame, domains: list[str], targets: dict[str, float], *, id_col: str = "doc_id", tolerance: float = 1e-4, still: float = 1e-7, settle_rounds: int = 16, most_rounds: int = 400) -> DataFrame:
+def mix_to_targets(members: DataFrame, domains: list[str], targets: dict[str, float], *, id_col: str = "doc_id", tolerance: float = 1e-4, still: float = 1e-5, settle_rounds: int = 16, most_rounds: int = 400) -> DataFrame:
     """members (id_col, n_tokens, posteriors, ...) with rate and copies."""
     rest = members.drop("rate", "copies")
     k = len(domains)
@@ -184,10 +184,11 @@ def mix_to_targets(members: DataFrame, domains: list[str], targets: dict[str, fl
         if len(rounds) == most_rounds:
             raise RuntimeError(f"token shares still move after {most_rounds} rounds")
         momentum = len(rounds) / (len(rounds) + 3)
-        *sums, moved = _expected(states, rounds[recent:], momentum, pace, k)
-        residual = np.array(sums) / total - goal
+        residual = _expected(states, rounds[recent:], momentum, pace, k) / total - goal
         rounds.append((momentum, residual))
-        done = np.abs(residual).max() < tolerance or moved / total < still
+        away = [float(np.linalg.norm(x)) for _, x in rounds]
+        halted = len(away) > settle_rounds and min(away[:-settle_rounds]) - min(away[-settle_rounds:]) < still
+        done = np.abs(residual).max() < tolerance or halted
         if len(rounds) - recent == settle_rounds and not done:
             last, states = states, _settle(states, rounds[recent:], pace, k)
             discard(last)
@@ -215,8 +216,8 @@ def _settle(states: DataFrame, rounds: list, pace: float, k: int) -> DataFrame:
     return settled(states.select("n_tokens", "posteriors", moved("posteriors", "rate", "before").alias("m")).select("n_tokens", "posteriors", "m.*"))
 
 
-def _expected(states: DataFrame, rounds: list, momentum: float, pace: float, k: int) -> list[float]:
-    """Expected tokens of each domain at the point ahead, and how far its rates are from the round's, in tokens: partial sums a batch, summed by Spark."""
+def _expected(states: DataFrame, rounds: list, momentum: float, pace: float, k: int) -> np.ndarray:
+    """Expected tokens of each domain at the point ahead: partial sums a batch, summed by Spark."""
 
     def partial(batches):
         for batch in batches:
@@ -224,8 +225,7 @@ def _expected(states: DataFrame, rounds: list, momentum: float, pace: float, k:
             p = _matrix(batch.column(1), k)
             rate, before = follow(p, rounds, pace, rate, before)
             sums = (n * (rate + momentum * (rate - before))) @ p
-            moved = n @ np.abs(rate - before) if rounds else np.inf
-            yield pa.record_batch([pa.array([x]) for x in [*sums, moved]], names=[f"s{i}" for i in range(k + 1)])
+            yield pa.record_batch([pa.array([x]) for x in sums], names=[f"s{i}" for i in range(k)])
 
-    sums = states.mapInArrow(partial, ", ".join(f"s{i} double" for i in range(k + 1)))
-    return [x or 0.0 for x in sums.agg(*(F.sum(f"s{i}") for i in range(k + 1))).first()]
+    sums = states.mapInArrow(partial, ", ".join(f"s{i} double" for i in range(k)))
+    return np.array([x or 0.0 for x in sums.agg(*(F.sum(f"s{i}") for i in range(k))).first()])

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glintfield.llm import license_scan, media_columns, near_dedup, url_filters
+from glintfield.llm import license_scan, license_texts, media_columns, near_dedup, url_filters
 from glintfield.llm.language_id import fit_languages, identify_languages
 from glintfield.llm.packing import best_fit, pack
 from glintfield.llm.quality_score import fit_quality, score_quality
@@ -242,7 +242,7 @@ def test_packing(spark):
 
 
 def test_license_scan(spark):
-    notices = dict(license_scan.NOTICES)
+    notices = dict(license_texts.NOTICES)
     long_notice = notices["MIT-permission"].split()
     rows = [(k, prose(30) + "\n" + text + " " + prose(20)) for k, text in enumerate(notices.values())] + [(50, " ".join(long_notice[:7] + ["changed"] + long_notice[7:])), (51, None), (52, ""), (53, prose(400)), (54, "Released under the MIT License")]
     got = {(r.doc_id, r.template_id, r.start_word) for r in license_scan.find_licenses(frame(spark, rows), license_scan.templates(spark)).collect()}
@@ -250,9 +250,9 @@ def test_license_scan(spark):
 
 
 def test_license_scan_tells_creative_commons_apart(spark):
-    rows = [(k, prose(30) + "\n" + text) for k, (_, text) in enumerate(license_scan.CC_NOTICES)]
+    rows = [(k, prose(30) + "\n" + text) for k, (_, text) in enumerate(license_texts.CC_NOTICES)]
     got = {(r.doc_id, r.template_id, r.start_word) for r in license_scan.find_licenses(frame(spark, rows), license_scan.templates(spark)).collect()}
-    assert got == {(k, name, 30) for k, (name, _) in enumerate(license_scan.CC_NOTICES)}
+    assert got == {(k, name, 30) for k, (name, _) in enumerate(license_texts.CC_NOTICES)}
 
 
 @pytest.mark.parametrize("run", [
