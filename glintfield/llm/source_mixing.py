@@ -8,7 +8,7 @@ projected gradient steps (with momentum) from r = 1. A step needs only the share
 number a domain; Spark sums it over all documents in each round. A document's rate follows from its
 last settled state and the residuals since; every `settle_rounds` rounds the states are settled again.
 Rounds end when the shares are within `tolerance` of the targets, or when their distance has not shrunk
-by `still` in `settle_rounds` rounds (targets out of reach). Neither within `most_rounds` is an error.
+by the share `still` in `settle_rounds` rounds (targets out of reach). Neither within `most_rounds` is an error.
 
 Features of a text: how often it uses the `vocabulary` words that tell the sample's domains apart
 best, and shares of word shapes (upper case, digits, symbols, repeated words).
@@ -166,7 +166,7 @@ def _matrix(posteriors: pa.Array, k: int) -> np.ndarray:
     return np.asarray(posteriors.flatten(), float).reshape(-1, k)
 
 
-def mix_to_targets(members: DataFrame, domains: list[str], targets: dict[str, float], *, id_col: str = "doc_id", tolerance: float = 1e-4, still: float = 1e-5, settle_rounds: int = 16, most_rounds: int = 400) -> DataFrame:
+def mix_to_targets(members: DataFrame, domains: list[str], targets: dict[str, float], *, id_col: str = "doc_id", tolerance: float = 1e-4, still: float = 0.02, settle_rounds: int = 16, most_rounds: int = 400) -> DataFrame:
     """members (id_col, n_tokens, posteriors, ...) with rate and copies."""
     rest = members.drop("rate", "copies")
     k = len(domains)
@@ -187,7 +187,7 @@ def mix_to_targets(members: DataFrame, domains: list[str], targets: dict[str, fl
         residual = _expected(states, rounds[recent:], momentum, pace, k) / total - goal
         rounds.append((momentum, residual))
         away = [float(np.linalg.norm(x)) for _, x in rounds]
-        halted = len(away) > settle_rounds and min(away[:-settle_rounds]) - min(away[-settle_rounds:]) < still
+        halted = len(away) > settle_rounds and min(away[-settle_rounds:]) > (1 - still) * min(away[:-settle_rounds])
         done = np.abs(residual).max() < tolerance or halted
         if len(rounds) - recent == settle_rounds and not done:
             last, states = states, _settle(states, rounds[recent:], pace, k)

@@ -97,7 +97,7 @@ def members(spark, p, n):
     return spark.createDataFrame(rows, "doc_id long, n_tokens long, posteriors array<double>")
 
 
-@pytest.mark.parametrize("goal, slack", [({"a": 0.5, "b": 0.3, "c": 0.2}, 2e-4), ({"a": 1.0}, 2e-3)])
+@pytest.mark.parametrize("goal, slack", [({"a": 0.5, "b": 0.3, "c": 0.2}, 2e-4), ({"a": 1.0}, 0.02)])
 def test_mixing_reaches_the_least_squares(spark, goal, slack):
     """The second target is out of reach for soft posteriors, so its least squares have a rest."""
     p = RNG.dirichlet([1.0, 0.6, 0.4], 200) * 0.9 + 0.1 / 3
