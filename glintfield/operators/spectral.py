@@ -1,7 +1,8 @@
 """Spectra of px(keys..., r, c, re, im): centred transforms along one axis, looks and sub-apertures.
 
-A line is packed into two arrays (one shuffle when the axis is not the one the data is dealt by),
-transformed by an Arrow function, and unpacked; masks, weights and shifts are column expressions.
+The packed form of samples is lines(keys..., other, re, im): one row a line, two arrays. A table of stored lines
+is transformed along them without a shuffle; only the turn to the other axis needs one. All lines of a batch that
+have one length are one matrix for the FFT; masks, weights and shifts are column expressions.
 """
 
 from __future__ import annotations
@@ -17,27 +18,40 @@ COMPLEX_LINE = "struct<re: array<double>, im: array<double>>"
 def _spectrum(inverse: bool):
     @F.arrow_udf(COMPLEX_LINE)
     def transform(re: pa.Array, im: pa.Array) -> pa.Array:
-        out_re, out_im = [], []
-        for a, b in zip(re, im):
-            x = np.array(a.values, float) + 1j * np.array(b.values, float)
-            if inverse:
-                y = np.fft.fftshift(np.fft.ifft(np.fft.ifftshift(x)))
-            else:
-                y = np.fft.fftshift(np.fft.fft(np.fft.ifftshift(x)))
-            out_re.append(y.real)
-            out_im.append(y.imag)
-        kind = pa.list_(pa.float64())
-        return pa.StructArray.from_arrays([pa.array(out_re, kind), pa.array(out_im, kind)], ["re", "im"])
+        offsets = np.concatenate([[0], np.cumsum(np.asarray(re.value_lengths().fill_null(0)))])
+        x = np.asarray(re.flatten(), float) + 1j * np.asarray(im.flatten(), float)
+        y, lengths = np.empty_like(x), np.diff(offsets)
+        for n in np.unique(lengths[lengths > 0]):
+            places = offsets[:-1][lengths == n, None] + np.arange(n)
+            lines = x[places]
+            y[places] = np.fft.ifft(np.fft.ifftshift(lines, axes=1), axis=1) if inverse else np.fft.fftshift(np.fft.fft(lines, axis=1), axes=1)
+        at = pa.array(offsets, pa.int32())
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(at, pa.array(part)) for part in (y.real, y.imag)], ["re", "im"])
 
     return transform
 
 
-def centred_fft(px: DataFrame, axis: str, keys: tuple[str, ...] = ("chip",), inverse: bool = False) -> DataFrame:
-    """shift(fft(unshift(x))) along axis "r" or "c"; the axis column then counts frequencies (or samples)."""
+def packed(px: DataFrame, axis: str, keys: tuple[str, ...] = ("chip",)) -> DataFrame:
+    """lines(keys, other, re, im) along an axis, from dense samples; one shuffle by line."""
+    other = "c" if axis == "r" else "r"
+    sets = px.groupBy(*keys, other).agg(F.sort_array(F.collect_list(F.struct(axis, "re", "im"))).alias("x"))
+    return sets.select(*keys, other, F.col("x.re").alias("re"), F.col("x.im").alias("im"))
+
+
+def unpacked(lines: DataFrame, axis: str, keys: tuple[str, ...] = ("chip",)) -> DataFrame:
     other = "c" if axis == "r" else "r"
-    packed = px.groupBy(*keys, other).agg(F.sort_array(F.collect_list(F.struct(axis, "re", "im"))).alias("x"))
-    lines = packed.select(*keys, other, _spectrum(inverse)(F.col("x.re"), F.col("x.im")).alias("y"))
-    return lines.select(*keys, other, F.posexplode(F.arrays_zip("y.re", "y.im")).alias(axis, "s")).select(*keys, "r", "c", "s.re", "s.im")
+    return lines.select(*keys, other, F.posexplode(F.arrays_zip("re", "im")).alias(axis, "s")).select(*keys, "r", "c", "s.re", "s.im")
+
+
+def line_fft(lines: DataFrame, inverse: bool = False) -> DataFrame:
+    """The transform of each packed line: the spectrum with its zero in the middle, or back from such a spectrum."""
+    rest = [c for c in lines.columns if c not in ("re", "im")]
+    return lines.select(*rest, _spectrum(inverse)("re", "im").alias("y")).select(*rest, "y.re", "y.im")
+
+
+def centred_fft(px: DataFrame, axis: str, keys: tuple[str, ...] = ("chip",), inverse: bool = False) -> DataFrame:
+    """shift(fft(x)) along axis "r" or "c", or ifft(unshift(x)); the axis column then counts frequencies (or samples)."""
+    return unpacked(line_fft(packed(px, axis, keys), inverse), axis, keys)
 
 
 def power(scale: float = 1.0):
@@ -64,6 +78,11 @@ def centred_look(spectrum: DataFrame, n_r: int, n_c: int, centre_r: int, centre_
     return centred_fft(centred_fft(dense, "c", keys, inverse=True), "r", keys, inverse=True)
 
 
+def line_band_pass(lines: DataFrame, start: int, end: int) -> DataFrame:
+    """Zero outside [start, end) of each packed line."""
+    return lines.withColumns({p: F.transform(p, lambda x, i: F.when((i >= start) & (i < end), x).otherwise(0.0)) for p in ("re", "im")})
+
+
 def band_pass(spectrum: DataFrame, axis: str, start, end) -> DataFrame:
     """Zero outside [start, end) of the axis."""
     inside = (F.col(axis) >= start) & (F.col(axis) < end)

@@ -34,6 +34,10 @@ def target_centering(spark, sf_dir):
 
 
 def power_window(spark, sf_dir):
+    return af.power_window(af.renumber_rows(_px(spark, sf_dir)))
+
+
+def power_window_narrow(spark, sf_dir):
     return af.power_window(af.renumber_rows(_px(spark, sf_dir)), threshold=-1.0, least=10)
 
 
@@ -68,13 +72,21 @@ def phase_rms(spark, sf_dir):
 
 
 def pga_phase(spark, sf_dir):
-    return rounded(af.phase_error(af.strong_lines(_px(spark, sf_dir), 0.5), SAMPLES), phi=6, rms=6)
+    return rounded(af.phase_gradient_autofocus(af.strong_lines(_px(spark, sf_dir)), SAMPLES).select("chip", "i", "phi", "rms"), phi=6, rms=6)
 
 
 def focus_best_look(spark, sf_dir):
     return rounded(af.best_look(_px(spark, sf_dir), LINES, SAMPLES), re=6, im=6, entropy=6)
 
 
+def pga_rounds(spark, sf_dir):
+    return rounded(af.phase_gradient_autofocus(af.strong_lines(_px(spark, sf_dir), 0.5), SAMPLES, rounds=3), phi=6, rms=6)
+
+
+def lens_focus_u8(spark, sf_dir):
+    return ix.display_orientation(af.lens_focus(_px(spark, sf_dir), LINES, SAMPLES), _left(), LINES, SAMPLES)
+
+
 def focus_bands(spark, sf_dir):
     return rounded(af.focus_bands(_px(spark, sf_dir)), amplitude=6, angle=6)
 
@@ -94,7 +106,21 @@ def irf_profile_metrics(spark, sf_dir):
 
 
 def irf_full(spark, sf_dir):
-    return rounded(irf.profile_metrics(irf.interpolate_chip(_px(spark, sf_dir)), 0.05, ("chip", "axis")), hpbw=4, pslr=4, islr=4)
+    _, metrics = irf.analyse_points(_px(spark, sf_dir), 0.8, 0.4)
+    return rounded(metrics, hpbw=4, pslr=4, islr=4)
+
+
+def irf_profiles(spark, sf_dir):
+    profiles, _ = irf.analyse_points(_px(spark, sf_dir), 0.8, 0.4)
+    return rounded(profiles, v=6, db=4, spacing=9)
+
+
+def irf_text(spark, sf_dir):
+    """Metrics as read, and the floor of the plot."""
+    value = F.when(F.col("l_linenumber") == 1, F.lit(float("-inf"))).when(F.col("l_linenumber") == 2, F.lit(None).cast("double")).otherwise(F.floor("l_extendedprice") / 4)
+    keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    floor = irf.plot_floor(-F.col("l_quantity") * 2)
+    return table(spark, sf_dir, "lineitem").select(*keys, irf.metric_text(value, 2).alias("shown"), floor.alias("low"))
 
 
 def orient_left(spark, sf_dir):
@@ -164,7 +190,7 @@ def chip_clamp(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(key.alias("id"), chip.alias("w")).where("w IS NOT NULL").select("id", "w.*")
 
 
-QUERIES = {f.__name__: f for f in (entropy, strong_lines, target_centering, power_window, phase_gradient, cumsum_unwrap, linear_detrend, phase_interp, phase_rms, pga_phase, focus_best_look, focus_bands, first_peak, clip_mean_sigma, irf_profile_metrics, irf_full, orient_left, orient_right, write_orientation, display_orient, crop, crop_of_crop, zero_pad, overviews, slc_decode, chip_decode, grow_extent, chip_clamp)}
+QUERIES = {f.__name__: f for f in (entropy, strong_lines, target_centering, power_window, power_window_narrow, pga_rounds, lens_focus_u8, irf_profiles, irf_text, phase_gradient, cumsum_unwrap, linear_detrend, phase_interp, phase_rms, pga_phase, focus_best_look, focus_bands, first_peak, clip_mean_sigma, irf_profile_metrics, irf_full, orient_left, orient_right, write_orientation, display_orient, crop, crop_of_crop, zero_pad, overviews, slc_decode, chip_decode, grow_extent, chip_clamp)}
 
 _WALK = "walk AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id)-1 AS i, (value - 6.25*floor(value/6.25)) - 3.0 AS phase FROM events)"
 _RAW = "raw AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS amp, l_discount*30 AS phase, CASE WHEN l_linenumber%3=0 THEN 1.0 ELSE l_linenumber%3*0.5 END AS scale, l_tax AS shift FROM lineitem)"
@@ -174,7 +200,29 @@ ORACLE_SQL = {
     "entropy": f"WITH {PX_SQL},\nw AS (SELECT chip, {_P}/sum({_P}) OVER (PARTITION BY chip) AS p FROM px)\nSELECT chip, round(-sum(p*ln(p)), 7)+0.0 AS entropy FROM w WHERE p > 0 GROUP BY chip",
     "strong_lines": f"WITH {PX_SQL},\nk AS (SELECT chip, r, max(sqrt({_P})) AS peak FROM px GROUP BY 1, 2),\nb AS (SELECT chip, quantile_cont(peak, 0.95) AS bound FROM k GROUP BY 1)\nSELECT px.chip, px.r, px.c, round(re, 6)+0.0 AS re, round(im, 6)+0.0 AS im FROM px JOIN k USING (chip, r) JOIN b USING (chip) WHERE peak >= bound",
     "target_centering": f"WITH {PX_SQL},\nt AS (SELECT *, first_value(c) OVER (PARTITION BY chip, r ORDER BY {_P} DESC, c) AS top FROM px)\nSELECT chip, r, CAST((c+16-top+32) % 32 AS INT) AS c, re, im FROM t",
-    "power_window": f"""WITH {PX_SQL},
+    "power_window": f"WITH {PX_SQL}\nSELECT DISTINCT chip, CAST(50 AS INT) AS w, CAST(31-25 AS INT) AS c0, CAST(31+25 AS INT) AS c1 FROM px",  # 32 columns are fewer than 50
+    "pga_phase": f"""WITH {PX_SQL},
+k AS (SELECT chip, r, max(sqrt({_P})) AS peak FROM px GROUP BY 1, 2),
+b AS (SELECT chip, quantile_cont(peak, 0.95) AS bound FROM k GROUP BY 1),
+kept AS (SELECT chip, r, row_number() OVER (PARTITION BY chip ORDER BY r)-1 AS i, count(*) OVER (PARTITION BY chip) AS h FROM k JOIN b USING (chip) WHERE peak >= bound),
+x AS (SELECT chip, i, h, c, re, im, first_value(c) OVER (PARTITION BY chip, i ORDER BY {_P} DESC, c) AS top FROM px JOIN kept USING (chip, r)),
+y AS (SELECT chip, i, h, (c+16-top+32)%32 AS c, re, im FROM x),
+w AS (SELECT chip, h, least(greatest(count(*) FILTER (10*log10(p/top) > -20), 50), h-1) AS w FROM (SELECT *, max(p) OVER (PARTITION BY chip) AS top FROM (SELECT chip, c, any_value(h) AS h, sum({_P}) AS p FROM y GROUP BY 1, 2)) GROUP BY 1, 2),
+e AS (SELECT chip, (h-1)//2-CAST(ceil(w/2.0) AS INT) AS c0, (h-1)//2+CAST(floor(w/2.0) AS INT) AS c1 FROM w),
+m AS (SELECT chip, i, h, c, CASE WHEN (c >= c0 AND c < c1) OR (c0 < 0 AND c >= 32+c0) THEN re ELSE 0 END AS re, CASE WHEN (c >= c0 AND c < c1) OR (c0 < 0 AND c >= 32+c0) THEN im ELSE 0 END AS im FROM y JOIN e USING (chip)),
+f AS (SELECT m.chip, m.c, q.i AS k, any_value(m.h) AS h, sum(re*cos(2*pi()*((q.i-m.h//2)*m.i)/m.h)+im*sin(2*pi()*((q.i-m.h//2)*m.i)/m.h)) AS re, sum(im*cos(2*pi()*((q.i-m.h//2)*m.i)/m.h)-re*sin(2*pi()*((q.i-m.h//2)*m.i)/m.h)) AS im
+      FROM m JOIN (SELECT DISTINCT chip, i FROM kept) q USING (chip) GROUP BY 1, 2, 3),
+s AS (SELECT chip, k, re, im, lead(re) OVER d AS re1, lead(im) OVER d AS im1 FROM f WINDOW d AS (PARTITION BY chip, c ORDER BY k)),
+g AS (SELECT chip, k+1 AS i, sum(atan2(re*im1-im*re1, re*re1+im*im1)*sqrt((re*im1-im*re1)**2+(re*re1+im*im1)**2))/sum(sqrt((re*im1-im*re1)**2+(re*re1+im*im1)**2)) AS g FROM s WHERE re1 IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT DISTINCT chip, 0, 0.0 FROM kept),
+raw AS (SELECT chip, i, sum(g) OVER (PARTITION BY chip ORDER BY i ROWS UNBOUNDED PRECEDING) AS raw FROM g),
+d AS (SELECT *, coalesce(raw-lag(raw) OVER (PARTITION BY chip ORDER BY i), 0) AS d FROM raw),
+u AS (SELECT chip, i, raw+sum(CASE WHEN abs(d) >= pi() THEN -2*pi()*round(d/(2*pi())) ELSE 0 END) OVER (PARTITION BY chip ORDER BY i ROWS UNBOUNDED PRECEDING) AS phase FROM d),
+l AS (SELECT chip, regr_slope(phase, i) AS a, regr_intercept(phase, i) AS b FROM u GROUP BY 1),
+z AS (SELECT chip, i, phase-(a*i+b) AS phi FROM u JOIN l USING (chip)),
+rms AS (SELECT chip, sqrt(avg(phi*phi)) AS rms FROM z GROUP BY 1)
+SELECT chip, CAST(i AS INT) AS i, round(CASE WHEN rms < 0.01 THEN 0 ELSE phi END, 6)+0.0 AS phi, round(rms, 6)+0.0 AS rms FROM z JOIN rms USING (chip)""",
+    "irf_text": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber IN (1, 2) THEN 'N/A' ELSE printf('%.2f', floor(l_extendedprice)/4) END AS shown, least(greatest(-l_quantity*2-5, -60.0e0), 5.0e0) AS low FROM lineitem",
+    "power_window_narrow": f"""WITH {PX_SQL},
 k AS (SELECT chip, c, sum({_P}) AS p FROM px GROUP BY 1, 2),
 n AS (SELECT chip, count(*) FILTER (10*log10(p/top) > -1.0) AS n FROM (SELECT *, max(p) OVER (PARTITION BY chip) AS top FROM k) GROUP BY 1),
 w AS (SELECT chip, CAST(least(greatest(n, 10), 63) AS INT) AS w FROM n)
@@ -190,7 +238,7 @@ f AS (SELECT *, CASE WHEN abs(d) >= pi() THEN (CASE WHEN m0 = -pi() AND d > 0 TH
 SELECT user_id, CAST(i AS INT) AS i, round(phase+sum(fix) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING), 6)+0.0 AS flat FROM f""",
     "linear_detrend": f"WITH {_WALK},\nl AS (SELECT user_id, regr_slope(phase, i) AS s, regr_intercept(phase, i) AS t FROM walk GROUP BY 1)\nSELECT user_id, CAST(i AS INT) AS i, round(phase-(s*i+t), 6)+0.0 AS flat FROM walk JOIN l USING (user_id)",
     "phase_interp": f"""WITH {_WALK},
-k AS (SELECT *, coalesce(lead(phase) OVER (PARTITION BY user_id ORDER BY i), phase) AS nxt, count(*) OVER (PARTITION BY user_id) AS m FROM walk WHERE i < 20),
+k AS (SELECT *, coalesce(lead(phase) OVER (PARTITION BY user_id ORDER BY i), phase) AS nxt, count(*) OVER (PARTITION BY user_id) AS m FROM walk),
 x AS (SELECT DISTINCT user_id, m, CAST(t.r AS INT) AS r, t.r*(m-1)/31.0 AS x FROM k CROSS JOIN range(32) t(r))
 SELECT x.user_id, x.r, round(phase+(nxt-phase)*(x.x-k.i), 6)+0.0 AS phi FROM x JOIN k ON k.user_id = x.user_id AND k.i = least(floor(x.x), x.m-1)""",
     "phase_rms": f"WITH {_WALK}\nSELECT user_id, round(sqrt(avg(phase*phase)), 7)+0.0 AS rms FROM walk GROUP BY 1",

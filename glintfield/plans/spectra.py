@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from glintfield.operators import color, spectral
 from glintfield.operators.normalize import to_uint8
-from glintfield.sources.chips import LINES, PX_SQL, SAMPLES, chips_from_embeddings
+from glintfield.sources.chips import LINES, PX_SQL, SAMPLES, chips_from_embeddings, lines_from_embeddings
 
 
 def rounded(df, **digits):
@@ -14,9 +14,9 @@ def rounded(df, **digits):
 
 
 def fft_sql(name: str, source: str, axis: str, n: int, keys: str = "chip", inverse: bool = False) -> str:
-    """A centred transform as a sum: frequencies and samples both count from -n // 2."""
+    """A transform as a sum; samples count from 0, frequencies from -n // 2."""
     other, sign = ("c" if axis == "r" else "r"), ("-" if inverse else "")
-    turn = f"2*pi()*(((k.k-{n // 2})*(p.{axis}-{n // 2})) % {n})/{n}.0"
+    turn = f"2*pi()*((k.k*(p.{axis}-{n // 2})) % {n})/{n}.0" if inverse else f"2*pi()*(((k.k-{n // 2})*p.{axis}) % {n})/{n}.0"
     scale = f"/{n}.0" if inverse else ""
     keyed = ", ".join(f"p.{x.strip()}" for x in keys.split(","))
     return f"""{name} AS (
@@ -30,8 +30,13 @@ def _chips(spark, sf_dir):
     return chips_from_embeddings(spark, sf_dir)
 
 
+def _lines(spark, sf_dir):
+    return lines_from_embeddings(spark, sf_dir)
+
+
 def range_spectrum_log(spark, sf_dir):
-    return rounded(spectral.centred_fft(_chips(spark, sf_dir), "c").select("chip", "r", "c", F.log10(spectral.power() + 1e-10).alias("v")), v=5)
+    samples = spectral.unpacked(spectral.line_fft(_lines(spark, sf_dir)), "c")
+    return rounded(samples.select("chip", "r", "c", F.log10(spectral.power() + 1e-10).alias("v")), v=5)
 
 
 def azimuth_spectrum(spark, sf_dir):
@@ -39,12 +44,12 @@ def azimuth_spectrum(spark, sf_dir):
 
 
 def spectrum_2d_log(spark, sf_dir):
-    both = spectral.centred_fft(spectral.centred_fft(_chips(spark, sf_dir), "c"), "r")
+    both = spectral.centred_fft(spectral.unpacked(spectral.line_fft(_lines(spark, sf_dir)), "c"), "r")
     return rounded(both.select("chip", "r", "c", F.log10(spectral.magnitude() + 1e-10).alias("v")), v=5)
 
 
 def range_power_u8(spark, sf_dir):
-    logged = spectral.centred_fft(_chips(spark, sf_dir), "c").select("chip", "r", "c", F.log10(spectral.power() + 1e-10).alias("v"))
+    logged = spectral.unpacked(spectral.line_fft(_lines(spark, sf_dir)), "c").select("chip", "r", "c", F.log10(spectral.power() + 1e-10).alias("v"))
     return to_uint8(rounded(logged, v=6), ("chip",), "v", "u").select("chip", "r", "c", "u")
 
 
@@ -54,20 +59,20 @@ def fft_shift(spark, sf_dir):
 
 
 def ifft_roundtrip(spark, sf_dir):
-    there = spectral.centred_fft(_chips(spark, sf_dir), "c")
-    return rounded(spectral.centred_fft(there, "c", inverse=True), re=6, im=6)
+    back = spectral.line_fft(spectral.line_fft(_lines(spark, sf_dir)), inverse=True)
+    return rounded(spectral.unpacked(back, "c"), re=6, im=6)
 
 
 def color_fast_time(spark, sf_dir):
-    return rounded(color.color_composite(_chips(spark, sf_dir), "c", SAMPLES), red=5, green=5, blue=5)
+    return rounded(color.color_by_mode(_lines(spark, sf_dir), "fast_time", LINES, SAMPLES), red=5, green=5, blue=5)
 
 
 def color_slow_time(spark, sf_dir):
-    return rounded(color.color_composite(_chips(spark, sf_dir), "r", LINES), red=5, green=5, blue=5)
+    return rounded(color.color_by_mode(_lines(spark, sf_dir), "slow_time", LINES, SAMPLES), red=5, green=5, blue=5)
 
 
 def color_default_mode(spark, sf_dir):
-    return rounded(color.color_by_mode(_chips(spark, sf_dir), "range_cmap", LINES, SAMPLES), red=5, green=5, blue=5)
+    return rounded(color.color_by_mode(_lines(spark, sf_dir), "range_cmap", LINES, SAMPLES), red=5, green=5, blue=5)
 
 
 def lens_color_u8(spark, sf_dir):
@@ -75,7 +80,7 @@ def lens_color_u8(spark, sf_dir):
 
 
 def centered_look(spark, sf_dir):
-    both = spectral.centred_fft(spectral.centred_fft(_chips(spark, sf_dir), "c"), "r")
+    both = spectral.centred_fft(spectral.unpacked(spectral.line_fft(_lines(spark, sf_dir)), "c"), "r")
     return rounded(spectral.centred_look(both, LINES, SAMPLES, 30, 17, 24, 12), re=6, im=6)
 
 
@@ -87,8 +92,8 @@ def azimuth_subaperture_db(spark, sf_dir):
 
 def range_subaperture_mag(spark, sf_dir):
     b0, b1 = spectral.sub_aperture_range(SAMPLES, 0.5)
-    band = spectral.band_pass(spectral.centred_fft(_chips(spark, sf_dir), "c"), "c", b0, b1)
-    return rounded(spectral.centred_fft(band, "c", inverse=True).select("chip", "r", "c", spectral.magnitude().alias("v")), v=6)
+    band = spectral.line_band_pass(spectral.line_fft(_lines(spark, sf_dir)), b0, b1)
+    return rounded(spectral.unpacked(spectral.line_fft(band, inverse=True), "c").select("chip", "r", "c", spectral.magnitude().alias("v")), v=6)
 
 
 FRAMES = dict(n=LINES, oversampling=1.25, resolution=0.15, frames=4)
@@ -128,7 +133,7 @@ _BAND = "{name} AS (SELECT chip, r, c, CASE WHEN {axis} >= {b0} AND {axis} < {b1
 
 
 def _sub_sql(axis: str, n: int, value: str) -> str:
-    b0, b1 = spectral.sub_aperture_range(n, 0.5)
+    b0, b1 = {64: (24, 32), 32: (11, 15)}[n]  # worked out by hand: 90 % usable, 15 % wide, in the middle
     return f"WITH {PX_SQL},\n{fft_sql('s', 'px', axis, n)},\n{_BAND.format(name='q', axis=axis, b0=b0, b1=b1, source='s')},\n{fft_sql('b', 'q', axis, n, inverse=True)}\nSELECT chip, r, c, {value} AS v FROM b"
 
 

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from glintfield.functions import timespan, tone
 from glintfield.functions.steps import apply_steps, doubles, steps_sql
 from glintfield.operators import batch, catalog
+from glintfield.operators.spectral import unpacked
 from glintfield.plans.spectra import rounded
 from glintfield.session import table
+from glintfield.sources import rasters, scenes
+from glintfield.sources.chips import PX_SQL, lines_from_embeddings
 
 BANDS = 4
 
@@ -76,7 +79,9 @@ def layer_routing(spark, sf_dir):
     kinds = F.array(*map(F.lit, ["COLOR", "QLK", "SHORT", "FOCUS", "SLC", "CSI", "VID"]))
     name = F.concat(F.when(F.col("p_partkey") % 4 == 0, "X_").otherwise("SAR_"), F.get(kinds, (F.col("p_partkey") % 7).cast("int")), F.lit("_"), F.col("p_partkey"))
     layers = table(spark, sf_dir, "part").select("p_partkey", name.alias("name"), (F.col("p_size") % 5 + 1).alias("bands"))
-    return layers.select("p_partkey", "name", catalog.layer_route(F.col("name"), "SAR_", F.col("bands")).alias("route"), catalog.derived_layer(F.col("name")).alias("derived"))
+    vendor = catalog.vendor_layer(F.col("name"), F.concat(F.lit("/data/"), F.when(F.col("p_partkey") % 8 == 0, "SAR_"), F.lit("x.tif")), "SAR_")
+    vendor = F.coalesce(vendor, F.col("name").startswith("SAR_"))
+    return layers.select("p_partkey", "name", catalog.layer_style(F.col("name"), vendor).alias("styled"), catalog.layer_timing(F.col("name"), vendor, F.col("bands")).alias("timing"), catalog.derived_layer(F.col("name")).alias("derived"))
 
 
 def _links(spark, sf_dir):
@@ -128,7 +133,80 @@ def qlk_footprint_split(spark, sf_dir):
 def catalog_filter(spark, sf_dir):
     regions = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("label"))
     nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.col("n_name").alias("label"))
-    return catalog.visible_nodes(regions.unionByName(nations), "1").select("id", "label", "visible")
+    suppliers = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.concat(F.lit("n"), "s_nationkey").alias("parent"), F.col("s_name").alias("label"))
+    return catalog.visible_nodes(regions.unionByName(nations).unionByName(suppliers), " R#000000003 ").select("id", "label", "visible")
+
+
+def tool_policies(spark, sf_dir):
+    """Which tools are on for a layer, in a session or out of it."""
+    modes = F.array(*map(F.lit, ["normal", "focus", "spectrum", "color", "2d_spectrum", "azimuth_viewer", "range_viewer", "range_spectrum"]))
+    layers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("layer"), (F.col("s_suppkey") % 3 != 0).alias("session"), F.when(F.col("s_suppkey") % 7 != 0, F.col("s_suppkey") % 2 == 0).alias("has_metadata"), (F.col("s_suppkey") % 5 == 0).alias("slc_cog"), F.get(modes, (F.col("s_suppkey") % 8).cast("int")).alias("mode"))
+    actions = catalog.tool_policy(F.col("session"), F.col("has_metadata"), F.col("slc_cog"))
+    return layers.select("layer", catalog.mode_uses_slc(F.col("mode")).alias("uses_slc"), *(on.alias(name) for name, on in actions.items()))
+
+
+def batch_sources(spark, sf_dir):
+    """Layers that can feed a batch, with the name of the focused product."""
+    name = F.concat(F.lit("SAR_"), "p_partkey", F.when(F.col("p_partkey") % 3 == 0, "_CROP_ab").when(F.col("p_partkey") % 3 == 1, "_SLC").otherwise("_FOCUS_x"))
+    layers = table(spark, sf_dir, "part").select("p_partkey", name.alias("name"), (F.col("p_size") % 2 == 0).alias("is_raster"), (F.col("p_size") % 5 != 0).alias("has_metadata"))
+    return layers.select("p_partkey", catalog.can_be_source(F.col("is_raster"), F.col("has_metadata"), F.col("name")).alias("usable"), catalog.renamed_product(F.col("name"), "FOCUS").alias("product"))
+
+
+def _footprint_items(spark, sf_dir):
+    k = F.col("p_partkey")
+    kinds = F.array(*map(F.lit, ["Polygon", "MULTIPOLYGON", "Point", "Circle"]))
+    shape = F.when(k % 5 != 0, F.concat(F.lit('{"type":"'), F.get(kinds, (k % 4).cast("int")), F.lit('","coordinates":[]}')))
+    x = k.cast("double")
+    return table(spark, sf_dir, "part").select(F.when(k % 11 != 0, k.cast("string")).alias("id"), k.alias("p_partkey"), F.lit("c").alias("collection"), shape.alias("geometry"), F.when(k % 10 != 0, F.array(x, x, x + 1, x + 1)).alias("bbox"), F.lit("2024").alias("datetime"))
+
+
+def footprints(spark, sf_dir):
+    return catalog.footprint(_footprint_items(spark, sf_dir)).groupBy("status", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("layer") == "STAC Item").alias("unnamed"))
+
+
+def load_plan(spark, sf_dir):
+    """What would be downloaded of the items, and why not the rest."""
+    items = _items(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("id"), "assets")
+    return catalog.load_plan(items, ("slc-cog", "slc"), ("slc",))
+
+
+def curve_ramp(spark, sf_dir):
+    """The inner stops of a ramp between two colours under the logarithmic curve."""
+    at = apply_steps(spark.range(1, 255).withColumnRenamed("id", "i"), [*tone.curve_steps(256), tone.blended("log_tone", (10, 200, 0, 255), (240, 20, 255, 55))])
+    return rounded(at.select("i", F.col("x").alias("offset"), "red", "green", "blue", "alpha"), offset=9)
+
+
+def grey_shader(spark, sf_dir):
+    keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return apply_steps(table(spark, sf_dir, "lineitem").select(*keys, (F.col("l_quantity") / 40.0).alias("t")), tone.shader("t")).select(*keys, F.coalesce("grey", F.lit(-1)).alias("grey"))
+
+
+def _scene_rows(spark, sf_dir):
+    """Suppliers as scenes with metadata in JSON; every ninth has no orbit states."""
+    k = F.col("s_suppkey")
+    state = lambda j: F.struct(F.array(F.lit(7e6) + k, k * 10.0 + j, F.lit(1.0) * j).alias("position"), F.array(F.lit(100.0), F.lit(7500.0), k * 1.0).alias("velocity"))
+    own = [F.lit("2024-01-02T03:04:05Z").alias("datetime"), F.lit("SLC-COG").alias("sar:product_type"), F.struct((k % 80 * 1.0).alias("lat"), (k % 170 * 1.0).alias("lon")).alias("proj:centroid"), (k % 9 * 0.5).alias("v:squint_angle"), F.when(k % 9 != 0, F.array(*(state(j) for j in range(4)))).alias("v:orbit_states"), F.lit(1).alias("unknown:key")]
+    return table(spark, sf_dir, "supplier").select(k.cast("string").alias("scene_id"), F.when(k % 13 != 0, F.to_json(F.struct(*own))).otherwise("{broken").alias("props"))
+
+
+def scene_metadata(spark, sf_dir):
+    parsed = scenes.parse_metadata(_scene_rows(spark, sf_dir), vendor="v")
+    place = F.col("center_aperture_position")
+    return parsed.select("scene_id", "datetime", "sar_product_type", F.col("proj_centroid.lat").alias("lat"), "vendor_squint_angle", F.get(place, 0).alias("px"), F.get(place, 2).alias("pz"), F.get("center_aperture_velocity", 2).alias("vz"), F.coalesce(F.col("sar_product_type") == "SLC-COG", F.lit(False)).alias("slc_cog"))
+
+
+def essential_view(spark, sf_dir):
+    return scenes.essential_json(scenes.parse_metadata(_scene_rows(spark, sf_dir), vendor="v"))
+
+
+def scene_scan(spark, sf_dir):
+    """Packed amplitude and phase lines decoded under the scale and offset of their named bands."""
+    raw = lines_from_embeddings(spark, sf_dir).select(F.col("chip").cast("string").alias("scene_id"), "r", F.transform("re", F.abs).alias("amp"), F.col("im").alias("phase"))
+    ids = raw.select("scene_id").distinct()
+    kinds = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.lit(scale).alias("scale"), F.lit(offset).alias("offset")) for name, scale, offset in (("Phase", 2.0, 0.25), ("AMPLITUDE", 0.0, 0.5), ("alpha", 9.0, 9.0)))))
+    bands = ids.select("scene_id", kinds.alias("b")).select("scene_id", "b.*")
+    decoded = rasters.decode_lines(raw, bands)
+    return rounded(unpacked(decoded, "c", ("scene_id",)), re=6, im=6)
 
 
 def bbox_ring(spark, sf_dir):
@@ -206,7 +284,7 @@ def policy_edges(spark, sf_dir):
     return catalog.falling_edges(states, "user_id", "event_id", "wanted").select("event_id", "user_id")
 
 
-QUERIES = {f.__name__: f for f in (acquisition_span, band_ranges, rows_per_band, iso_parse, fixed_range, teal_ramp, cumulative_cut, to_db, vendor_layer_filter, layer_routing, link_extract, url_resolve, id_from_href, file_name, https_only, asset_pick_slc, asset_pick_qlk, qlk_footprint_split, catalog_filter, bbox_ring, product_name_hash, metadata_view, resolve_source, jobs_from_masks, job_status, policy_edges, export_format, hit_test, band_alpha, layer_tree)}
+QUERIES = {f.__name__: f for f in (tool_policies, batch_sources, footprints, load_plan, curve_ramp, grey_shader, scene_metadata, essential_view, scene_scan, acquisition_span, band_ranges, rows_per_band, iso_parse, fixed_range, teal_ramp, cumulative_cut, to_db, vendor_layer_filter, layer_routing, link_extract, url_resolve, id_from_href, file_name, https_only, asset_pick_slc, asset_pick_qlk, qlk_footprint_split, catalog_filter, bbox_ring, product_name_hash, metadata_view, resolve_source, jobs_from_masks, job_status, policy_edges, export_format, hit_test, band_alpha, layer_tree)}
 CURVES = {"tone_log": ["log_tone"], "tone_db": ["db_tone"], "tone_sqrt": ["sqrt_tone"], "tone_asinh": ["asinh_tone"], "tone_loglog": ["loglog_tone"], "grey_ramp": ["grey"]}
 QUERIES.update({name: _tone(columns) for name, columns in CURVES.items()})
 
@@ -223,28 +301,44 @@ ORACLE_SQL = {
     "rows_per_band": f"WITH {_SPANS}\nSELECT user_id, CAST(least(floor((epoch_us(ts)-a)*4/(b-a)), 3)+1 AS INT) AS band, count(*) AS n FROM events JOIN spans USING (user_id) WHERE b > a GROUP BY 1, 2",
     "iso_parse": "SELECT event_id, epoch_us(ts) AS us FROM events WHERE event_id%5 NOT IN (2, 3)",
     "fixed_range": "SELECT o_orderkey, epoch_us(o_orderdate) AS t0, epoch_us(o_orderdate)+o_orderkey%90*1000000 AS t1 FROM orders",
-    "teal_ramp": doubles("SELECT i, " + ", ".join(f"{tone.ramp_channel('x', tone.TEAL_STOPS, k)} AS {n}" for k, n in ((1, "red"), (2, "green"), (3, "blue"))) + " FROM (SELECT i, i/255.0 AS x FROM range(256) t(i))"),
+    "teal_ramp": """WITH s AS (SELECT * FROM (VALUES (0, 0.0, 0, 0, 0, 45, 105, 103), (1, 1.0/3, 45, 105, 103, 172, 212, 205), (2, 2.0/3, 172, 212, 205, 255, 255, 255)) s(k, x0, r0, g0, b0, r1, g1, b1)),
+x AS (SELECT i, i/255.0e0 AS x FROM range(256) t(i)),
+f AS (SELECT i, s.*, (x-x0)*3e0 AS f FROM x JOIN s ON k = CASE WHEN 3*i <= 255 THEN 0 WHEN 3*i <= 510 THEN 1 ELSE 2 END)
+SELECT i, CAST(floor(r0+f*(r1-r0)+1e-9) AS INT) AS red, CAST(floor(g0+f*(g1-g0)+1e-9) AS INT) AS green, CAST(floor(b0+f*(b1-b0)+1e-9) AS INT) AS blue FROM f""",
     "cumulative_cut": "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.02), 4)+0.0 AS low, round(quantile_cont(l_extendedprice, 0.98), 4)+0.0 AS high FROM lineitem GROUP BY 1",
     "to_db": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(20*log10(l_discount+1e-12), 6)+0.0 AS db FROM lineitem",
     "vendor_layer_filter": "SELECT c_custkey, c_name FROM customer WHERE starts_with(c_name, 'AUTO') OR contains(c_mktsegment, 'AUTO') OR c_custkey%50=0",
-    "layer_routing": """WITH l AS (SELECT p_partkey, CASE WHEN p_partkey%4=0 THEN 'X_' ELSE 'SAR_' END || ['COLOR','QLK','SHORT','FOCUS','SLC','CSI','VID'][p_partkey%7+1] || '_' || p_partkey AS name, p_size%5+1 AS bands FROM part)
-SELECT p_partkey, name, CASE WHEN NOT starts_with(name, 'SAR_') THEN 'none' WHEN regexp_matches(name, 'COLOR|CSI') THEN 'none' WHEN contains(name, 'QLK') THEN 'untimed'
-  WHEN regexp_matches(name, 'VID|SHORT') THEN 'per_band' WHEN contains(name, 'FOCUS') AND bands > 2 THEN 'per_band' ELSE 'fixed' END AS route, regexp_matches(name, 'SHORT|CROP|FOCUS|COLOR') AS derived FROM l""",
+    "layer_routing": """WITH l AS (SELECT p_partkey, p_partkey%7 AS k, CASE WHEN p_partkey%4=0 THEN 'X_' ELSE 'SAR_' END || ['COLOR','QLK','SHORT','FOCUS','SLC','CSI','VID'][p_partkey%7+1] || '_' || p_partkey AS name, p_size%5+1 AS bands,
+  p_partkey%4<>0 OR p_partkey%8=0 AS vendor FROM part)
+SELECT p_partkey, name, vendor AND k NOT IN (0, 1, 5) AS styled, CASE WHEN NOT vendor OR k IN (0, 5) THEN 'none' WHEN k IN (2, 6) OR (k = 3 AND bands > 2) THEN 'per_band' ELSE 'fixed' END AS timing, k IN (0, 2, 3) AS derived FROM l""",
     "link_extract": f"WITH {_LINKS}\nSELECT page_id, href, count(*) AS n FROM links GROUP BY 1, 2",
     "url_resolve": f"""WITH {_LINKS},
 p AS (SELECT *, regexp_extract(url, '^([a-z]+:)//', 1) AS scheme, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS site, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[^/]*$', '') AS folder FROM links),
 t AS (SELECT page_id, CASE WHEN regexp_matches(href, '^[a-z]+://') THEN href WHEN starts_with(href, '//') THEN scheme || href WHEN starts_with(href, '/') THEN site || href ELSE site || CASE WHEN folder = '' THEN '/' ELSE folder END || href END AS target FROM p)
 SELECT page_id, target, count(*) AS n FROM t GROUP BY 1, 2""",
     "id_from_href": "SELECT page_id, coalesce(nullif(regexp_replace(string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1], '\\.json$', ''), ''), url) AS item FROM pages",
-    "file_name": """WITH b AS (SELECT page_id, nullif(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/')[-1], '') AS base FROM pages)
+    "file_name": """WITH b AS (SELECT page_id, nullif(list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '' AND x <> '.')[-1], '') AS base FROM pages)
 SELECT page_id, CASE WHEN base IS NULL THEN CASE WHEN page_id%2=0 THEN CAST(page_id AS VARCHAR) ELSE 'slc' END || '.tif' WHEN contains(base, '.') THEN base ELSE base || '.tif' END AS name FROM b""",
     "https_only": "SELECT page_id, url FROM pages WHERE starts_with(url, 'https://')",
     "asset_pick_slc": "SELECT p_partkey, CASE p_partkey%4 WHEN 0 THEN 'https://x/' || p_partkey || '.SLC COG' WHEN 1 THEN 'https://x/' || p_partkey || '.SLC' WHEN 2 THEN 'https://x/' || p_partkey || '.my slc file' END AS href FROM part",
     "asset_pick_qlk": "SELECT p_partkey, CASE p_partkey%4 WHEN 1 THEN 'https://x/' || p_partkey || '.QLK' WHEN 2 THEN 'https://x/' || p_partkey || '.Quicklook image' END AS href FROM part",
     "qlk_footprint_split": "SELECT CASE WHEN p_partkey%4 IN (1, 2) THEN 'quicklook' ELSE 'footprint' END AS shown_as, count(*) AS n FROM part GROUP BY 1",
-    "catalog_filter": """WITH nodes AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, r_name AS label FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation)
-SELECT id, label, contains(lower(label), '1') OR id IN (SELECT parent FROM nodes WHERE parent IS NOT NULL AND contains(lower(label), '1')) AS visible FROM nodes""",
-    "bbox_ring": "WITH b AS (SELECT c_custkey, CAST(c_custkey AS DOUBLE) AS k FROM customer WHERE c_custkey%3<>0)\nSELECT c_custkey, '[[' || k || ',' || (k+1) || '],[' || (k+2) || ',' || (k+1) || '],[' || (k+2) || ',' || (k+3) || '],[' || k || ',' || (k+3) || '],[' || k || ',' || (k+1) || ']]' AS ring FROM b",
+    "catalog_filter": """WITH RECURSIVE nodes AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, r_name AS label FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_name FROM supplier),
+up AS (SELECT id, parent FROM nodes WHERE contains(lower(label), 'r#000000003') UNION SELECT p.id, p.parent FROM up JOIN nodes p ON p.id = up.parent)
+SELECT id, label, id IN (SELECT id FROM up) AS visible FROM nodes""",
+    "tool_policies": "SELECT s_suppkey AS layer, s_suppkey%8 >= 2 AS uses_slc, s_suppkey%7<>0 AND s_suppkey%2=0 AS toggle, s_suppkey%3<>0 AND s_suppkey%7<>0 AND s_suppkey%2=0 AS normal, s_suppkey%3<>0 AND s_suppkey%5=0 AS slc FROM supplier",
+    "batch_sources": "SELECT p_partkey, p_size%2=0 AND p_size%5<>0 AND p_partkey%3=1 AS usable, 'SAR_' || p_partkey || ['_FOCUS_ab', '_SLC', '_FOCUS_x'][p_partkey%3+1] AS product FROM part",
+    "footprints": """WITH i AS (SELECT p_partkey AS k, p_partkey%11=0 AS unnamed, CASE WHEN p_partkey%5<>0 THEN 'geometry' WHEN p_partkey%10<>0 THEN 'bbox' ELSE 'rejected' END AS status FROM part)
+SELECT status, CASE status WHEN 'geometry' THEN ['Polygon', 'MultiPolygon', 'Point', 'GeometryCollection'][k%4+1] WHEN 'bbox' THEN 'Polygon' END AS kind, count(*) AS n, count(*) FILTER (unnamed) AS unnamed FROM i GROUP BY 1, 2""",
+    "load_plan": "SELECT CAST(p_partkey AS VARCHAR) AS id, CASE p_partkey%4 WHEN 0 THEN 'https://x/' || p_partkey || '.SLC COG' WHEN 1 THEN 'https://x/' || p_partkey || '.SLC' WHEN 2 THEN 'https://x/' || p_partkey || '.my slc file' END AS url, CASE p_partkey%4 WHEN 0 THEN p_partkey || '.SLC COG' WHEN 1 THEN p_partkey || '.SLC' WHEN 2 THEN p_partkey || '.my slc file' END AS file, CASE WHEN p_partkey%4=3 THEN 'no asset' END AS error FROM part",
+    "curve_ramp": "WITH t AS (SELECT i, i/255.0e0 AS x, ln(1+9*i/255.0e0)/ln(10) AS t FROM range(1, 255) r(i))\nSELECT i, round(x, 9)+0.0 AS offset, CAST(trunc(10+t*230) AS INT) AS red, CAST(trunc(200-t*180) AS INT) AS green, CAST(trunc(t*255) AS INT) AS blue, CAST(trunc(255-t*200) AS INT) AS alpha FROM t",
+    "grey_shader": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_quantity <= 40 THEN CAST(floor(255*(l_quantity/40.0e0)) AS INT) ELSE -1 END AS grey FROM lineitem",
+    "scene_metadata": """WITH s AS (SELECT s_suppkey AS k, s_suppkey%13<>0 AND s_suppkey%9<>0 AS ok FROM supplier)
+SELECT CAST(k AS VARCHAR) AS scene_id, CASE WHEN ok THEN '2024-01-02T03:04:05Z' END AS datetime, CASE WHEN ok THEN 'SLC-COG' END AS sar_product_type, CASE WHEN ok THEN k%80*1.0e0 END AS lat, CASE WHEN ok THEN k%9*0.5e0 END AS vendor_squint_angle,
+       CASE WHEN ok THEN 7e6+k END AS px, CASE WHEN ok THEN 2.0e0 END AS pz, CASE WHEN ok THEN k*1.0e0 END AS vz, ok AS slc_cog FROM s""",
+    "scene_scan": f"""WITH {PX_SQL}
+SELECT CAST(chip AS VARCHAR) AS scene_id, r, c, round((abs(re)+0.5)*exp(0.25)*cos(2*im), 6)+0.0 AS re, round(-(abs(re)+0.5)*exp(0.25)*sin(2*im), 6)+0.0 AS im FROM px""",
+    "bbox_ring": "WITH b AS (SELECT c_custkey, CAST(c_custkey AS DOUBLE) AS k FROM customer WHERE c_custkey%3<>0)\nSELECT c_custkey, '[[' || k || ',' || (k+1) || '],[' || k || ',' || (k+3) || '],[' || (k+2) || ',' || (k+3) || '],[' || (k+2) || ',' || (k+1) || '],[' || k || ',' || (k+1) || ']]' AS ring FROM b",
     "product_name_hash": "SELECT p_partkey, 'SAR_' || p_partkey || '_CROP_' || substr(sha1(p_name), 1, 8) AS product FROM part",
     "metadata_view": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, 'N/A' AS missing FROM events",
     "resolve_source": f"WITH {_SOURCES}\nSELECT batch, coalesce(layer_id, -1) AS layer_id, CASE WHEN layer_id IS NOT NULL THEN 'ok' WHEN n=0 THEN 'none' ELSE 'ambiguous' END AS status FROM src",

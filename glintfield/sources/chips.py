@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glintfield.operators.spectral import unpacked
 from glintfield.session import table
 
 LINES, SAMPLES = 64, 32
 
 
-def chips_from_embeddings(spark, sf_dir: str) -> DataFrame:
-    """64 vectors of 64 floats are one chip of 64 lines of 32 complex samples; only whole chips."""
+def lines_from_embeddings(spark, sf_dir: str) -> DataFrame:
+    """64 vectors of 64 floats are one chip of 64 lines(chip, r, re, im) of 32 complex samples; only whole chips."""
     rows = table(spark, sf_dir, "embeddings").select((F.col("vec_id") / LINES).cast("long").alias("chip"), (F.col("vec_id") % LINES).cast("int").alias("r"), F.col("embedding").cast("array<double>").alias("e"))
     whole = rows.groupBy("chip").agg(F.count(F.lit(1)).alias("n")).where(f"n = {LINES}").select("chip")
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda c: F.struct(c.alias("c"), F.get("e", 2 * c).alias("re"), F.get("e", 2 * c + 1).alias("im")))
-    return rows.join(whole, "chip", "left_semi").select("chip", "r", F.inline(pairs))
+    half = lambda k: F.filter("e", lambda x, i: i % 2 == k)
+    return rows.join(whole, "chip", "left_semi").select("chip", "r", half(0).alias("re"), half(1).alias("im"))
+
+
+def chips_from_embeddings(spark, sf_dir: str) -> DataFrame:
+    """The same chips as samples px(chip, r, c, re, im)."""
+    return unpacked(lines_from_embeddings(spark, sf_dir), "c")
 
 
 def window(px: DataFrame, r0: int, c0: int, height: int, width: int) -> DataFrame:
