@@ -218,10 +218,11 @@ def near_duplicate_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: s
     large = placed.where("blocks > 1").select("node", "comp", "blocks", "m")
     if not large.isEmpty():
         labels = labels.unionByName(_finish_large(links.where("owner >= 0"), large, texts, block_rows, width, threshold))
-    found = settled(nodes.select("node", "content").join(labels, "node", "left").select("content", F.coalesce("label", "node").alias("label")))
-    discard(nodes, stars, comps, placed, links)
+    found = nodes.select("node", "content").join(labels, "node", "left").select("content", F.coalesce("label", "node").alias("label"))
     smallest = F.coalesce(F.col("label"), F.col("id").cast("long"))
-    return seen.join(found, "content", "left").select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), smallest).alias("class_id"), F.col("n").alias("n_shingles"))
+    classes = settled(seen.join(found, "content", "left").select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), smallest).alias("class_id"), F.col("n").alias("n_shingles")))
+    discard(seen, nodes, stars, comps, placed, links)
+    return classes
 
 
 def _finish_large(links: DataFrame, large: DataFrame, texts: DataFrame, block_rows: int, width: int, threshold: float) -> DataFrame:
@@ -271,6 +272,7 @@ def keep_one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     classes = near_duplicate_classes(df, id_col=id_col, text_col=text_col, **options)
     stays = F.max((F.col(id_col).cast("long") == F.col("class_id")).cast("int"))
     ids = settled(classes.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(stays.alias("stays"), F.count(F.lit(1)).alias("times")))
+    discard(classes)
     kept, again = _without(df, ids.where("stays = 0").select(id_col), id_col, broadcast_ids), ids.where("stays = 1 AND times > 1").select(id_col)
     if again.isEmpty():
         return kept
