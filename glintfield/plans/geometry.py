@@ -77,8 +77,8 @@ def _split(final: str) -> list[str]:
 QUERIES = {name: _query(name) for name in CHAINS}
 
 # The SQL twins of the view angles are written from rotations by longitude and normal latitude, not from the chain above.
-_ECEF_SQL = "({n}+{h})*cos(radians({lat}))*cos(radians({lon})) AS {p}x, ({n}+{h})*cos(radians({lat}))*sin(radians({lon})) AS {p}y, (40408299984087.056/40680631590769.0*{n}+{h})*sin(radians({lat})) AS {p}z"
-_N_SQL = "6378137.0/sqrt(1-(1-40408299984087.056/40680631590769.0)*sin(radians({lat}))*sin(radians({lat})))"
+_ECEF_SQL = "({n}+{h})*cos(radians({lat}))*cos(radians({lon})) AS {p}x, ({n}+{h})*cos(radians({lat}))*sin(radians({lon})) AS {p}y, (6356752.314245*6356752.314245/40680631590769.0*{n}+{h})*sin(radians({lat})) AS {p}z"
+_N_SQL = "6378137.0/sqrt(1-(1-6356752.314245*6356752.314245/40680631590769.0)*sin(radians({lat}))*sin(radians({lat})))"
 
 
 def _view_sql(source: str) -> str:
@@ -96,8 +96,8 @@ m AS (SELECT *, CAST(sign(ku) AS DOUBLE) AS sense, sqrt(ke*ke+kn*kn+ku*ku) AS kk
 w AS (SELECT *, asin(lu/l) AS graze, acos(abs(ku)/kk) AS slope, asin(sense*(le*kn-ln*ke)/sqrt((le*le+ln*ln)*(ke*ke+kn*kn))) AS layover FROM m),
 t AS (SELECT *, -acos(least(1, cos(slope)/cos(graze)))*sign(layover) AS tilt FROM w)
 SELECT key, lat, lon, h, sense, vel_x, vel_y, vel_z, graze, slope, layover, tilt,
-       CASE WHEN le < 0 THEN atan2(le, ln)+2*pi() ELSE atan2(le, ln) END AS azimuth,
-       CASE WHEN le > 0 THEN atan2(-le, ln)+2*pi() ELSE atan2(-le, ln) END AS north,
+       CASE WHEN atan2(le, ln) < -1e-12 THEN atan2(le, ln)+2*pi() ELSE greatest(atan2(le, ln), 0) END AS azimuth,
+       CASE WHEN atan2(-le, ln) < -1e-12 THEN atan2(-le, ln)+2*pi() ELSE greatest(atan2(-le, ln), 0) END AS north,
        atan2(ve_e*be_n-ve_n*be_e, ve_e*be_e+ve_n*be_n) AS squint,
        -sense*acos(-(le*ve+ln*vn+lu*vu)/(l*v)) AS dca,
        -sense*acos(greatest(-1, least(1, -(le*ve+ln*vn)/sqrt((le*le+ln*ln)*(ve*ve+vn*vn))))) AS track,
