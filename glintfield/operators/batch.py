@@ -33,3 +33,24 @@ def job_status(jobs: DataFrame, layers: DataFrame, step: str) -> DataFrame:
     known = jobs.join(layers.select("layer_id", "valid", "has_metadata"), "layer_id", "left")
     status = F.when(F.col("valid").isNull() | ~F.col("valid"), "skip").when(~F.col("has_metadata"), no_metadata).otherwise("task")
     return known.withColumn("status", status).drop("valid", "has_metadata")
+
+
+def stopped_behind_aborts(jobs: DataFrame) -> DataFrame:
+    """jobs(batch, seq, status): a batch ends at its first job that aborts, and every later job is `not run`."""
+    ends = jobs.where("status = 'abort'").groupBy("batch").agg(F.min("seq").alias("end"))
+    return jobs.join(ends, "batch", "left").withColumn("status", F.when(F.col("seq") > F.col("end"), "not run").otherwise(F.col("status"))).drop("end")
+
+
+def frame_manifest(layers: DataFrame, factor: float = 1.0, video_fps: int = 3) -> DataFrame:
+    """layers(layer, bands, width, height, fps) as a row a frame: one frame a band, in the order of the bands.
+
+    Frames are scaled by `factor` and cut to whole pixels. An animation waits delay_cs hundredths of a second on each (250 ms
+    where fps is null or not above 0); a video shows `video_fps` frames a second, of even width and height.
+    """
+    wait = F.when(F.col("fps") > 0, 1000 / F.col("fps")).otherwise(F.lit(250.0))
+    sized = layers.select(
+        "layer", F.explode(F.when(F.col("bands") >= 1, F.sequence(F.lit(1), F.col("bands").cast("int")))).alias("band"), F.floor(wait / 10).cast("int").alias("delay_cs"),
+        *(F.floor(F.col(side) * F.lit(float(factor))).cast("int").alias(side) for side in ("width", "height")),
+    )
+    even = [(F.col(side) - F.col(side) % 2).alias(f"video_{side}") for side in ("width", "height")]
+    return sized.select("*", *even, ((F.col("band") - 1) / F.lit(video_fps)).alias("video_second"))

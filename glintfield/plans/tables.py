@@ -245,6 +245,20 @@ def job_status(spark, sf_dir):
     return steps[0].unionByName(steps[1]).unionByName(steps[2]).groupBy("step", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def job_sequence(spark, sf_dir):
+    """The focus jobs of each batch in their order, which end at the first without metadata."""
+    jobs = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 17).alias("batch"), F.col("c_custkey").alias("seq"), (F.col("c_custkey") * 7 % 150).alias("layer_id"))
+    layers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("layer_id"), (F.col("s_suppkey") % 6 != 0).alias("valid"), (F.col("s_suppkey") % 4 != 0).alias("has_metadata"))
+    return batch.stopped_behind_aborts(batch.job_status(jobs, layers, "focus")).select("batch", "seq", "status")
+
+
+def frame_manifest(spark, sf_dir):
+    """Frames of every layer for animations and videos at half size; every sixth layer names no rate."""
+    key = F.col("p_partkey")
+    layers = table(spark, sf_dir, "part").select(key.alias("layer"), (F.col("p_size") % 5).alias("bands"), (key % 900 + 101).alias("width"), (key % 700 + 64).alias("height"), (key % 6).alias("fps"))
+    return rounded(batch.frame_manifest(layers, factor=0.5), video_second=6)
+
+
 def export_format(spark, sf_dir):
     """The writer of a path by its ending, which must be lower case."""
     kinds = F.array(*map(F.lit, [".png", ".tif", ".tiff", ".gif", ".mp4", ".TIF", ".doc"]))
@@ -284,7 +298,7 @@ def policy_edges(spark, sf_dir):
     return catalog.falling_edges(states, "user_id", "event_id", "wanted").select("event_id", "user_id")
 
 
-QUERIES = {f.__name__: f for f in (tool_policies, batch_sources, footprints, load_plan, curve_ramp, grey_shader, scene_metadata, essential_view, scene_scan, acquisition_span, band_ranges, rows_per_band, iso_parse, fixed_range, teal_ramp, cumulative_cut, to_db, vendor_layer_filter, layer_routing, link_extract, url_resolve, id_from_href, file_name, https_only, asset_pick_slc, asset_pick_qlk, qlk_footprint_split, catalog_filter, bbox_ring, product_name_hash, metadata_view, resolve_source, jobs_from_masks, job_status, policy_edges, export_format, hit_test, band_alpha, layer_tree)}
+QUERIES = {f.__name__: f for f in (tool_policies, batch_sources, footprints, load_plan, curve_ramp, grey_shader, scene_metadata, essential_view, scene_scan, acquisition_span, band_ranges, rows_per_band, iso_parse, fixed_range, teal_ramp, cumulative_cut, to_db, vendor_layer_filter, layer_routing, link_extract, url_resolve, id_from_href, file_name, https_only, asset_pick_slc, asset_pick_qlk, qlk_footprint_split, catalog_filter, bbox_ring, product_name_hash, metadata_view, resolve_source, jobs_from_masks, job_status, job_sequence, frame_manifest, policy_edges, export_format, hit_test, band_alpha, layer_tree)}
 CURVES = {"tone_log": ["log_tone"], "tone_db": ["db_tone"], "tone_sqrt": ["sqrt_tone"], "tone_asinh": ["asinh_tone"], "tone_loglog": ["loglog_tone"], "grey_ramp": ["grey"]}
 QUERIES.update({name: _tone(columns) for name, columns in CURVES.items()})
 
@@ -346,6 +360,12 @@ SELECT CAST(chip AS VARCHAR) AS scene_id, r, c, round((abs(re)+0.5)*exp(0.25)*co
     "job_status": """WITH j AS (SELECT c_custkey%150 AS layer_id FROM customer), l AS (SELECT s_suppkey AS layer_id, s_suppkey%6<>0 AS valid, s_suppkey%4<>0 AS meta FROM supplier)
 SELECT step, CASE WHEN valid IS NULL OR NOT valid THEN 'skip' WHEN NOT meta THEN nometa ELSE 'task' END AS status, count(*) AS n
 FROM j LEFT JOIN l USING (layer_id) CROSS JOIN (VALUES ('focus', 'abort'), ('video', 'skip'), ('crop', 'task')) s(step, nometa) GROUP BY 1, 2""",
+    "job_sequence": """WITH j AS (SELECT c_custkey%17 AS batch, c_custkey AS seq, s_suppkey IS NULL OR s_suppkey%6=0 AS gone, s_suppkey%4=0 AS bare FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey*7%150),
+d AS (SELECT *, count(*) FILTER (NOT gone AND bare) OVER (PARTITION BY batch ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stops FROM j)
+SELECT batch, seq, CASE WHEN stops > 0 THEN 'not run' WHEN gone THEN 'skip' WHEN bare THEN 'abort' ELSE 'task' END AS status FROM d""",
+    "frame_manifest": """WITH l AS (SELECT p_partkey AS layer, p_size%5 AS bands, p_partkey%6 AS fps, (p_partkey%900+101)//2 AS w, (p_partkey%700+64)//2 AS h FROM part)
+SELECT layer, CAST(b.b AS INT) AS band, CAST(CASE fps WHEN 0 THEN 25 ELSE 100//fps END AS INT) AS delay_cs, CAST(w AS INT) AS width, CAST(h AS INT) AS height, CAST(w//2*2 AS INT) AS video_width, CAST(h//2*2 AS INT) AS video_height, round((b.b-1)/3.0e0, 6)+0.0 AS video_second
+FROM l JOIN range(1, 5) b(b) ON b.b <= bands""",
     "export_format": "SELECT p_partkey, ['png', 'copy', 'copy', 'gif', 'video', 'none', 'none'][p_partkey%7+1] AS writer FROM part",
     "hit_test": """WITH i AS (SELECT s_suppkey AS item, s_suppkey*37%1000 AS x, s_suppkey*91%800 AS y FROM supplier), c AS (SELECT c_custkey AS click, c_custkey*53%1000 AS cx, c_custkey*29%800 AS cy FROM customer)
 SELECT click, min(item) AS item FROM c JOIN i ON (x-cx)*(x-cx)+(y-cy)*(y-cy) <= 2500 GROUP BY 1""",
