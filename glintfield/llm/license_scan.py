@@ -17,9 +17,9 @@ matches of one template in one document count once, the best first.
 A template under WIDTH words is one shorter shingle and matches only word by word: its places are the
 words that are some short template's first, and the words behind must be the template's.
 
-Broadcast are tables of the templates, of which `max_templates` is checked, and the ids of the
-documents with candidates while they are at most `broadcast_rows`; beyond that they meet their texts in
-a shuffle join. A document's candidate places travel with it in one row, in proportion to its own words.
+Broadcast are tables of the templates, of which `max_templates` is checked, and the bare ids of the
+documents with candidates while they are at most `broadcast_rows`, to sift the texts. Texts meet their
+candidate places in a shuffle join: a document's places travel in one row, in proportion to its own words.
 
 Defined cases: null and empty texts have no match; texts under WIDTH words can only hold templates under
 WIDTH words, and templates without words match nothing; rows that repeat an id are one document each with equal matches, given once; an empty table gives an empty
@@ -80,8 +80,10 @@ def find_licenses(df: DataFrame, known: DataFrame, *, id_col: str = "doc_id", te
 
     # Exact containment, in the documents that have candidates.
     asked = settled(places.groupBy("key").agg(F.collect_set(F.struct("template_id", "begin")).alias("asked")))
-    few = F.broadcast(asked) if asked.count() <= broadcast_rows else asked
-    whole = df.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(few, "key")
+    whole = df.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
+    if asked.count() <= broadcast_rows:
+        whole = whole.join(F.broadcast(asked.select("key")), "key", "left_semi")  # only their texts are shuffled
+    whole = whole.join(asked.hint("merge"), "key")
     near = whole.select("key", word_hashes(F.col("text")).alias("words"), "asked").select("key", "words", F.explode("asked").alias("a")).select("key", "words", "a.*").join(F.broadcast(pieces.withColumnRenamed("key", "template_id")), "template_id")
     slack = F.ceil(F.col("length") * 0.2).cast("int")
     first = F.greatest(F.col("begin") - slack, F.lit(0))
