@@ -8,6 +8,7 @@ from glintfield.llm.common import WORD_GAP, documents, id_residue, settled, text
 from glintfield.llm.language_id import fit_languages, identify_languages
 from glintfield.llm.media_columns import store_as_media
 from glintfield.llm.license_scan import find_licenses, templates
+from glintfield.llm.merkle_manifest import merkle_manifest
 from glintfield.llm.near_dedup import near_duplicate_classes
 from glintfield.llm.packing import pack
 from glintfield.llm.quality_score import fit_quality, score_quality
@@ -90,6 +91,15 @@ def op10_license_scan(spark, sf_dir):
     return find_licenses(documents(spark, sf_dir), templates(spark))
 
 
+#: What the contract's tampering does to a text.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op11_merkle_manifest(spark, sf_dir):
+    tampered = F.when(id_residue(F.col("doc_id"), 3) == 0, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
+    return merkle_manifest(documents(spark, sf_dir), found={"text": tampered})
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
@@ -101,6 +111,7 @@ QUERIES = {
     "op8_media_columns": op8_media_columns,
     "op9_near_dedup": op9_near_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE_SQL = {
