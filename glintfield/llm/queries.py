@@ -11,6 +11,7 @@ from glintfield.llm.license_scan import find_licenses, templates
 from glintfield.llm.merkle_manifest import merkle_manifest
 from glintfield.llm.near_dedup import near_duplicate_classes
 from glintfield.llm.packing import pack
+from glintfield.llm.prefix_trie import conversation_turns, prefix_trie
 from glintfield.llm.quality_score import fit_quality, score_quality
 from glintfield.llm.source_mixing import domain_posteriors, fit_domains, mix_to_targets
 from glintfield.llm.substring_dedup import remove_repeated_passages
@@ -100,6 +101,20 @@ def op11_merkle_manifest(spark, sf_dir):
     return merkle_manifest(documents(spark, sf_dir), found={"text": tampered})
 
 
+def rebuilt(convs):
+    """The contract's conversations: the first h turns of the one whose id is the next lower multiple of 20, then the own ones after h."""
+    h = id_residue(F.col("conv_id"), 4).cast("int")
+    heads = convs.where("conv_id % 20 = 0").select(F.col("conv_id").alias("base"), F.slice("turns", 1, 3).alias("head"))
+    led = convs.join(heads, F.expr("conv_id - conv_id % 20") == F.col("base"), "left")
+    begun = F.slice(F.coalesce("head", F.slice("turns", 1, 0)), F.lit(1), h)
+    return led.select("conv_id", F.concat(begun, F.slice("turns", h + 1, F.greatest(F.size("turns") - h, F.lit(0)))).alias("turns"))
+
+
+def op13_prefix_trie(spark, sf_dir):
+    turns = settled(conversation_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return prefix_trie(rebuilt(turns))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
@@ -112,6 +127,7 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_license_scan": op10_license_scan,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL = {
