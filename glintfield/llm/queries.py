@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glintfield.llm.common import WORD_GAP, documents, id_residue, settled, text_batches
+from glintfield.llm.disclosure import KINDS, find_personal_data
 from glintfield.llm.language_id import fit_languages, identify_languages
 from glintfield.llm.media_columns import store_as_media
 from glintfield.llm.license_scan import find_licenses, templates
@@ -101,6 +102,15 @@ def op11_merkle_manifest(spark, sf_dir):
     return merkle_manifest(documents(spark, sf_dir), found={"text": tampered})
 
 
+def op12_pii(spark, sf_dir):
+    found = find_personal_data(documents(spark, sf_dir))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(kind).alias(f"n_{kind}") for kind in KINDS]
+    place = lambda kind, s: F.concat_ws(":", kind, s["start"], s["end"])
+    base, terms = F.transform("spans", lambda s: place(s["kind"], s)), F.transform("terms", lambda t: place(F.lit("term"), t))
+    return found.select("doc_id", *counts, F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.concat(base, terms), ",").alias("spans"))
+
+
 def rebuilt(convs):
     """The contract's conversations: the first h turns of the one whose id is the next lower multiple of 20, then the own ones after h."""
     h = id_residue(F.col("conv_id"), 4).cast("int")
@@ -127,6 +137,7 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_license_scan": op10_license_scan,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_pii": op12_pii,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
