@@ -76,25 +76,38 @@ def entity(kind: Column, value: Column) -> Column:
     return F.concat(kind, F.lit(":"), plain)
 
 
-def running_sums(lengths: Column, block: int = 128) -> Column:
-    """The sums of all elements before each, in blocks, so that long arrays take a time of n * block."""
-    blocks = F.sequence(F.lit(0), F.ceil(F.size(lengths) / block).cast("int") - 1)
-    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
-    of_block = lambda b: F.slice(lengths, b * block + 1, F.lit(block))
-    totals = F.transform(blocks, lambda b: total(of_block(b)))
-    inside = lambda b: F.transform(of_block(b), lambda _, i: total(F.slice(of_block(b), F.lit(1), i)) + total(F.slice(totals, F.lit(1), b)))
-    return F.when(F.size(lengths) > 0, F.flatten(F.transform(blocks, inside))).otherwise(F.array().cast("array<int>"))
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once even where body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+
+def running_sums(lengths: Column, block: int = 64) -> Column:
+    """The sums of all elements before each: inside blocks and of the blocks before, for arrays of any length."""
+    part = lambda all_of, b: F.slice(all_of, b * block + 1, F.lit(block))
+    before = lambda numbers: F.transform(numbers, lambda _, i: _total(F.slice(numbers, F.lit(1), i)))
+
+    def sums(all_of: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.ceil(F.size(all_of) / block).cast("int") - 1)
+        totals = F.transform(blocks, lambda b: _total(part(all_of, b)))
+        inside = lambda ahead: F.transform(ahead, lambda start, b: let(part(all_of, b), lambda own: F.transform(before(own), lambda x: x + start)))
+        return F.flatten(let(let(totals, before), inside))
+
+    return let(lengths, lambda all_of: F.when(F.size(all_of) > 0, sums(all_of)).otherwise(F.array().cast("array<int>")))
 
 
 def located(found: Column, pieces: Column) -> Column:
     """Matches as structs (start, end, value, before, after) in code points; pieces: the text split at them."""
     starts = running_sums(F.transform(found, lambda x, i: F.char_length(x) + F.char_length(F.get(pieces, i))))
 
-    def span(x: Column, i: Column) -> Column:
+    def span(x: Column, i: Column, starts: Column) -> Column:
         start = F.get(starts, i) + F.char_length(F.get(pieces, i))
         return F.struct(start.alias("start"), (start + F.char_length(x)).alias("end"), x.alias("value"), F.right(F.get(pieces, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(pieces, i + 1), F.lit(CONTEXT)).alias("after"))
 
-    return F.transform(found, span)
+    return let(starts, lambda s: F.transform(found, lambda x, i: span(x, i, s)))
 
 
 LOCATED = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
