@@ -242,4 +242,4 @@ def merkle_manifest(df: DataFrame, *, id_col: str = "doc_id", tree_col: str = "l
     for name in ("leaf", "subroot", "root", "proof_sha256", "folded_root"):
         schema = schema.add(name, "string")
     schema = schema.add("verified", "boolean")
-    return descend(lower[0], above, of_rows, schema.add("proof", "array<string>") if proofs else schema)
+    return descend(lower[0], above, of_rows, schema.add("proof", T.ArrayType(T.StringType())) if proofs else schema)

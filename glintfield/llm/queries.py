@@ -15,6 +15,7 @@ from glintfield.llm.packing import pack
 from glintfield.llm.prefix_trie import conversation_turns, prefix_trie
 from glintfield.llm.quality_score import fit_quality, score_quality
 from glintfield.llm.source_mixing import domain_posteriors, fit_domains, mix_to_targets
+from glintfield.llm.sql_twins import PREFIX_TRIE_SQL, merkle_sql
 from glintfield.llm.substring_dedup import remove_repeated_passages
 from glintfield.llm.topk_search import exact_top_k, integer_vector
 from glintfield.llm.url_filters import Rule, filter_urls
@@ -112,10 +113,10 @@ def op12_pii(spark, sf_dir):
 
 
 def rebuilt(convs):
-    """The contract's conversations: the first h turns of the one whose id is the next lower multiple of 20, then the own ones after h."""
+    """The contract's conversations: the first h turns of the one whose id is the multiple of 20 at or below, then the own ones after h."""
     h = id_residue(F.col("conv_id"), 4).cast("int")
     heads = convs.where("conv_id % 20 = 0").select(F.col("conv_id").alias("base"), F.slice("turns", 1, 3).alias("head"))
-    led = convs.join(heads, F.expr("conv_id - conv_id % 20") == F.col("base"), "left")
+    led = convs.join(heads, F.expr("conv_id - pmod(conv_id, 20)") == F.col("base"), "left")
     begun = F.slice(F.coalesce("head", F.slice("turns", 1, 0)), F.lit(1), h)
     return led.select("conv_id", F.concat(begun, F.slice("turns", h + 1, F.greatest(F.size("turns") - h, F.lit(0)))).alias("turns"))
 
@@ -142,6 +143,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op11_merkle_manifest": merkle_sql(),
+    "op13_prefix_trie": PREFIX_TRIE_SQL,
     "op1_substring_dedup": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 pos AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
