@@ -4,11 +4,17 @@ A softmax classifier, fitted on a bounded sample of a labelled table (about `sam
 domain, a piece of at most `piece_chars` of each), gives every whole document its domain
 posteriors p. Rates r >= 0 then minimise half the squared distance between the expected domain token
 shares, sum over documents of r * tokens * p / all tokens, and the target shares, by
-projected gradient steps (with momentum) from r = 1. A step needs only the shares' residual, one
-number a domain; Spark sums it over all documents in each round. A document's rate follows from its
-last settled state and the residuals since; every `settle_rounds` rounds the states are settled again.
-Rounds end when the shares are within `tolerance` of the targets, or when their distance has not shrunk
-by the share `still` in `settle_rounds` rounds (targets out of reach). Neither within `most_rounds` is an error.
+projected gradient steps (with momentum, begun anew where the distance grows) from r = 1. A step needs only
+the shares' residual, one number a domain; Spark sums it over all documents in each round. A document's rate
+follows from its last settled state and the residuals since; every `settle_rounds` rounds the states are settled again.
+
+Residuals are weighed by the inverse of the documents' K x K second moments of p, so domains that p hardly tells
+apart take few rounds; where the targets are in reach the answer is the same. They are out of reach if a
+direction v has v.p <= 0 for all documents but v.target > 0; from each round's residual Spark finds the largest
+v.p, and with it a lower bound on the distance that any rates leave. Once that bound is above `tolerance`, the rounds go on
+unweighted, until the distance is within `still` of the bound or no longer shrinks by that share in `settle_rounds` rounds.
+`gap` is the largest difference of a share from its target in the end, `converged` whether it is within
+`tolerance`; only targets that are proven out of reach come without it, everything else within `most_rounds` is an error.
 
 Features of a text: how often it uses the `vocabulary` words that tell the sample's domains apart
 best, and shares of word shapes (upper case, digits, symbols, repeated words).
@@ -154,11 +160,11 @@ def domain_posteriors(df: DataFrame, model: DomainModel, *, text_col: str = "tex
     return rest.select(F.struct("*").alias("row"), member(F.col(text_col)).alias("m")).select("row.*", F.col("m.n").alias("n_tokens"), F.col("m.p").alias("posteriors"))
 
 
-def follow(p: np.ndarray, rounds: list[tuple[float, np.ndarray]], pace: float, rate: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after the rounds, and those of the round before. rounds: (momentum, residual at the point ahead)."""
-    for momentum, residual in rounds:
+def follow(p: np.ndarray, rounds: list[tuple[float, np.ndarray]], rate: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rates after the rounds, and those of the round before. rounds: (momentum, step for a posterior at the point ahead)."""
+    for momentum, step in rounds:
         ahead = rate + momentum * (rate - before)
-        before, rate = rate, np.maximum(0.0, ahead - pace * (p @ residual))
+        before, rate = rate, np.maximum(0.0, ahead - p @ step)
     return rate, before
 
 
@@ -166,9 +172,19 @@ def _matrix(posteriors: pa.Array, k: int) -> np.ndarray:
     return np.asarray(posteriors.flatten(), float).reshape(-1, k)
 
 
+def lower_bound(direction: np.ndarray, most: float, goal: np.ndarray) -> float:
+    """The distance from goal that no rates can get under, if direction.p is at most `most` for all documents.
+
+    Posteriors sum to 1, so direction - most has a product of 0 or less with each of them.
+    """
+    tilted = direction - max(most, 0.0)
+    size = np.linalg.norm(tilted)
+    return float(tilted @ goal / size) if size > 0 else 0.0
+
+
 def mix_to_targets(members: DataFrame, domains: list[str], targets: dict[str, float], *, id_col: str = "doc_id", tolerance: float = 1e-4, still: float = 0.02, settle_rounds: int = 16, most_rounds: int = 400) -> DataFrame:
-    """members (id_col, n_tokens, posteriors, ...) with rate and copies."""
-    rest = members.drop("rate", "copies")
+    """members (id_col, n_tokens, posteriors, ...) with rate, copies, gap and converged."""
+    rest = members.drop("rate", "copies", "gap", "converged")
     k = len(domains)
     goal = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
     goal = goal / goal.sum() if goal.sum() > 0 else np.full(k, 1 / k)
@@ -176,56 +192,82 @@ def mix_to_targets(members: DataFrame, domains: list[str], targets: dict[str, fl
     pairs = [F.sum(F.col("n_tokens") * F.col("posteriors")[i] * F.col("posteriors")[j]) for i in range(k) for j in range(k)]
     total, *gram = states.agg(F.sum("n_tokens"), *pairs).first()
     rounds: list[tuple[float, np.ndarray]] = []
-    pace, done = 1.0, not total or k == 1
+    gap, recent, begun, bound, last = 0.0, 0, 0, 0.0, np.inf
+    directions, plain = np.zeros((2, k)), []
+    done = not total or k == 1
     if not done:
-        pace = 1 / np.linalg.norm(np.array(gram, float).reshape(k, k) / total, 2)
-    recent = 0
+        second = np.array(gram, float).reshape(k, k) / total
+        weighed, unweighed = np.linalg.inv(second + 1e-9 * np.trace(second) / k * np.eye(k)), np.eye(k) / np.linalg.norm(second, 2)
     while not done:
         if len(rounds) == most_rounds:
-            raise RuntimeError(f"token shares still move after {most_rounds} rounds")
-        momentum = len(rounds) / (len(rounds) + 3)
-        residual = _expected(states, rounds[recent:], momentum, pace, k) / total - goal
-        rounds.append((momentum, residual))
-        away = [float(np.linalg.norm(x)) for _, x in rounds]
-        halted = len(away) > settle_rounds and min(away[-settle_rounds:]) > (1 - still) * min(away[:-settle_rounds])
-        done = np.abs(residual).max() < tolerance or halted
+            raise RuntimeError(f"token shares are {gap:.2g} off their targets after {most_rounds} rounds")
+        momentum = (len(rounds) - begun) / (len(rounds) - begun + 3)
+        shares, most = _expected(states, rounds[recent:], momentum, directions)
+        residual = shares / total - goal
+        if len(rounds):
+            bound = max([bound, *(lower_bound(d, m, goal) for d, m in zip(directions, most))])
+        metric = unweighed if bound > tolerance else weighed
+        gap, away = float(np.abs(residual).max()), float(np.linalg.norm(residual))
+        directions = np.stack([-residual / max(away, 1e-300), -weighed @ residual])
+        rounds.append((momentum, metric @ residual))
+        distance = float(residual @ metric @ residual)
+        if bound > tolerance:
+            plain.append(away)
+        if distance > last or len(plain) == 1:
+            begun = len(rounds)
+        last = distance if len(plain) != 1 else np.inf
+        near = gap < tolerance / 2
+        halted = bool(plain) and (away <= (1 + still) * bound + tolerance or len(plain) > settle_rounds and min(plain[-settle_rounds:]) > (1 - still) * min(plain[:-settle_rounds]))
+        if near or halted:
+            # The rates themselves, not the point ahead.
+            gap = float(np.abs(_expected(states, rounds[recent:], 0.0, directions)[0] / total - goal).max())
+            done = halted or gap < tolerance
         if len(rounds) - recent == settle_rounds and not done:
-            last, states = states, _settle(states, rounds[recent:], pace, k)
-            discard(last)
+            old, states = states, _settle(states, rounds[recent:])
+            discard(old)
             recent = len(rounds)
     discard(states)
 
     @F.arrow_udf("double")
     def final_rate(posteriors: pa.Array) -> pa.Array:
         ones = np.ones(len(posteriors))
-        return pa.array(follow(_matrix(posteriors, k), rounds, pace, ones, ones)[0])
+        return pa.array(follow(_matrix(posteriors, k), rounds, ones, ones)[0])
 
     rated = rest.withColumn("rate", final_rate("posteriors"))
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
-    return rated.withColumn("copies", (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
+    copies = (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
+    return rated.withColumns({"copies": copies, "gap": F.lit(gap), "converged": F.lit(gap < tolerance)})
 
 
-def _settle(states: DataFrame, rounds: list, pace: float, k: int) -> DataFrame:
+def _settle(states: DataFrame, rounds: list) -> DataFrame:
     """The states after the rounds."""
 
     @F.arrow_udf("struct<rate: double, before: double>")
     def moved(posteriors: pa.Array, rate: pa.Array, before: pa.Array) -> pa.Array:
-        now, then = follow(_matrix(posteriors, k), rounds, pace, *(np.asarray(x, float) for x in (rate, before)))
+        p = _matrix(posteriors, len(rounds[0][1]))
+        now, then = follow(p, rounds, *(np.asarray(x, float) for x in (rate, before)))
         return pa.StructArray.from_arrays([pa.array(now), pa.array(then)], ["rate", "before"])
 
     return settled(states.select("n_tokens", "posteriors", moved("posteriors", "rate", "before").alias("m")).select("n_tokens", "posteriors", "m.*"))
 
 
-def _expected(states: DataFrame, rounds: list, momentum: float, pace: float, k: int) -> np.ndarray:
-    """Expected tokens of each domain at the point ahead: partial sums a batch, summed by Spark."""
+def _expected(states: DataFrame, rounds: list, momentum: float, directions: np.ndarray) -> tuple[np.ndarray, list[float]]:
+    """Expected tokens of each domain at the point ahead, and each direction's largest product with a posterior.
+
+    Partial sums and maxima a batch, combined by Spark.
+    """
+    k = directions.shape[1]
 
     def partial(batches):
         for batch in batches:
             n, rate, before = (np.asarray(batch.column(i), float) for i in (0, 2, 3))
             p = _matrix(batch.column(1), k)
-            rate, before = follow(p, rounds, pace, rate, before)
+            rate, before = follow(p, rounds, rate, before)
             sums = (n * (rate + momentum * (rate - before))) @ p
-            yield pa.record_batch([pa.array([x]) for x in sums], names=[f"s{i}" for i in range(k)])
+            most = (p[n > 0] @ directions.T).max(0, initial=-1e300)
+            yield pa.record_batch([pa.array([x]) for x in (*sums, *most)], names=names)
 
-    sums = states.mapInArrow(partial, ", ".join(f"s{i} double" for i in range(k)))
-    return np.array([x or 0.0 for x in sums.agg(*(F.sum(f"s{i}") for i in range(k))).first()])
+    names = [f"s{i}" for i in range(k)] + [f"m{i}" for i in range(len(directions))]
+    found = states.mapInArrow(partial, ", ".join(f"{x} double" for x in names))
+    row = found.agg(*(F.sum(f"s{i}") for i in range(k)), *(F.max(f"m{i}") for i in range(len(directions)))).first()
+    return np.array([x or 0.0 for x in row[:k]]), [x if x is not None else 0.0 for x in row[k:]]

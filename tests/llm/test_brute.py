@@ -114,6 +114,30 @@ def test_mixing_reaches_the_least_squares(spark, goal, slack):
     assert (np.abs(mixed.copies - mixed.rate) < 1).all()
 
 
+@pytest.mark.parametrize("spread", [0.01, 0.02, 0.03, 0.05])
+@pytest.mark.parametrize("kept", [0.5, 0.75, 0.85])
+def test_mixing_meets_reachable_targets_of_posteriors_that_are_alike(spark, spread, kept):
+    """The targets are the shares of the documents with the largest second posterior, so they are in reach."""
+    rng = np.random.default_rng(int(100 * spread + 10 * kept))
+    p = np.abs([0.9, 0.06, 0.04] + rng.normal(0, spread, (1000, 3)))
+    p /= p.sum(1, keepdims=True)
+    n = rng.integers(1, 500, 1000)
+    some = n * (p[:, 1] > np.quantile(p[:, 1], kept))
+    goal = some @ p / some.sum()
+    mixed = mix_to_targets(members(spark, p, n), list("abc"), dict(zip("abc", goal.tolist()))).toPandas().sort_values("doc_id")
+    share = (n * mixed.rate.to_numpy()) @ p / n.sum()
+    assert mixed.converged.all() and np.abs(share - goal).max() < 1e-4 and np.abs(share - goal).max() == pytest.approx(mixed.gap.iloc[0], abs=1e-9)
+    assert (mixed.rate >= 0).all()
+
+
+def test_mixing_says_what_is_out_of_reach(spark):
+    p = RNG.dirichlet([1.0, 0.6, 0.4], 200) * 0.9 + 0.1 / 3
+    n = RNG.integers(1, 300, 200)
+    mixed = mix_to_targets(members(spark, p, n), list("abc"), {"b": 1.0}).toPandas()
+    share = (n * mixed.sort_values("doc_id").rate.to_numpy()) @ p / n.sum()
+    assert not mixed.converged.any() and mixed.gap.iloc[0] == pytest.approx(np.abs(share - [0, 1, 0]).max(), abs=1e-9)
+
+
 def test_mixing_that_does_not_settle_is_an_error(spark):
     p = RNG.dirichlet([1.0, 1.0], 50)
     with pytest.raises(RuntimeError):
