@@ -82,3 +82,18 @@ def pixel_extents(extents: DataFrame, gcps: DataFrame) -> DataFrame:
     corners = F.explode(F.array(*(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")) for x in ("xmin", "xmax") for y in ("ymin", "ymax"))))
     placed = along_spline(extents.select("scene_id", corners.alias("q")).select("scene_id", "q.*"), fit_splines(gcps, to_map=False), "x", "y", "c", "r")
     return placed.groupBy("scene_id").agg(F.min("c").alias("xmin"), F.min("r").alias("ymin"), F.max("c").alias("xmax"), F.max("r").alias("ymax"))
+
+
+def extent_windows(extents: DataFrame, gcps: DataFrame, sizes: DataFrame) -> DataFrame:
+    """extents(scene_id, window, xmin, ymin, xmax, ymax) on the map as half-open pixel windows (scene_id, window, r0, r1, c0, c1).
+
+    The box around the four placed corners, its start and its size cut to whole pixels. A box that leaves the scene
+    (sizes(scene_id, width, height)), is empty or lies in a scene without control points gives no row.
+    """
+    corners = F.explode(F.array(*(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")) for x in ("xmin", "xmax") for y in ("ymin", "ymax"))))
+    placed = along_spline(extents.select("scene_id", "window", corners.alias("q")).select("scene_id", "window", "q.*"), fit_splines(gcps, to_map=False), "x", "y", "c", "r")
+    box = placed.groupBy("scene_id", "window").agg(*(f(k).alias(f"{n}{k}") for k in "rc" for n, f in (("low_", F.min), ("high_", F.max))))
+    start = {k: F.col(f"low_{k}").cast("int") for k in "rc"}
+    long = {k: (F.col(f"high_{k}") - F.col(f"low_{k}")).cast("int") for k in "rc"}
+    cut = box.select("scene_id", "window", *(c for k in "rc" for c in (start[k].alias(f"{k}0"), (start[k] + long[k]).alias(f"{k}1"))))
+    return cut.join(sizes.select("scene_id", "width", "height"), "scene_id").where("r0 >= 0 AND c0 >= 0 AND r0 < r1 AND c0 < c1 AND r1 <= height AND c1 <= width").drop("width", "height")

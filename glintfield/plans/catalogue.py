@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from glintfield.plans import focus, geometry, spectra, tables
+from glintfield.plans import focus, geometry, rasters, spectra, tables
 
-QUERIES: dict = {**geometry.QUERIES, **spectra.QUERIES, **focus.QUERIES, **tables.QUERIES}
-ORACLE_SQL: dict[str, str] = {**geometry.ORACLE_SQL, **spectra.ORACLE_SQL, **focus.ORACLE_SQL, **tables.ORACLE_SQL}
+QUERIES: dict = {**geometry.QUERIES, **spectra.QUERIES, **focus.QUERIES, **tables.QUERIES, **rasters.QUERIES}
+ORACLE_SQL: dict[str, str] = {**geometry.ORACLE_SQL, **spectra.ORACLE_SQL, **focus.ORACLE_SQL, **tables.ORACLE_SQL, **rasters.ORACLE_SQL}
 FLAGSHIP = "color_fast_time"
