@@ -28,5 +28,20 @@ def band_ranges(spans: DataFrame, key: str, bands: int) -> DataFrame:
     return long.select(key, (F.col("k") + 1).alias("band"), edge(F.col("k")).alias("t0"), edge(F.col("k") + 1).alias("t1"))
 
 
+def layer_ranges(layers: DataFrame, key: str) -> DataFrame:
+    """layers(key, start_us, end_us, bands, last_is_alpha) as (key, band, t0, t1 in microseconds).
+
+    Two bands or more share the span in equal parts, an alpha band at the end has none; a span that does not last gives no
+    rows. Fewer than two bands have the whole span as band 0, whatever its length. A null start or end gives no rows.
+    """
+    known = layers.where("start_us IS NOT NULL AND end_us IS NOT NULL")
+    whole = known.where("bands < 2 OR bands IS NULL").select(key, F.lit(0).alias("band"), F.col("start_us").alias("t0"), F.col("end_us").alias("t1"))
+    n = F.col("bands") - F.col("last_is_alpha").cast("int")
+    long = known.where("bands >= 2 AND end_us > start_us").withColumn("n", n)
+    each = long.select(key, "start_us", ((F.col("end_us") - F.col("start_us")) / F.col("n")).alias("part"), F.explode(F.expr("sequence(0, n - 1)")).alias("_k"))
+    edge = lambda k: F.floor(F.col("start_us") + F.col("part") * k).cast("long")
+    return whole.unionByName(each.select(key, (F.col("_k") + 1).cast("int").alias("band"), edge(F.col("_k")).alias("t0"), edge(F.col("_k") + 1).alias("t1")))
+
+
 def band_of(t_us: Column, start_us: Column, end_us: Column, bands: int) -> Column:
     return (F.least(F.floor((t_us - start_us) * bands / (end_us - start_us)), F.lit(bands - 1)) + 1).cast("int")

@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 
 def resolve_source(selection: DataFrame) -> DataFrame:
-    """selection(batch, layer_id, eligible, active): one row a batch with the source to use, or the error.
+    """selection(batch, layer_id, raster, eligible, active, selected): one row a batch with the source to use, or the error.
 
-    The active layer if it is eligible, else the only eligible one; several rasters without an active one are an error.
+    raster: a valid raster, derived ones too; eligible: one that can be the source; active: the batch's active layer, selected or
+    not. More than one selected raster is an error, whatever is active. Else the active layer is the source
+    if it is eligible, and if not the only eligible selected one.
     """
     sums = selection.groupBy("batch").agg(
-        F.count_if("eligible").alias("n"),
+        F.count_if(F.col("raster") & F.col("selected")).alias("rasters"),
         F.max(F.when(F.col("eligible") & F.col("active"), F.col("layer_id"))).alias("current"),
-        F.max(F.when(F.col("eligible"), F.col("layer_id"))).alias("only"),
+        F.count_if(F.col("eligible") & F.col("selected")).alias("n"),
+        F.max(F.when(F.col("eligible") & F.col("selected"), F.col("layer_id"))).alias("only"),
     )
-    source = F.coalesce("current", F.when(F.col("n") == 1, F.col("only")))
-    return sums.select("batch", source.alias("layer_id"), F.when(source.isNotNull(), "ok").when(F.col("n") == 0, "none").otherwise("ambiguous").alias("status"))
+    source = F.when(F.col("rasters") <= 1, F.coalesce("current", F.when(F.col("n") == 1, F.col("only"))))
+    return sums.select("batch", source.alias("layer_id"), F.when(F.col("rasters") > 1, "several").when(source.isNotNull(), "ok").otherwise("none").alias("status"))
 
 
 def jobs_from_masks(masks: DataFrame, sources: DataFrame) -> DataFrame:

@@ -37,9 +37,9 @@ def profile_metrics(profile: DataFrame, spacing: float | Column, keys: Keys = ("
     )
     none = F.lit(float("-inf"))
     hpbw = F.when(F.col("n_half") < 2, 0.0).otherwise(F.col("span") * F.col("step"))
-    pslr = F.when(F.col("side") > 0, 10 * F.log10(F.col("side") / (F.col("peak_v") * F.col("peak_v")))).otherwise(none)
+    pslr = F.when(F.col("side") > 0, 10 * F.log10(F.try_divide(F.col("side"), F.col("peak_v") * F.col("peak_v")))).otherwise(none)
     rest = F.col("total") - F.col("main")
-    islr = F.when(F.col("side") > 0, 10 * F.log10(rest / F.col("main"))).otherwise(none)
+    islr = F.when(F.col("side") > 0, 10 * F.log10(F.try_divide(rest, F.col("main")))).otherwise(none)
     return sums.select(*keys, "peak", "mainlobe", hpbw.alias("hpbw"), pslr.alias("pslr"), islr.alias("islr"))
 
 

@@ -37,6 +37,29 @@ def power_window(spark, sf_dir):
     return af.power_window(af.renumber_rows(_px(spark, sf_dir)))
 
 
+def _bordered(spark, sf_dir):
+    """The chips with every third one empty, as at a scene's border."""
+    gone = F.col("chip") % 3 == 1
+    return _px(spark, sf_dir).withColumns({p: F.when(gone, 0.0).otherwise(F.col(p)) for p in ("re", "im")})
+
+
+def no_data_entropy(spark, sf_dir):
+    return rounded(af.entropy(_bordered(spark, sf_dir)), entropy=7)
+
+
+def no_data_window(spark, sf_dir):
+    return af.power_window(af.renumber_rows(_bordered(spark, sf_dir)), threshold=-1.0, least=10)
+
+
+def no_data_gradient(spark, sf_dir):
+    return rounded(af.phase_gradient(_bordered(spark, sf_dir)), g=7)
+
+
+def no_data_focus(spark, sf_dir):
+    """The amplitudes of the focused chips, the empty ones among them unchanged."""
+    return rounded(af.best_look(_bordered(spark, sf_dir), LINES, SAMPLES).select("chip", "r", "c", F.hypot("re", "im").alias("v")), v=6)
+
+
 def power_window_narrow(spark, sf_dir):
     return af.power_window(af.renumber_rows(_px(spark, sf_dir)), threshold=-1.0, least=10)
 
@@ -190,17 +213,31 @@ def chip_clamp(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(key.alias("id"), chip.alias("w")).where("w IS NOT NULL").select("id", "w.*")
 
 
-QUERIES = {f.__name__: f for f in (entropy, strong_lines, target_centering, power_window, power_window_narrow, pga_rounds, lens_focus_u8, irf_profiles, irf_text, phase_gradient, cumsum_unwrap, linear_detrend, phase_interp, phase_rms, pga_phase, focus_best_look, focus_bands, first_peak, clip_mean_sigma, irf_profile_metrics, irf_full, orient_left, orient_right, write_orientation, display_orient, crop, crop_of_crop, zero_pad, overviews, slc_decode, chip_decode, grow_extent, chip_clamp)}
+QUERIES = {f.__name__: f for f in (entropy, no_data_entropy, no_data_window, no_data_gradient, no_data_focus, strong_lines, target_centering, power_window, power_window_narrow, pga_rounds, lens_focus_u8, irf_profiles, irf_text, phase_gradient, cumsum_unwrap, linear_detrend, phase_interp, phase_rms, pga_phase, focus_best_look, focus_bands, first_peak, clip_mean_sigma, irf_profile_metrics, irf_full, orient_left, orient_right, write_orientation, display_orient, crop, crop_of_crop, zero_pad, overviews, slc_decode, chip_decode, grow_extent, chip_clamp)}
 
 _WALK = "walk AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id)-1 AS i, (value - 6.25*floor(value/6.25)) - 3.0 AS phase FROM events)"
 _RAW = "raw AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS amp, l_discount*30 AS phase, CASE WHEN l_linenumber%3=0 THEN 1.0 ELSE l_linenumber%3*0.5 END AS scale, l_tax AS shift FROM lineitem)"
 _P = "(re*re+im*im)"
 
+_BORDERED = PX_SQL.replace("px AS", "filled AS", 1) + ",\npx AS (SELECT chip, r, c, CASE WHEN chip%3=1 THEN 0 ELSE re END AS re, CASE WHEN chip%3=1 THEN 0 ELSE im END AS im FROM filled)"
+
 ORACLE_SQL = {
+    "no_data_entropy": f"WITH {_BORDERED},\nt AS (SELECT chip, sum({_P}) AS t FROM px GROUP BY 1)\nSELECT chip, round(coalesce(-sum(CASE WHEN {_P} > 0 THEN {_P}/t*ln({_P}/t) END), 0), 7)+0.0 AS entropy FROM px JOIN t USING (chip) GROUP BY chip",
+    "no_data_window": f"""WITH {_BORDERED},
+col AS (SELECT chip, c, sum({_P}) AS p FROM px GROUP BY 1, 2), n AS (SELECT chip, count(DISTINCT r) AS h FROM px GROUP BY 1), top AS (SELECT chip, max(p) AS top FROM col GROUP BY 1),
+w AS (SELECT chip, h, CAST(least(greatest(count(*) FILTER (top > 0 AND p > 0 AND 10*log10(p/nullif(top, 0)) > -1), 10), h-1) AS INT) AS w FROM col JOIN top USING (chip) JOIN n USING (chip) GROUP BY 1, 2)
+SELECT chip, w, CAST((h-1)//2-CAST(ceil(w/2.0) AS INT) AS INT) AS c0, CAST((h-1)//2+w//2 AS INT) AS c1 FROM w""",
+    "no_data_gradient": f"""WITH {_BORDERED},
+s AS (SELECT chip, r, re, im, lead(re) OVER d AS re1, lead(im) OVER d AS im1 FROM px WINDOW d AS (PARTITION BY chip, c ORDER BY r)),
+q AS (SELECT chip, CAST(r AS INT) AS i, re*re1+im*im1 AS a, re*im1-im*re1 AS b FROM s WHERE re1 IS NOT NULL)
+SELECT chip, i, round(coalesce(sum(atan2(b, a)*sqrt(a*a+b*b))/nullif(sum(sqrt(a*a+b*b)), 0), 0), 7)+0.0 AS g FROM q GROUP BY 1, 2""",
     "entropy": f"WITH {PX_SQL},\nw AS (SELECT chip, {_P}/sum({_P}) OVER (PARTITION BY chip) AS p FROM px)\nSELECT chip, round(-sum(p*ln(p)), 7)+0.0 AS entropy FROM w WHERE p > 0 GROUP BY chip",
     "strong_lines": f"WITH {PX_SQL},\nk AS (SELECT chip, r, max(sqrt({_P})) AS peak FROM px GROUP BY 1, 2),\nb AS (SELECT chip, quantile_cont(peak, 0.95) AS bound FROM k GROUP BY 1)\nSELECT px.chip, px.r, px.c, round(re, 6)+0.0 AS re, round(im, 6)+0.0 AS im FROM px JOIN k USING (chip, r) JOIN b USING (chip) WHERE peak >= bound",
     "target_centering": f"WITH {PX_SQL},\nt AS (SELECT *, first_value(c) OVER (PARTITION BY chip, r ORDER BY {_P} DESC, c) AS top FROM px)\nSELECT chip, r, CAST((c+16-top+32) % 32 AS INT) AS c, re, im FROM t",
-    "power_window": f"WITH {PX_SQL}\nSELECT DISTINCT chip, CAST(50 AS INT) AS w, CAST(31-25 AS INT) AS c0, CAST(31+25 AS INT) AS c1 FROM px",  # 32 columns are fewer than 50
+    "power_window": f"""WITH {PX_SQL},
+col AS (SELECT chip, c, sum({_P}) AS p FROM px GROUP BY 1, 2), n AS (SELECT chip, count(DISTINCT r) AS h FROM px GROUP BY 1), top AS (SELECT chip, max(p) AS top FROM col GROUP BY 1),
+w AS (SELECT chip, h, CAST(least(greatest(count(*) FILTER (10*log10(p/top) > -20), 50), h-1) AS INT) AS w FROM col JOIN top USING (chip) JOIN n USING (chip) GROUP BY 1, 2)
+SELECT chip, w, CAST((h-1)//2-CAST(ceil(w/2.0) AS INT) AS INT) AS c0, CAST((h-1)//2+w//2 AS INT) AS c1 FROM w""",
     "pga_phase": f"""WITH {PX_SQL},
 k AS (SELECT chip, r, max(sqrt({_P})) AS peak FROM px GROUP BY 1, 2),
 b AS (SELECT chip, quantile_cont(peak, 0.95) AS bound FROM k GROUP BY 1),

@@ -115,5 +115,5 @@ ORACLE_SQL = {name: _twin(name) for name in CHAINS}
 ORACLE_SQL["side_and_node"] = "SELECT c_custkey AS key, ['right', 'unknown', 'left'][c_custkey%3+1] AS look_side, ['descending', 'descending', 'unknown', 'ascending', 'ascending'][c_custkey%5+1] AS orbital_node FROM customer"
 ORACLE_SQL["sane_inputs"] = "SELECT c_custkey AS key, sqrt(pow(c_custkey%3*60.0, 2)+pow(c_custkey%5*30.0, 2)) > 100 AS sane FROM customer"
 ORACLE_SQL["wheel_steps"] = "WITH d AS (SELECT c_custkey AS key, c_custkey*60%2100-1020 AS d FROM customer)\nSELECT key, CAST(CASE WHEN d=0 THEN 0 ELSE sign(d)*greatest(abs(round_even(d/120.0, 0)), 1) END AS INT) AS steps FROM d"
-ORACLE_SQL["angle_range"] = "SELECT c_custkey AS key, true AS in_range FROM customer"
+ORACLE_SQL["angle_range"] = "SELECT key, " + " AND ".join(f"abs(deg_{a}) <= 360" for a in g.ANGLES if a != "felev") + f" AS in_range FROM ({ORACLE_SQL['view_geometry_degrees']})"
 ORACLE_SQL["imaging_time"] = "SELECT c_custkey AS key, round((c_custkey%90+1)/(c_custkey%900+100)*(c_custkey%7+1.5e0), 9)+0.0 AS seconds FROM customer"

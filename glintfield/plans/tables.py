@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from glintfield.functions import timespan, tone
 from glintfield.functions.steps import apply_steps, doubles, steps_sql
 from glintfield.operators import batch, catalog
+from glintfield.operators.folds import quantiles
 from glintfield.operators.spectral import unpacked
 from glintfield.plans.spectra import rounded
 from glintfield.session import table
@@ -46,20 +47,28 @@ def fixed_range(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", timespan.micros(F.col("o_orderdate")).alias("t0"), (timespan.micros(F.col("o_orderdate")) + F.col("o_orderkey") % 90 * 1_000_000).alias("t1"))
 
 
+ITEM = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+def _samples(spark, sf_dir):
+    """Line items as samples of 256 levels."""
+    return table(spark, sf_dir, "lineitem").select(*ITEM, F.pmod(F.floor("l_extendedprice"), F.lit(256)).cast("long").alias("i"))
+
+
 def _tone(columns):
     def run(spark, sf_dir):
-        return rounded(apply_steps(spark.range(256).withColumnRenamed("id", "i"), tone.curve_steps(256)).select("i", *columns), **{c: 8 for c in columns if c != "grey"})
+        return rounded(apply_steps(_samples(spark, sf_dir), tone.curve_steps(256)).select(*ITEM, "i", *columns), **{c: 8 for c in columns if c != "grey"})
 
     return run
 
 
 def teal_ramp(spark, sf_dir):
-    at = spark.range(256).selectExpr("id AS i", doubles("id/255.0 AS x"))
-    return at.select("i", *(F.expr(doubles(tone.ramp_channel("x", tone.TEAL_STOPS, k))).alias(name) for k, name in ((1, "red"), (2, "green"), (3, "blue"))))
+    at = _samples(spark, sf_dir).selectExpr(*ITEM, "i", doubles("i/255.0 AS x"))
+    return at.select(*ITEM, "i", *(F.expr(doubles(tone.ramp_channel("x", tone.TEAL_STOPS, k))).alias(name) for k, name in ((1, "red"), (2, "green"), (3, "blue"))))
 
 
 def cumulative_cut(spark, sf_dir):
-    return rounded(table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_extendedprice", F.lit(0.02)).alias("low"), F.percentile("l_extendedprice", F.lit(0.98)).alias("high")), low=4, high=4)
+    return rounded(quantiles(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", {"low": 0.02, "high": 0.98}), low=4, high=4)
 
 
 def to_db(spark, sf_dir):
@@ -171,9 +180,9 @@ def load_plan(spark, sf_dir):
 
 
 def curve_ramp(spark, sf_dir):
-    """The inner stops of a ramp between two colours under the logarithmic curve."""
-    at = apply_steps(spark.range(1, 255).withColumnRenamed("id", "i"), [*tone.curve_steps(256), tone.blended("log_tone", (10, 200, 0, 255), (240, 20, 255, 55))])
-    return rounded(at.select("i", F.col("x").alias("offset"), "red", "green", "blue", "alpha"), offset=9)
+    """Samples at the inner stops of a ramp between two colours under the logarithmic curve."""
+    at = apply_steps(_samples(spark, sf_dir).where("i BETWEEN 1 AND 254"), [*tone.curve_steps(256), tone.blended("log_tone", (10, 200, 0, 255), (240, 20, 255, 55))])
+    return rounded(at.select(*ITEM, "i", F.col("x").alias("offset"), "red", "green", "blue", "alpha"), offset=9)
 
 
 def grey_shader(spark, sf_dir):
@@ -226,7 +235,10 @@ def metadata_view(spark, sf_dir):
 
 
 def _selection(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 17).alias("batch"), F.col("s_suppkey").alias("layer_id"), (F.col("s_suppkey") % 5 == 0).alias("eligible"), (F.col("s_suppkey") % 10 == 0).alias("active"))
+    """Layers of each batch's panel: rasters (one kind of them derived) and masks; an active layer need not be selected."""
+    key = F.col("s_suppkey")
+    kept = table(spark, sf_dir, "supplier").where((key % 5 == 0) | (key % 34 == 1) | (key % 3 == 0))
+    return kept.select((key % 17).alias("batch"), key.alias("layer_id"), ((key % 5 == 0) | (key % 34 == 1)).alias("raster"), (key % 5 == 0).alias("eligible"), (key % 10 == 0).alias("active"), (key % 20 != 0).alias("selected"))
 
 
 def resolve_source(spark, sf_dir):
@@ -304,10 +316,12 @@ QUERIES.update({name: _tone(columns) for name, columns in CURVES.items()})
 
 _SPANS = "spans AS (SELECT user_id, epoch_us(min(ts)) AS a, epoch_us(max(ts)) AS b FROM events GROUP BY 1)"
 _LINKS = "links AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages)"
-_SELECTION = "sel AS (SELECT s_suppkey%17 AS batch, s_suppkey AS layer_id, s_suppkey%5=0 AS eligible, s_suppkey%10=0 AS active FROM supplier)"
+_SELECTION = "sel AS (SELECT s_suppkey%17 AS batch, s_suppkey AS layer_id, s_suppkey%5=0 AS eligible, s_suppkey%5=0 OR s_suppkey%34=1 AS raster, s_suppkey%10=0 AS active, s_suppkey%20<>0 AS selected FROM supplier WHERE s_suppkey%5=0 OR s_suppkey%34=1 OR s_suppkey%3=0)"
 _SOURCES = f"""{_SELECTION},
-sums AS (SELECT batch, count(*) FILTER (eligible) AS n, max(layer_id) FILTER (eligible AND active) AS cur, max(layer_id) FILTER (eligible) AS one FROM sel GROUP BY 1),
-src AS (SELECT batch, coalesce(cur, CASE WHEN n=1 THEN one END) AS layer_id, n FROM sums)"""
+sums AS (SELECT batch, count(*) FILTER (raster AND selected) AS rasters, count(*) FILTER (eligible AND selected) AS n, max(layer_id) FILTER (eligible AND active) AS cur, max(layer_id) FILTER (eligible AND selected) AS one FROM sel GROUP BY 1),
+src AS (SELECT batch, CASE WHEN rasters <= 1 THEN coalesce(cur, CASE WHEN n=1 THEN one END) END AS layer_id, rasters FROM sums)"""
+
+_SAMPLES = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(l_extendedprice) AS BIGINT)%256 AS i FROM lineitem"
 
 ORACLE_SQL = {
     "acquisition_span": f"WITH {_SPANS}\nSELECT user_id, round((b-a)/1e6, 6)+0.0 AS seconds FROM spans",
@@ -316,9 +330,9 @@ ORACLE_SQL = {
     "iso_parse": "SELECT event_id, epoch_us(ts) AS us FROM events WHERE event_id%5 NOT IN (2, 3)",
     "fixed_range": "SELECT o_orderkey, epoch_us(o_orderdate) AS t0, epoch_us(o_orderdate)+o_orderkey%90*1000000 AS t1 FROM orders",
     "teal_ramp": """WITH s AS (SELECT * FROM (VALUES (0, 0.0, 0, 0, 0, 45, 105, 103), (1, 1.0/3, 45, 105, 103, 172, 212, 205), (2, 2.0/3, 172, 212, 205, 255, 255, 255)) s(k, x0, r0, g0, b0, r1, g1, b1)),
-x AS (SELECT i, i/255.0e0 AS x FROM range(256) t(i)),
-f AS (SELECT i, s.*, (x-x0)*3e0 AS f FROM x JOIN s ON k = CASE WHEN 3*i <= 255 THEN 0 WHEN 3*i <= 510 THEN 1 ELSE 2 END)
-SELECT i, CAST(floor(r0+f*(r1-r0)+1e-9) AS INT) AS red, CAST(floor(g0+f*(g1-g0)+1e-9) AS INT) AS green, CAST(floor(b0+f*(b1-b0)+1e-9) AS INT) AS blue FROM f""",
+l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(l_extendedprice) AS BIGINT)%256 AS i FROM lineitem),
+f AS (SELECT l.*, s.*, (i/255.0e0-x0)*3e0 AS f FROM l JOIN s ON k = CASE WHEN 3*i <= 255 THEN 0 WHEN 3*i <= 510 THEN 1 ELSE 2 END)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, i, CAST(floor(r0+f*(r1-r0)+1e-9) AS INT) AS red, CAST(floor(g0+f*(g1-g0)+1e-9) AS INT) AS green, CAST(floor(b0+f*(b1-b0)+1e-9) AS INT) AS blue FROM f""",
     "cumulative_cut": "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.02), 4)+0.0 AS low, round(quantile_cont(l_extendedprice, 0.98), 4)+0.0 AS high FROM lineitem GROUP BY 1",
     "to_db": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(20*log10(l_discount+1e-12), 6)+0.0 AS db FROM lineitem",
     "vendor_layer_filter": "SELECT c_custkey, c_name FROM customer WHERE starts_with(c_name, 'AUTO') OR contains(c_mktsegment, 'AUTO') OR c_custkey%50=0",
@@ -345,7 +359,7 @@ SELECT id, label, id IN (SELECT id FROM up) AS visible FROM nodes""",
     "footprints": """WITH i AS (SELECT p_partkey AS k, p_partkey%11=0 AS unnamed, CASE WHEN p_partkey%5<>0 THEN 'geometry' WHEN p_partkey%10<>0 THEN 'bbox' ELSE 'rejected' END AS status FROM part)
 SELECT status, CASE status WHEN 'geometry' THEN ['Polygon', 'MultiPolygon', 'Point', 'GeometryCollection'][k%4+1] WHEN 'bbox' THEN 'Polygon' END AS kind, count(*) AS n, count(*) FILTER (unnamed) AS unnamed FROM i GROUP BY 1, 2""",
     "load_plan": "SELECT CAST(p_partkey AS VARCHAR) AS id, CASE p_partkey%4 WHEN 0 THEN 'https://x/' || p_partkey || '.SLC COG' WHEN 1 THEN 'https://x/' || p_partkey || '.SLC' WHEN 2 THEN 'https://x/' || p_partkey || '.my slc file' END AS url, CASE p_partkey%4 WHEN 0 THEN p_partkey || '.SLC COG' WHEN 1 THEN p_partkey || '.SLC' WHEN 2 THEN p_partkey || '.my slc file' END AS file, CASE WHEN p_partkey%4=3 THEN 'no asset' END AS error FROM part",
-    "curve_ramp": "WITH t AS (SELECT i, i/255.0e0 AS x, ln(1+9*i/255.0e0)/ln(10) AS t FROM range(1, 255) r(i))\nSELECT i, round(x, 9)+0.0 AS offset, CAST(trunc(10+t*230) AS INT) AS red, CAST(trunc(200-t*180) AS INT) AS green, CAST(trunc(t*255) AS INT) AS blue, CAST(trunc(255-t*200) AS INT) AS alpha FROM t",
+    "curve_ramp": "WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(l_extendedprice) AS BIGINT)%256 AS i FROM lineitem), t AS (SELECT *, i/255.0e0 AS x, ln(1+9*i/255.0e0)/ln(10) AS t FROM l WHERE i BETWEEN 1 AND 254)\nSELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, i, round(x, 9)+0.0 AS offset, CAST(trunc(10+t*230) AS INT) AS red, CAST(trunc(200-t*180) AS INT) AS green, CAST(trunc(t*255) AS INT) AS blue, CAST(trunc(255-t*200) AS INT) AS alpha FROM t",
     "grey_shader": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_quantity <= 40 THEN CAST(floor(255*(l_quantity/40.0e0)) AS INT) ELSE -1 END AS grey FROM lineitem",
     "scene_metadata": """WITH s AS (SELECT s_suppkey AS k, s_suppkey%13<>0 AND s_suppkey%9<>0 AS ok FROM supplier)
 SELECT CAST(k AS VARCHAR) AS scene_id, CASE WHEN ok THEN '2024-01-02T03:04:05Z' END AS datetime, CASE WHEN ok THEN 'SLC-COG' END AS sar_product_type, CASE WHEN ok THEN k%80*1.0e0 END AS lat, CASE WHEN ok THEN k%9*0.5e0 END AS vendor_squint_angle,
@@ -355,7 +369,7 @@ SELECT CAST(chip AS VARCHAR) AS scene_id, r, c, round((abs(re)+0.5)*exp(0.25)*co
     "bbox_ring": "WITH b AS (SELECT c_custkey, CAST(c_custkey AS DOUBLE) AS k FROM customer WHERE c_custkey%3<>0)\nSELECT c_custkey, '[[' || k || ',' || (k+1) || '],[' || k || ',' || (k+3) || '],[' || (k+2) || ',' || (k+3) || '],[' || (k+2) || ',' || (k+1) || '],[' || k || ',' || (k+1) || ']]' AS ring FROM b",
     "product_name_hash": "SELECT p_partkey, 'SAR_' || p_partkey || '_CROP_' || substr(sha1(p_name), 1, 8) AS product FROM part",
     "metadata_view": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, 'N/A' AS missing FROM events",
-    "resolve_source": f"WITH {_SOURCES}\nSELECT batch, coalesce(layer_id, -1) AS layer_id, CASE WHEN layer_id IS NOT NULL THEN 'ok' WHEN n=0 THEN 'none' ELSE 'ambiguous' END AS status FROM src",
+    "resolve_source": f"WITH {_SOURCES}\nSELECT batch, coalesce(layer_id, -1) AS layer_id, CASE WHEN rasters > 1 THEN 'several' WHEN layer_id IS NOT NULL THEN 'ok' ELSE 'none' END AS status FROM src",
     "jobs_from_masks": f"WITH {_SOURCES}\nSELECT c_custkey AS mask_id, batch, layer_id, CAST(row_number() OVER (PARTITION BY batch ORDER BY c_custkey) AS INT) AS seq FROM customer JOIN src ON c_custkey%17 = batch WHERE layer_id IS NOT NULL",
     "job_status": """WITH j AS (SELECT c_custkey%150 AS layer_id FROM customer), l AS (SELECT s_suppkey AS layer_id, s_suppkey%6<>0 AS valid, s_suppkey%4<>0 AS meta FROM supplier)
 SELECT step, CASE WHEN valid IS NULL OR NOT valid THEN 'skip' WHEN NOT meta THEN nometa ELSE 'task' END AS status, count(*) AS n
@@ -372,5 +386,5 @@ SELECT click, min(item) AS item FROM c JOIN i ON (x-cx)*(x-cx)+(y-cy)*(y-cy) <=
     "band_alpha": "SELECT layer, coalesce(min(band) FILTER (alpha), 0) AS alpha_band, count(*) FILTER (NOT alpha) AS n_bands FROM (SELECT l_suppkey AS layer, l_linenumber AS band, max(l_tax) > 0.075 AS alpha FROM lineitem GROUP BY 1, 2) GROUP BY 1",
     "layer_tree": "SELECT s_suppkey AS layer, lpad(CAST(n_regionkey AS VARCHAR), 4, '0') || '/' || lpad(CAST(n_nationkey AS VARCHAR), 4, '0') || '/' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS path FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "policy_edges": "SELECT event_id, user_id FROM events QUALIFY lag(value > 50) OVER (PARTITION BY user_id ORDER BY event_id) AND NOT value > 50",
-    **{name: steps_sql("SELECT i FROM range(256) t(i)", tone.curve_steps(256), "i, " + ", ".join(c if c == "grey" else f"round({c}, 8)+0.0 AS {c}" for c in columns)) for name, columns in CURVES.items()},
+    **{name: steps_sql(_SAMPLES, tone.curve_steps(256), "l_orderkey, l_linenumber, l_partkey, l_suppkey, i, " + ", ".join(c if c == "grey" else f"round({c}, 8)+0.0 AS {c}" for c in columns)) for name, columns in CURVES.items()},
 }
