@@ -52,7 +52,9 @@ def fit_languages(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sample, counts = hashed_sample(rows, "lang", "id", sample_rows, max_languages)
     pieces: dict[str, list[str]] = {lang: [] for lang in sorted(counts)}
-    drawn = sample.select("lang", hashed_piece(F.col("text"), F.col("id"), piece_chars).alias("piece"), F.xxhash64("id").alias("h"))
+    each = sample.select("id", "lang", hashed_piece(F.col("text"), F.col("id"), piece_chars).alias("piece"))
+    # An id that repeats is drawn once, so the sample stays bounded.
+    drawn = each.groupBy("id", "lang").agg(F.min("piece").alias("piece")).select("lang", "piece", F.xxhash64("id").alias("h"))
     for r in sorted(drawn.collect(), key=lambda r: (r.h, r.piece)):
         pieces[r.lang].append(letters_of(r.piece))
     contents = {lang: dictionary_content([p for p in found if p], dictionary_bytes) for lang, found in pieces.items()}

@@ -12,7 +12,8 @@ probability of about 1/4, so 24 bands find it with 99.9 %, and each shingle has
 window that lies within the template agrees in all bands. Each candidate names the word where the
 template would begin; the template's shingles found from there (with a slack of a fifth of its
 length on both sides) are counted exactly, and a share of at least `containment` is a match. Overlapping
-matches of one template in one document count once, the best first.
+matches of one template in one document count once, the best first. Of the matches that begin at one word
+only the longest stay, so that a tag is not also found as the shorter tag that it begins with.
 
 A template under WIDTH words is one shorter shingle and matches only word by word: its places are the
 words that are some short template's first, and the words behind must be the template's.
@@ -101,7 +102,9 @@ def find_licenses(df: DataFrame, known: DataFrame, *, id_col: str = "doc_id", te
     runs = scored.withColumn("run", F.sum(apart.cast("int")).over(order))
     best = runs.groupBy("key", "template_id", "run").agg(F.max_by(F.struct("begin", "end", "both", "shingles", "share"), F.struct("share", -F.col("end"), "begin")).alias("m"))
     long = best.select(F.col("key").alias(id_col), "template_id", F.col("m.begin").alias("start_word"), F.col("m.end").alias("end_word"), F.col("m.both").alias("matched"), F.col("m.shingles").alias("shingles"), F.col("m.share").alias("containment"))
-    return long.unionByName(_short_matches(texts, hashed.where(F.size("words").between(1, WIDTH - 1)), id_col))
+    found = long.unionByName(_short_matches(texts, hashed.where(F.size("words").between(1, WIDTH - 1)), id_col))
+    furthest = F.max("end_word").over(Window.partitionBy(id_col, "start_word"))
+    return found.withColumn("_furthest", furthest).where("end_word = _furthest").drop("_furthest")
 
 
 def _short_matches(texts: DataFrame, short: DataFrame, id_col: str) -> DataFrame:

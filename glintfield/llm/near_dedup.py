@@ -1,14 +1,14 @@
 """Near-duplicate classes: ProbMinHash signatures, banding, exact verification.
 
-A document is the set of its five-word shingles (each of weight 1, however often it occurs; a text
-of fewer words is one shingle). Each shingle's points arrive as a Poisson process of that weight,
-every point at a random register; a register keeps its first arrival's shingle. A shingle stops
+A document is its five-word shingles (a text of fewer words is one shingle), each of weight 1, or with
+weighted=True of the number of times that it occurs. Each shingle's points arrive as a Poisson process
+of its weight, every point at a random register; a register keeps its first arrival's shingle. A shingle stops
 as soon as its next arrival is later than all registers. Two signatures agree at a register with
-the probability Jaccard of the sets, which for equal weights is the Jaccard that is verified.
+the probability Jaccard of the weights, the measure that is verified: for equal weights it is the Jaccard of the sets.
 
 Contents that share one of `bands` bands of `rows` registers are candidates (30 bands of 5: a
-pair at 0.8 is missed with a probability below 1e-5). A pair is linked when the exact Jaccard of
-its shingle sets is at least `threshold`; classes are the components of the links.
+pair at 0.8 is missed with a probability below 1e-5). A pair is linked when that measure, worked out
+exactly, is at least `threshold`; classes are the components of the links.
 
 No pairs become rows. Equal word sequences are one content. Candidate components come from the
 stars around each band's smallest member; they are dealt into blocks of at most
@@ -18,7 +18,7 @@ them, and then everything outside its largest class meets every block, so that n
 a common band stays unverified unless it is already in one class.
 
 Defined cases: null texts and texts without words are alone; a null id is alone, with a null class;
-rows that repeat an id are one document; an empty table gives an empty result; columns that clash
+rows that repeat an id are one document, compared by the smallest of its texts that have candidates; an empty table gives an empty result; columns that clash
 with the output's are dropped.
 """
 
@@ -57,7 +57,33 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(_shingle_pool([(text or "").encode().split()], width)[1])
 
 
-def signatures(token_lists: list[list[bytes]], registers: int, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+Weights = tuple[np.ndarray, np.ndarray]
+
+
+def weighted_shingles(text: str | None, width: int = 5) -> Weights:
+    """The sorted distinct shingle hashes and how often each occurs."""
+    hashes, counts = np.unique(_shingle_pool([(text or "").encode().split()], width)[1], return_counts=True)
+    return hashes, counts.astype(float)
+
+
+def probability_jaccard(a: Weights, b: Weights) -> float:
+    """Sum over common shingles i of 1 / sum over all j of max(x_j / x_i, y_j / y_i).
+
+    Which of the two is larger depends on whether y_j / x_j is beyond y_i / x_i, so sums along that ratio give all of them.
+    """
+    every = np.union1d(a[0], b[0])
+    x, y = np.zeros(len(every)), np.zeros(len(every))
+    x[np.searchsorted(every, a[0])], y[np.searchsorted(every, b[0])] = a[1], b[1]
+    ratio = np.divide(y, x, out=np.full(len(x), np.inf), where=x > 0)
+    order = np.argsort(ratio, kind="stable")
+    ratio, x, y = ratio[order], x[order], y[order]
+    upto, beyond = np.append(0, np.cumsum(x)), y.sum() - np.append(0, np.cumsum(y))
+    both = (x > 0) & (y > 0)
+    last = np.searchsorted(ratio, ratio[both], side="right")
+    return float((1 / (upto[last] / x[both] + beyond[last] / y[both])).sum())
+
+
+def signatures(token_lists: list[list[bytes]], registers: int, width: int = 5, weighted: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """ProbMinHash signatures (a row a document) and distinct shingle counts."""
     n = len(token_lists)
     doc, pool = _shingle_pool(token_lists, width)
@@ -65,6 +91,7 @@ def signatures(token_lists: list[list[bytes]], registers: int, width: int = 5) -
     doc, pool = doc[order], pool[order]
     first = np.ones(len(pool), bool)
     first[1:] = (doc[1:] != doc[:-1]) | (pool[1:] != pool[:-1])
+    weight = np.diff(np.flatnonzero(first), append=len(first)).astype(float) if weighted else np.ones(int(first.sum()))
     doc, pool = doc[first], pool[first]
     sizes = np.bincount(doc, minlength=n)
     best, owner = np.full(n * registers, np.inf), np.zeros(n * registers, np.uint64)
@@ -73,13 +100,13 @@ def signatures(token_lists: list[list[bytes]], registers: int, width: int = 5) -
     while len(pool):
         point += 1
         draw = mix64(pool + np.uint64(point * GOLDEN & (1 << 64) - 1))
-        arrival = arrival - np.log1p(-((draw >> np.uint64(11)) * 2.0**-53))
+        arrival = arrival - np.log1p(-((draw >> np.uint64(11)) * 2.0**-53)) / weight
         at = doc * registers + (mix64(draw) % np.uint64(registers)).astype(np.int64)
         np.minimum.at(best, at, arrival)
         won = best[at] == arrival
         owner[at[won]] = pool[won]
         active = arrival < best.reshape(n, registers).max(1)[doc]
-        doc, pool, arrival = doc[active], pool[active], arrival[active]
+        doc, pool, arrival, weight = doc[active], pool[active], arrival[active], weight[active]
     return owner.reshape(n, registers), sizes
 
 
@@ -95,12 +122,12 @@ def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
 SKETCH = pa.struct([("content", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
-def _sketches(texts: pa.Array, bands: int, rows: int, width: int) -> pa.Array:
+def _sketches(texts: pa.Array, bands: int, rows: int, width: int, weighted: bool) -> pa.Array:
     """The sketches of a batch, made for some hundred texts or 50,000 words at a time."""
     out, here, words = [], [], 0
 
     def flush():
-        signature, sizes = signatures(here, bands * rows, width)
+        signature, sizes = signatures(here, bands * rows, width, weighted)
         keys = band_keys(signature, bands)
         out.extend((xxhash.xxh3_128_digest(b" ".join(t)), int(n), k.tolist()) if n else (None, 0, []) for t, n, k in zip(here, sizes, keys))
         here.clear()
@@ -140,7 +167,7 @@ class Classes:
         self.up[b] = a
 
 
-def _verify(left: list[int], right: list[int] | None, sets: dict[int, np.ndarray], keys: dict[int, np.ndarray], classes: Classes, threshold: float, label: dict[int, int]) -> None:
+def _verify(left: list[int], right: list[int] | None, sets: dict[int, np.ndarray] | dict[int, Weights], keys: dict[int, np.ndarray], classes: Classes, threshold: float, label: dict[int, int]) -> None:
     """Links all pairs of left (or of left and right) that share a band and reach the threshold."""
     k_left = np.stack([keys[n] for n in left])
     k_right = k_left if right is None else np.stack([keys[n] for n in right])
@@ -156,6 +183,10 @@ def _verify(left: list[int], right: list[int] | None, sets: dict[int, np.ndarray
         if a == b or classes.root(label.get(a, a)) == classes.root(label.get(b, b)):
             continue
         x, y = sets[a], sets[b]
+        if isinstance(x, tuple):
+            if probability_jaccard(x, y) >= threshold - 1e-9:
+                classes.link(label.get(a, a), label.get(b, b))
+            continue
         if min(len(x), len(y)) < threshold * max(len(x), len(y)):
             continue
         both = np.intersect1d(x, y, assume_unique=True).size
@@ -166,12 +197,14 @@ def _verify(left: list[int], right: list[int] | None, sets: dict[int, np.ndarray
 LINKS = pa.schema([("owner", pa.int64()), ("node", pa.int64()), ("root", pa.int64())])
 
 
-def near_duplicate_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 30, rows: int = 5, block_shingles: int = 200_000, block_rows: int = 400, pivots: int = 48, broadcast_rows: int = 50_000) -> DataFrame:
+def near_duplicate_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 30, rows: int = 5, block_shingles: int = 200_000, block_rows: int = 400, pivots: int = 48, broadcast_rows: int = 50_000, weighted: bool = False) -> DataFrame:
     """Per row of df: the id, class_id (the smallest id of its class) and n_shingles."""
 
+    pool = weighted_shingles if weighted else shingles
+
     @F.arrow_udf("struct<content: binary, n: bigint, bands: array<bigint>>")
     def sketch(texts: pa.Array) -> pa.Array:
-        return _sketches(texts, bands, rows, width)
+        return _sketches(texts, bands, rows, width, weighted)
 
     with text_batches(df.sparkSession):
         seen = settled(df.select(F.col(id_col).alias("id"), sketch(F.col(text_col)).alias("s")).select("id", "s.*"))
@@ -193,14 +226,15 @@ def near_duplicate_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: s
     texts = df.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(known, "node")
 
     def local(key: tuple, table: pa.Table) -> pa.Table:
-        own = {n: (c, t, b) for n, c, t, b in zip(*(table[x].to_pylist() for x in ("node", "comp", "text", "bands")))}
+        rows = zip(*(table[x].to_pylist() for x in ("node", "comp", "text", "bands")))
+        own = {n: (c, t, b) for n, c, t, b in sorted(rows, key=lambda r: (r[0], r[2] or "", r[3]), reverse=True)}  # the smallest text of an id
         owner, out = key[0].as_py(), []
         members: dict[int, list[int]] = {}
         for n in sorted(own):
             members.setdefault(own[n][0], []).append(n)
         for comp, group in members.items():
             classes = Classes(group)
-            _verify(group, None, {n: shingles(own[n][1], width) for n in group}, {n: np.array(own[n][2]) for n in group}, classes, threshold, {})
+            _verify(group, None, {n: pool(own[n][1], width) for n in group}, {n: np.array(own[n][2]) for n in group}, classes, threshold, {})
             out += [(owner, n, classes.root(n)) for n in group]
         _done()
         return pa.table([pa.array(x, pa.int64()) for x in zip(*out)], schema=LINKS)
@@ -217,7 +251,7 @@ def near_duplicate_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: s
     labels = links.where("owner < 0").select("node", F.col("root").alias("label"))
     large = placed.where("blocks > 1").select("node", "comp", "blocks", "m")
     if not large.isEmpty():
-        labels = labels.unionByName(_finish_large(links.where("owner >= 0"), large, texts, block_rows, width, threshold))
+        labels = labels.unionByName(_finish_large(links.where("owner >= 0"), large, texts, block_rows, width, threshold, pool))
     found = nodes.select("node", "content").join(labels, "node", "left").select("content", F.coalesce("label", "node").alias("label"))
     smallest = F.coalesce(F.col("label"), F.col("id").cast("long"))
     classes = settled(seen.join(found, "content", "left").select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), smallest).alias("class_id"), F.col("n").alias("n_shingles")))
@@ -225,7 +259,7 @@ def near_duplicate_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: s
     return classes
 
 
-def _finish_large(links: DataFrame, large: DataFrame, texts: DataFrame, block_rows: int, width: int, threshold: float) -> DataFrame:
+def _finish_large(links: DataFrame, large: DataFrame, texts: DataFrame, block_rows: int, width: int, threshold: float, pool) -> DataFrame:
     """Labels of the nodes of large components, once the blocks of each have met."""
     first = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).distinct())
     tagged = large.join(first, "node")
@@ -246,10 +280,10 @@ def _finish_large(links: DataFrame, large: DataFrame, texts: DataFrame, block_ro
             return LINKS.empty_table()
         label, sets, keys = {}, {}, {}
         for t in (left, right):
-            for n, lab, text, b in zip(*(t[x].to_pylist() for x in ("node", "label", "text", "bands"))):
+            for n, lab, text, b in sorted(zip(*(t[x].to_pylist() for x in ("node", "label", "text", "bands"))), key=lambda r: (r[0], r[2] or "", r[3])):
                 label[n] = lab
                 if n not in sets:
-                    sets[n], keys[n] = shingles(text, width), np.array(b)
+                    sets[n], keys[n] = pool(text, width), np.array(b)
         classes = Classes(list(set(label.values())))
         _verify(sorted(set(left["node"].to_pylist())), sorted(set(right["node"].to_pylist())), sets, keys, classes, threshold, label)
         out = [(0, n, classes.root(n)) for n in classes.up if classes.root(n) != n]

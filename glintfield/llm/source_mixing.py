@@ -120,7 +120,9 @@ def fit_domains(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_i
     marked = labels.where(F.col(domain_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(domain_col).alias("domain"))
     sample, counts = hashed_sample(marked, "domain", "id", sample_rows, max_domains)
     texts = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), hashed_piece(F.col(text_col), F.col(id_col), piece_chars).alias("piece"))
-    drawn = sorted((r.domain, r.piece) for r in texts.join(F.broadcast(sample), "id").select("domain", "piece").collect())
+    # An id that repeats is drawn once, so the sample stays bounded.
+    once = texts.join(F.broadcast(sample), "id").groupBy("id", "domain").agg(F.min("piece").alias("piece"))
+    drawn = sorted((r.domain, r.piece) for r in once.select("domain", "piece").collect())
     domains = sorted({d for d, _ in drawn}) or ["all"]
     words = _choose_words(drawn, vocabulary)
     features = WordFeatures(words)

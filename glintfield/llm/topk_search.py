@@ -12,7 +12,7 @@ Candidates whose upper bound equals the k-th lower bound survive, so ties go to
 Defined cases: vectors that are null, or hold null or non-finite components, take no part; shorter
 vectors count as padded with zeros; a repeated candidate id is that many candidates, none of them for a
 query of the same id; a repeated query id is asked once, with the smallest of its vectors; fewer than k candidates give fewer rows; extra columns are dropped.
-Components must stay below 2**20 in size after scaling.
+Components of 2**20 or more in size after scaling are an error: their products could leave 64 bits.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+MOST = 1 << 20
 RESULT = "query_id bigint, vec_id bigint, score bigint"
 SCHEMA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -102,6 +103,8 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, *, id_col: str = "vec
     Both tables hold id_col (integers) and vector_col (array<bigint>, see integer_vector).
     """
     usable = [df.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")) for df in (queries, candidates)]
+    large = F.exists("v", lambda x: F.abs(x) >= MOST)
+    usable = [df.withColumn("v", F.when(large, F.raise_error(F.concat(F.lit("a component of 2**20 or more in vector "), F.col("id").cast("string"))).cast("array<bigint>")).otherwise(F.col("v"))) for df in usable]
     asked = usable[0].groupBy("id").agg(F.min("v").alias("v"))
     # Equal rows beyond k cannot be among a query's k best; so no repeated row, however often, fills a block.
     held = usable[1].groupBy("id", "v").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("times"))

@@ -120,7 +120,10 @@ _MAPPED: dict[int, DigestArray] = {}
 
 
 def filter_urls(pages: DataFrame, rules: Iterable[Rule], *, id_col: str = "page_id", url_col: str = "url", default: str = "allow", max_broadcast_bytes: int = 256 << 20) -> DataFrame:
-    """One row per page: id, host, path, rule (null if none fits), verdict."""
+    """One row per page: id, host, path, rule (null if none fits), verdict.
+
+    The longest fitting rule in characters decides; of equally long ones block before allow, then the greater string.
+    """
     rules = list(rules)
     block = DigestArray.build(rules)
     parts = pages.select(F.col(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
@@ -142,7 +145,7 @@ def filter_urls(pages: DataFrame, rules: Iterable[Rule], *, id_col: str = "page_
                 owner.append(row)
         best: list[int | None] = [None] * len(host)
         found = index.find(keys)
-        size = lambda i: (int(index.offsets[i + 1] - index.offsets[i]), -i)
+        size = lambda i: (len(index.text(i)), int(index.actions[i]), index.text(i))
         for k in np.flatnonzero(found >= 0):
             i, row = int(found[k]), owner[k]
             if best[row] is None or size(i) > size(best[row]):
@@ -163,5 +166,5 @@ def join_rules(parts: DataFrame, rules: DataFrame, *, id_col: str, default: str)
     usable = F.filter(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"), lambda n: n <= F.length("path"))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(usable, lambda n: F.concat(s, F.substring(F.col("path"), F.lit(1), n)))))
     sites = parts.select("host", "path").distinct()
-    best = sites.select("host", "path", F.explode(keys).alias("rule")).join(keyed, "rule").groupBy("host", "path").agg(F.max_by(F.struct("rule", "action"), F.struct(F.length("rule"), "rule")).alias("best"))
+    best = sites.select("host", "path", F.explode(keys).alias("rule")).join(keyed, "rule").groupBy("host", "path").agg(F.max_by(F.struct("rule", "action"), F.struct(F.length("rule"), "action", "rule")).alias("best"))
     return parts.join(best, ["host", "path"], "left").select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))

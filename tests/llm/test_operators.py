@@ -246,7 +246,7 @@ def test_license_scan(spark):
     long_notice = notices["MIT-permission"].split()
     rows = [(k, prose(30) + "\n" + text + " " + prose(20)) for k, text in enumerate(notices.values())] + [(50, " ".join(long_notice[:7] + ["changed"] + long_notice[7:])), (51, None), (52, ""), (53, prose(400)), (54, "Released under the MIT License")]
     got = {(r.doc_id, r.template_id, r.start_word) for r in license_scan.find_licenses(frame(spark, rows), license_scan.templates(spark)).collect()}
-    assert got == {(k, name, 30) for k, name in enumerate(notices)} | {(54, "MIT", 0)} | {x for x in got if x[0] == 50}
+    assert got == {(k, name, 30) for k, name in enumerate(notices)} | {(54, "MIT", 0)}  # 50 keeps 12 of 16 shingles, a share of 0.75
 
 
 def test_license_scan_tells_creative_commons_apart(spark):
