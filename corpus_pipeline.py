@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintfield.llm import queries as q
-from glintfield.llm.common import settled, text_batches
+from glintfield.llm.common import discard, settled, text_batches
 from glintfield.llm.language_id import fit_languages, identify_languages
 from glintfield.llm.near_dedup import keep_one_of_each
 from glintfield.llm.packing import pack
@@ -76,9 +76,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another, each from the files of the one before."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = settled(docs)
+            if before is not None:
+                discard(before)  # nothing reads the stage before the last one any more
+            before = docs
     return docs
