@@ -8,6 +8,7 @@ from glintfield.functions import mapping
 from glintfield.operators.control_points import map_corners, map_to_pixel
 from glintfield.plans.spectra import rounded
 from glintfield.session import table
+from glintfield.sources import areas, catalogs
 
 
 def _places(spark, sf_dir):
@@ -63,7 +64,43 @@ def pixel_corners(spark, sf_dir):
     return rounded(map_corners(boxes, _points(spark, sf_dir)).select("scene_id", "corner", "x", "y"), x=4, y=4)
 
 
-QUERIES = {f.__name__: f for f in (map_forward, map_back, ground_squares, click_pixels, pixel_corners)}
+def kml_areas(spark, sf_dir):
+    """Suppliers' areas from KML texts with namespaces, attributes and several placemarks, as boxes in degrees and on a zone's map."""
+    key = F.col("s_suppkey")
+    lon, lat = key % 170 + 0.25, key % 70 + 0.5
+    point = lambda dx, dy: F.concat_ws(",", (lon + dx).cast("string"), (lat + dy).cast("string"), F.lit("0"))
+    ring = lambda *points: F.concat(F.lit("<k:Placemark id='a'><k:Polygon><k:outerBoundaryIs><k:LinearRing><k:coordinates x='1'>\n "), F.concat_ws(" \n", *points), F.lit(" </k:coordinates></k:LinearRing></k:outerBoundaryIs></k:Polygon></k:Placemark>"))
+    second = F.when(key % 3 == 0, ring(point(0.5, 0.5), point(1.25, 0.75), point(0.5, 0.75))).otherwise(F.lit("<k:Placemark><k:Polygon/></k:Placemark>"))
+    text = F.concat(F.lit("<?xml version='1.0'?><k:kml xmlns:k='http://www.opengis.net/kml/2.2'><k:Document>"), ring(point(0, 0), point(0.5, 0), point(0.5, 0.25), point(0, 0)), second, F.lit("</k:Document></k:kml>"))
+    texts = table(spark, sf_dir, "supplier").select(key.alias("key"), F.when(key % 7 == 0, F.lit("<kml/>")).otherwise(text).alias("value"))
+    return rounded(areas.boxes(areas.kml_rings(texts), "key"), xmin=6, ymin=6, xmax=6, ymax=6)
+
+
+def mask_extents(spark, sf_dir):
+    """Polygons in degrees as boxes on the web's map; lines and empty rings have none."""
+    key = F.col("c_custkey")
+    x, y = key % 300 - 150.0, key % 120 - 60.0
+    corner = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
+    flat = F.array(corner(0, 0), corner(1, 0))
+    ring = F.when(key % 5 == 0, flat).when(key % 7 == 0, F.slice(flat, 1, 0)).otherwise(F.array(corner(0, 0), corner(0.5, 1), corner(1, 0.25), corner(0, 0)))
+    features = table(spark, sf_dir, "customer").select(key.alias("feature_id"), ring.alias("ring"))
+    return rounded(areas.polygon_extents(features, F.lit(3857)), xmin=4, ymin=4, xmax=4, ymax=4)
+
+
+def catalogue_tree(spark, sf_dir):
+    """Regions as catalogues of nations, nations as collections of suppliers: every item with its collection, label and url."""
+    link = lambda rel, href, title: F.struct(rel.alias("rel"), href.alias("href"), title.alias("title"), F.lit(None).cast("string").alias("id"), F.lit("application/json").alias("type"))
+    nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    child = link(F.when(F.col("n_nationkey") % 4 == 0, "collection").when(F.col("n_nationkey") % 4 == 3, "self").otherwise("child"), F.concat(F.lit("./n"), "n_nationkey", F.lit("/collection.json")), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")))
+    tops = nation.groupBy(F.concat(F.lit("https://h/r"), "n_regionkey", F.lit("/catalog.json")).alias("url")).agg(F.collect_list(child).alias("links"))
+    key = F.col("s_suppkey")
+    href = F.when(key % 5 == 0, None).when(key % 5 == 1, F.concat(F.lit("https://o/p/i"), key, F.lit(".json"))).otherwise(F.concat(F.lit("../items/i"), key, F.lit(".json")))
+    item = link(F.lit("item"), href, F.when(key % 3 == 0, F.col("s_name")))
+    below = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.concat(F.lit("https://h/r"), "n_regionkey", F.lit("/n"), "n_nationkey", F.lit("/collection.json")).alias("url")).agg(F.collect_list(item).alias("links"))
+    return catalogs.tree(tops, below)
+
+
+QUERIES = {f.__name__: f for f in (map_forward, map_back, ground_squares, click_pixels, pixel_corners, kml_areas, mask_extents, catalogue_tree)}
 
 
 def _series(c: tuple, f: str, g: str, x: str, y: str) -> str:
@@ -102,4 +139,11 @@ SELECT key, round(min(x), 6)+0.0 AS xmin, round(min(y), 6)+0.0 AS ymin, round(ma
     "click_pixels": "SELECT c_custkey AS click, CAST(c_custkey*7%290+1 AS INT) AS r, CAST(c_custkey%390 AS INT) AS c FROM customer WHERE c_custkey%200 IN (SELECT s_suppkey FROM supplier)",
     "pixel_corners": """SELECT CAST(s_suppkey AS VARCHAR) AS scene_id, CAST(k AS INT) AS corner, round(1000.0e0+s_suppkey+2*(s_suppkey%50+dx)+0.5e0*(s_suppkey%40+dy), 4)+0.0 AS x, round(5000.0e0-2*(s_suppkey%40+dy)+0.5e0*(s_suppkey%50+dx), 4)+0.0 AS y
 FROM supplier CROSS JOIN (VALUES (0, 0, 0), (1, 60, 0), (2, 60, 30), (3, 0, 30)) q(k, dx, dy)""",
+    "kml_areas": """WITH s AS (SELECT s_suppkey AS key, s_suppkey%170+0.25e0 AS x, s_suppkey%70+0.5e0 AS y, s_suppkey%3=0 AS two FROM supplier WHERE s_suppkey%7<>0)
+SELECT key, round(x, 6)+0.0 AS xmin, round(y, 6)+0.0 AS ymin, round(x+CASE WHEN two THEN 1.25e0 ELSE 0.5e0 END, 6)+0.0 AS xmax, round(y+CASE WHEN two THEN 0.75e0 ELSE 0.25e0 END, 6)+0.0 AS ymax FROM s""",
+    "mask_extents": """WITH c AS (SELECT c_custkey AS feature_id, c_custkey%300-150.0e0 AS x, c_custkey%120-60.0e0 AS y FROM customer WHERE c_custkey%5<>0 AND c_custkey%7<>0)
+SELECT feature_id, round(6378137*radians(x), 4)+0.0 AS xmin, round(6378137*ln(tan(pi()/4+radians(y)/2)), 4)+0.0 AS ymin, round(6378137*radians(x+1), 4)+0.0 AS xmax, round(6378137*ln(tan(pi()/4+radians(y+1)/2)), 4)+0.0 AS ymax FROM c""",
+    "catalogue_tree": """SELECT CASE WHEN n_nationkey%2=0 THEN n_name ELSE 'collection' END AS collection, CASE WHEN s_suppkey%3=0 THEN s_name ELSE 'i' || s_suppkey END AS item,
+  CASE WHEN s_suppkey%5=1 THEN 'https://o/p/i' || s_suppkey || '.json' ELSE 'https://h/r' || n_regionkey || '/items/i' || s_suppkey || '.json' END AS item_url
+FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey%5<>0 AND n_nationkey%4<>3""",
 }

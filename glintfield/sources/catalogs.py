@@ -26,7 +26,8 @@ def links(nodes: DataFrame, rels: tuple[str, ...] = ()) -> DataFrame:
     """(url, href, target, label) of the links of some relations (all if none is named); links without href are dropped."""
     wanted = F.filter("links", lambda x: x["rel"].isin(*rels)) if rels else F.col("links")
     found = nodes.select("url", F.inline(wanted)).where("href IS NOT NULL")
-    return found.select("url", "rel", "href", resolve_url(F.col("url"), F.col("href")).alias("target"), F.coalesce(filled(F.col("title")), filled(F.col("id")), id_from_href(F.col("href"))).alias("label"))
+    placed = found.withColumn("target", resolve_url(F.col("url"), F.col("href")))
+    return placed.select("url", "rel", "href", "target", F.coalesce(filled(F.col("title")), filled(F.col("id")), id_from_href(F.col("target"))).alias("label"))
 
 
 def tree(catalogs: DataFrame, collections: DataFrame) -> DataFrame:

@@ -17,6 +17,14 @@ def test_kml(spark, tmp_path):
     assert got == [(117.7, 38.9, 117.8, 39.0)]
 
 
+def test_kml_with_namespaces_attributes_and_rings(spark, tmp_path):
+    ring = "<g:coordinates a='1'>1,2,0\n 3,4 x,9 5 2,8,1</g:coordinates>"
+    (tmp_path / "c.kml").write_text(f"<g:kml xmlns:g='u'><g:Placemark id='p'><g:Polygon>{ring}</g:Polygon></g:Placemark><g:Placemark><g:coordinates/><g:coordinates> </g:coordinates>{ring.replace('1,2,0', '-7,2')}</g:Placemark></g:kml>")
+    rings = areas.kml_files(spark, str(tmp_path))
+    assert sorted(tuple(p) for r in rings.collect() for p in r.points) == [(-7.0, 2.0), (1.0, 2.0), (2.0, 8.0), (2.0, 8.0), (3.0, 4.0), (3.0, 4.0)] and rings.count() == 2
+    assert [tuple(r)[1:] for r in areas.kml_extents(spark, str(tmp_path)).collect()] == [(-7.0, 2.0, 3.0, 8.0)]
+
+
 def test_catalogue_tree(spark, tmp_path):
     (tmp_path / "catalog.json").write_text(json.dumps({"id": "root", "links": [{"rel": "child", "href": "col/c.json", "title": "C"}, {"rel": "self", "href": "x"}, {"rel": "child"}]}))
     (tmp_path / "col").mkdir()
