@@ -106,6 +106,12 @@ def pga_rounds(spark, sf_dir):
     return rounded(af.phase_gradient_autofocus(af.strong_lines(_px(spark, sf_dir), 0.5), SAMPLES, rounds=3), phi=6, rms=6)
 
 
+def pga_history(spark, sf_dir):
+    """Rms and entropy of each round of up to three; chips under 0.4 radians are done."""
+    _, history = af.autofocus_rounds(af.strong_lines(_bordered(spark, sf_dir), 0.5), SAMPLES, rounds=3, tolerance=0.4)
+    return rounded(history, rms=6, entropy=6)
+
+
 def lens_focus_u8(spark, sf_dir):
     return ix.display_orientation(af.lens_focus(_px(spark, sf_dir), LINES, SAMPLES), _left(), LINES, SAMPLES)
 
@@ -213,7 +219,7 @@ def chip_clamp(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(key.alias("id"), chip.alias("w")).where("w IS NOT NULL").select("id", "w.*")
 
 
-QUERIES = {f.__name__: f for f in (entropy, no_data_entropy, no_data_window, no_data_gradient, no_data_focus, strong_lines, target_centering, power_window, power_window_narrow, pga_rounds, lens_focus_u8, irf_profiles, irf_text, phase_gradient, cumsum_unwrap, linear_detrend, phase_interp, phase_rms, pga_phase, focus_best_look, focus_bands, first_peak, clip_mean_sigma, irf_profile_metrics, irf_full, orient_left, orient_right, write_orientation, display_orient, crop, crop_of_crop, zero_pad, overviews, slc_decode, chip_decode, grow_extent, chip_clamp)}
+QUERIES = {f.__name__: f for f in (entropy, no_data_entropy, no_data_window, no_data_gradient, no_data_focus, strong_lines, target_centering, power_window, power_window_narrow, pga_rounds, pga_history, lens_focus_u8, irf_profiles, irf_text, phase_gradient, cumsum_unwrap, linear_detrend, phase_interp, phase_rms, pga_phase, focus_best_look, focus_bands, first_peak, clip_mean_sigma, irf_profile_metrics, irf_full, orient_left, orient_right, write_orientation, display_orient, crop, crop_of_crop, zero_pad, overviews, slc_decode, chip_decode, grow_extent, chip_clamp)}
 
 _WALK = "walk AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id)-1 AS i, (value - 6.25*floor(value/6.25)) - 3.0 AS phase FROM events)"
 _RAW = "raw AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS amp, l_discount*30 AS phase, CASE WHEN l_linenumber%3=0 THEN 1.0 ELSE l_linenumber%3*0.5 END AS scale, l_tax AS shift FROM lineitem)"

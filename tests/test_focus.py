@@ -73,6 +73,42 @@ def test_rounds_add_up(spark):
     assert np.allclose(got.phi, first + second, atol=1e-8) and got.rms[0] == pytest.approx(rms)
 
 
+def share_entropy(x):
+    p = np.abs(x) ** 2
+    p = p[p > 0] / p.sum()
+    return -(p * np.log(p)).sum()
+
+
+def test_chips_stop_at_different_rounds(spark):
+    """Each chip ends where its own rms is under the tolerance; the others go on."""
+    chips = {0: noise(3, (10, 30)), 1: noise(5, (10, 30)), 2: np.zeros((10, 30), complex)}
+    px = None
+    for k, x in chips.items():
+        one = to_px(spark, x).withColumn("chip", F.lit(k))
+        px = one if px is None else px.unionByName(one)
+    total, history = af.autofocus_rounds(px, 30, rounds=3, tolerance=0.3)
+    got = {k: t.sort_values("round") for k, t in history.toPandas().groupby("chip")}
+    phases = {k: t.sort_values("i").phi.to_numpy() for k, t in total.toPandas().groupby("chip")}
+    for k, x in chips.items():
+        want, phi = [(0, None, share_entropy(x) if np.abs(x).sum() else 0.0)], np.zeros(10)
+        for r in (1, 2, 3):
+            if np.abs(x).sum():
+                z = x.copy()
+                flat, rms = numpy_phase(z)
+            else:
+                flat, rms = np.zeros(10), 0.0
+            if rms < 0.3:
+                want.append((r, rms, None))
+                break
+            x, phi = numpy_apply(x, flat), phi + flat
+            want.append((r, rms, share_entropy(x)))
+        rows = [(int(a), None if np.isnan(b) else b, None if np.isnan(c) else c) for a, b, c in got[k][["round", "rms", "entropy"]].to_numpy()]
+        assert [r[0] for r in rows] == [r[0] for r in want]
+        for r, w in zip(rows, want):
+            assert all((a is None) == (b is None) and (a is None or a == pytest.approx(b, abs=1e-6)) for a, b in zip(r, w)), (k, r, w)
+        assert np.allclose(phases[k], phi, atol=1e-7)
+
+
 def test_own_estimator(spark):
     still = lambda spectrum, keys: spectrum.groupBy(*keys, F.col("r").alias("i")).agg(F.lit(0.0).alias("g")).where("i < 9")
     got = af.phase_error(to_px(spark, noise(1, (10, 30))), 30, estimator=still).toPandas()
