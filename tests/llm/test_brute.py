@@ -114,8 +114,8 @@ def test_mixing_reaches_the_least_squares(spark, goal, slack):
     assert (np.abs(mixed.copies - mixed.rate) < 1).all()
 
 
-@pytest.mark.parametrize("spread", [0.01, 0.02, 0.03, 0.05])
-@pytest.mark.parametrize("kept", [0.5, 0.75, 0.85])
+@pytest.mark.parametrize("spread", [0.01, 0.03, 0.05])
+@pytest.mark.parametrize("kept", [0.5, 0.85])
 def test_mixing_meets_reachable_targets_of_posteriors_that_are_alike(spark, spread, kept):
     """The targets are the shares of the documents with the largest second posterior, so they are in reach."""
     rng = np.random.default_rng(int(100 * spread + 10 * kept))
