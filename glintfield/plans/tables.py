@@ -283,12 +283,17 @@ def hit_test(spark, sf_dir):
     """The first placed item (in order of placing) within 50 pixels of each click."""
     items = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("item"), (F.col("s_suppkey") * 37 % 1000).alias("x"), (F.col("s_suppkey") * 91 % 800).alias("y"))
     clicks = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("click"), (F.col("c_custkey") * 53 % 1000).alias("cx"), (F.col("c_custkey") * 29 % 800).alias("cy"))
+    # Places are whole pixels of one view, so pairs are made of places, never of rows: the first item and one row of clicks each.
+    firsts = items.groupBy("x", "y").agg(F.min("item").alias("item"))
+    places = clicks.select("cx", "cy").distinct()
     # Cells of the hit radius: an item is looked for in the nine cells around a click only.
     cell = lambda v: F.floor(F.col(v) / 50).cast("int")
     around = F.explode(F.expr("transform(sequence(0, 8), k -> struct(k % 3 - 1 AS dx, CAST(k / 3 AS INT) - 1 AS dy))"))
-    near = clicks.select("*", around.alias("d")).select("click", "cx", "cy", (cell("cx") + F.col("d.dx")).alias("gx"), (cell("cy") + F.col("d.dy")).alias("gy"))
-    met = near.join(items.select("*", cell("x").alias("gx"), cell("y").alias("gy")), ["gx", "gy"]).where("(x-cx)*(x-cx)+(y-cy)*(y-cy) <= 2500")
-    return met.groupBy("click").agg(F.min("item").alias("item"))
+    near = places.select("*", around.alias("d")).select("cx", "cy", (cell("cx") + F.col("d.dx")).alias("gx"), (cell("cy") + F.col("d.dy")).alias("gy"))
+    met = near.join(firsts.select("*", cell("x").alias("gx"), cell("y").alias("gy")), ["gx", "gy"]).where("(x-cx)*(x-cx)+(y-cy)*(y-cy) <= 2500")
+    # A row a place that was hit, at most the pixels of the view: clicks meet it without a shuffle, however many share a pixel.
+    hits = met.groupBy("cx", "cy").agg(F.min("item").alias("item"))
+    return clicks.join(F.broadcast(hits), ["cx", "cy"]).groupBy("click").agg(F.min("item").alias("item"))
 
 
 def band_alpha(spark, sf_dir):
