@@ -6,13 +6,14 @@ group has ranges, give every range its start; then each range walks its own even
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glintfield.session import settled
+from glintfield.session import discard, settled
 
 
 def in_ranges(events: DataFrame, group: str, order: list[str]) -> DataFrame:
@@ -95,36 +96,89 @@ def bounded_walk(events: DataFrame, group: str, order: list[str], *, start: floa
     return dealt.groupBy("part", group).cogroup(begins.groupBy("part", "g")).applyInArrow(walk, schema).drop("part")
 
 
+def _rooted(nodes: DataFrame) -> DataFrame:
+    """nodes with `top`, the parent if it is there."""
+    ids = nodes.select(F.col("id").alias("parent")).distinct()
+    return nodes.join(ids.withColumn("there", F.lit(True)), "parent", "left").withColumn("top", F.when(F.col("there"), F.col("parent"))).drop("there")
+
+
+def _climbed(state: DataFrame, up: dict[str, Callable[[Column, Column], Column]], down: tuple[str, ...] = (), *, most_depth: int) -> list[DataFrame]:
+    """state(id, top, ...) after each round of a climb to the roots, as settled tables; the first is the state itself.
+
+    In the end the columns of `up` are merged, as merge(own, above), over the nodes from id up to its root, those of `down`
+    summed over the nodes below and id, and `levels` counts the way to the root. Steps double: after round k a row's top is
+    the node 2**k levels above, so a tree of depth d takes log2(d) rounds. A ring, or more than `most_depth` levels, is an error.
+    """
+    up = {**up, "levels": lambda own, above: own + above}
+    rounds = [settled(state.select("id", "top", F.lit(1).cast("long").alias("levels"), *(n for n in up if n != "levels"), *down))]
+    while True:
+        state = rounds[-1]
+        going = state.where("top IS NOT NULL")
+        if going.isEmpty():
+            return rounds
+        above = state.select(F.col("id").alias("top"), F.col("top").alias("next"), *(F.col(n).alias(f"_{n}") for n in up))
+        risen = going.join(above, "top").select("id", F.col("next").alias("top"), *(merge(F.col(n), F.col(f"_{n}")).alias(n) for n, merge in up.items()), *down)
+        # Rows at their root wait aside: as nulls of the join they would all be in one task.
+        joined = risen.unionByName(state.where("top IS NULL"))
+        if down:
+            below = going.groupBy(F.col("top").alias("id")).agg(*(F.sum(n).alias(f"_{n}") for n in down))
+            joined = joined.join(below, "id", "left").select("id", "top", *up, *((F.col(n) + F.coalesce(f"_{n}", F.lit(0))).alias(n) for n in down))
+        rounds.append(settled(joined))
+        if not rounds[-1].where(F.col("levels") > most_depth).isEmpty():
+            raise ValueError(f"a ring, or more than {most_depth} levels")
+
+
 def tree_paths(nodes: DataFrame, *, most_depth: int = 100_000) -> DataFrame:
     """nodes(id, parent, ordinal, ...) with `path`: (ordinal, id) from the root down to the node.
 
-    Paths double: each round joins a node's path to that of the node above it, so a tree of depth d takes log2(d)
-    rounds. A parent that is not there makes a root; a ring, or more than `most_depth` levels, is an error.
+    A parent that is not there makes a root; a ring, or more than `most_depth` levels, is an error. Paths are as long as
+    the tree is deep; what needs only some of them does better without, as selected_layers does.
     """
-    ids = nodes.select(F.col("id").alias("parent"))
-    known = nodes.join(ids.withColumn("there", F.lit(True)), "parent", "left").withColumn("top", F.when(F.col("there"), F.col("parent")))
-    state = settled(known.select("id", "top", F.array(F.struct("ordinal", "id")).alias("path")))
-    while not state.where("top IS NOT NULL").isEmpty():
-        above = state.select(F.col("id").alias("top"), F.col("top").alias("next"), F.col("path").alias("head"))
-        joined = state.join(above, "top", "left").select("id", F.col("next").alias("top"), F.concat(F.coalesce("head", F.slice("path", 1, 0)), "path").alias("path"))
-        state = settled(joined)
-        if not state.where(F.size("path") > most_depth).isEmpty():
-            raise ValueError(f"a ring, or more than {most_depth} levels")
+    start = _rooted(nodes).select("id", "top", F.array(F.struct("ordinal", "id")).alias("path"))
+    *passed, state = _climbed(start, {"path": lambda own, above: F.concat(above, own)}, most_depth=most_depth)
+    discard(*passed)
     return nodes.join(state.select("id", "path"), "id")
 
 
-def selected_layers(nodes: DataFrame, selection: DataFrame, **options) -> DataFrame:
+def selected_layers(nodes: DataFrame, selection: DataFrame, *, most_depth: int = 100_000) -> DataFrame:
     """The layers that a selection of tree nodes implies: (layer, seq, path), each layer once.
 
-    nodes(id, parent, ordinal, layer): groups have no layer. selection(seq, id) in its order. A selected group stands for
-    all layers below it, in pre-order; a layer counts where it is seen first. Ordered by (seq, path) the result is in the
-    reference order; path holds the ordinals from below the selected node down.
+    nodes(id, parent, ordinal, layer): groups have no layer. selection(seq, id) in its order, a seq an id. A selected group stands for
+    all layers below it, in pre-order (siblings of one ordinal by id); a layer counts where it is seen first. Ordered by
+    (seq, path) the result is in the reference order; path holds the ordinals from below the selected node down.
+
+    Rows keep their size whatever the depth: a node's first selected ancestor comes from one climb, its number in pre-order
+    from two more (sizes of subtrees, then what lies before it), and only the node that a layer is seen at gets its path.
     """
-    paths = tree_paths(nodes.select("id", "parent", "ordinal", "layer"), **options).where("layer IS NOT NULL")
-    steps = paths.select("layer", "path", F.posexplode("path").alias("k", "step"))
-    met = steps.select("layer", F.col("step.id").alias("id"), F.transform(F.slice("path", F.col("k") + 2, F.size("path")), lambda s: s["ordinal"]).alias("below")).join(selection, "id")
-    first = met.groupBy("layer").agg(F.min(F.struct("seq", "below")).alias("first"))
-    return first.select("layer", "first.seq", F.col("first.below").alias("path"))
+    add = lambda own, above: own + above
+    # Rows that repeat an id under its parent count once, where they come first.
+    once = nodes.where("id IS NOT NULL").groupBy("id", "parent").agg(F.min("ordinal").alias("ordinal"))
+    if not once.groupBy("id").count().where("count > 1").isEmpty():
+        raise ValueError("a node under several parents")
+    start = _rooted(once).join(selection.groupBy("id").agg(F.min("seq").alias("seq")), "id", "left")
+    *passed, first = _climbed(start, {"seq": lambda own, above: F.least(own, above)}, most_depth=most_depth)
+    placed = nodes.where("layer IS NOT NULL").select("id", "layer").join(first.where("seq IS NOT NULL").select("id", "seq"), "id")
+    wins = settled(placed.groupBy("layer").agg(F.min("seq").alias("seq")))
+    # Between a layer's node and the selected one that shows it first, every node has that one as its first: cut elsewhere.
+    shown = first.select("id", "seq").join(wins.select("seq").distinct(), "seq", "left_semi")
+    kept = settled(once.join(shown, "id"))
+    seen = settled(placed.join(wins, ["layer", "seq"]).select("layer", "seq", "id"))
+    discard(*passed, first)
+    over = kept.select(F.col("id").alias("parent"), "seq", F.col("id").alias("top"))
+    trees = kept.join(over, ["parent", "seq"], "left")
+    *passed, sized = _climbed(trees.withColumn("size", F.lit(1).cast("long")), {}, ("size",), most_depth=most_depth)
+    siblings = trees.where("top IS NOT NULL").select("id", "top", "ordinal").join(sized.select("id", "size"), "id")
+    ahead = running_sum(siblings, "top", ["ordinal", "id"], F.col("size"), "upto").select("id", "top", (F.col("upto") - F.col("size") + 1).alias("at"))
+    roots = trees.where("top IS NULL").select("id", "top", F.lit(0).cast("long").alias("at"))
+    rounds = _climbed(ahead.unionByName(roots), {"at": add}, most_depth=most_depth)
+    discard(*passed, sized)
+    way = seen.join(rounds[-1].select("id", "at"), "id").groupBy("layer", "seq").agg(F.min_by("id", "at").alias("id"))
+    # The ways up, one node a row: the furthest tops there are, then from all nodes met so far those half as far, down to the parents.
+    for step in reversed(rounds[:-1]):
+        way = way.join(step.select("id", "top"), "id").select("layer", "seq", F.explode(F.array("id", "top")).alias("id")).where("id IS NOT NULL")
+    steps = way.join(rounds[-1].select("id", "levels"), "id").join(kept.select("id", "ordinal"), "id")
+    below = F.array_sort(F.collect_list(F.when(F.col("levels") > 1, F.struct("levels", "ordinal"))))
+    return steps.groupBy("layer", "seq").agg(below.alias("path")).select("layer", "seq", F.transform("path", lambda s: s["ordinal"]).alias("path"))
 
 
 def quantiles(df: DataFrame, group: str, value: str, shares: dict[str, float], *, bins: int = 1024) -> DataFrame:
