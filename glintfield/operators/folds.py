@@ -174,8 +174,9 @@ def selected_layers(nodes: DataFrame, selection: DataFrame, *, most_depth: int =
     discard(*passed, sized)
     way = seen.join(rounds[-1].select("id", "at"), "id").groupBy("layer", "seq").agg(F.min_by("id", "at").alias("id"))
     # The ways up, one node a row: the furthest tops there are, then from all nodes met so far those half as far, down to the parents.
+    # These joins run in one plan, so none of them may hold a table of all nodes: small files would be broadcast, all at once.
     for step in reversed(rounds[:-1]):
-        way = way.join(step.select("id", "top"), "id").select("layer", "seq", F.explode(F.array("id", "top")).alias("id")).where("id IS NOT NULL")
+        way = way.join(step.select("id", "top").hint("merge"), "id").select("layer", "seq", F.explode(F.array("id", "top")).alias("id")).where("id IS NOT NULL")
     steps = way.join(rounds[-1].select("id", "levels"), "id").join(kept.select("id", "ordinal"), "id")
     below = F.array_sort(F.collect_list(F.when(F.col("levels") > 1, F.struct("levels", "ordinal"))))
     return steps.groupBy("layer", "seq").agg(below.alias("path")).select("layer", "seq", F.transform("path", lambda s: s["ordinal"]).alias("path"))
